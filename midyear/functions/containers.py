@@ -1,0 +1,96 @@
+"""Container text: needs the element tree, so it runs as an Arrow-batched UDF."""
+
+from __future__ import annotations
+
+import re
+import sys
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from midyear.constants import PARAGRAPH_CLOSERS
+
+# The helper travels with the query, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Elements without content.
+VOID = frozenset(
+    "area base br col embed hr img input link meta param source track wbr".split()
+)
+HEADING = re.compile("^h[0-9]{1,2}")
+PARAGRAPH = re.compile("^p$")
+SKIPPED = frozenset(("script", "style"))
+
+
+class _Tree(HTMLParser):
+    """Nested lists ``[name, child, ...]``; strings are text."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root: list = ["[document]"]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" or tag in PARAGRAPH_CLOSERS or HEADING.match(tag):
+            self._close("p")
+        node: list = [tag]
+        self.open[-1].append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self._close(tag)
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+    def _close(self, tag):
+        names = [node[0] for node in self.open]
+        if tag in names[1:]:
+            del self.open[len(names) - 1 - names[::-1].index(tag):]
+
+
+def _walk(root):
+    """(parent, node) pairs below ``root`` in document order."""
+    stack = [(root, child) for child in reversed(root[1:])]
+    while stack:
+        parent, node = stack.pop()
+        yield parent, node
+        if isinstance(node, list):
+            stack.extend((node, child) for child in reversed(node[1:]))
+
+
+def _first_parent(root, name):
+    for parent, node in _walk(root):
+        if isinstance(node, list) and name.search(node[0]):
+            return parent
+    return None
+
+
+def _container_text(html: str) -> str:
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    parts = [""]
+    for name in (HEADING, PARAGRAPH):
+        while (taken := _first_parent(tree.root, name)) is not None:
+            parts.append("\n".join(
+                node for parent, node in _walk(taken) if isinstance(node, str) and parent[0] not in SKIPPED
+            ))
+            # Taken out of the tree, as a whole.
+            taken[:] = ["taken"]
+    return re.sub("(\n )+|\n+", "\n", "\n".join(parts))
+
+
+@F.pandas_udf(StringType())
+def _container_texts(html: pd.Series) -> pd.Series:
+    return html.map(_container_text, na_action="ignore")
+
+
+def container_text(html: Column) -> Column:
+    """Text of the elements around headings, then around the paragraphs left over."""
+    return _container_texts(html)
