@@ -28,7 +28,7 @@ from midyear.sources.captures import capture_times
 from midyear.sources.tables import empty_errors, empty_pages
 from verification import views as V
 
-HTML = F.col("html")
+HTML = "html"
 SITE = ["website", "year_query"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -150,46 +150,46 @@ def year_window(spark, sf_dir):
 
 @query
 def hrefs_distinct(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.hrefs(HTML)).alias("pos", "href"))
+    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.hrefs(F.col(HTML))).alias("pos", "href"))
 
 
 @query
 def titles(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", H.title(HTML).alias("title"))
+    return V.captures(spark, sf_dir).select("page_id", H.title(F.col(HTML)).alias("title"))
 
 
 @query
 def title_fallback(spark, sf_dir):
     """Pages whose number is a multiple of five get an empty title first."""
-    html = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "(?s)<title>.*?</title>", "")).otherwise(HTML)
+    html = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "(?s)<title>.*?</title>", "")).otherwise(F.col(HTML))
     return V.captures(spark, sf_dir).select("page_id", H.title_or_fallback(html).alias("title"))
 
 
 @query
 def text_blocks(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.text_blocks(HTML)).alias("pos", "block"))
+    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.text_blocks(F.col(HTML))).alias("pos", "block"))
 
 
 @query
 def page_text(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", H.page_text(HTML).alias("text"))
+    return V.captures(spark, sf_dir).select("page_id", H.page_text(F.col(HTML)).alias("text"))
 
 
 @query
 def no_text_errors(spark, sf_dir):
-    return V.captures(spark, sf_dir).where(H.page_text(HTML) == "").select(
+    return V.captures(spark, sf_dir).where(H.page_text(F.col(HTML)) == "").select(
         "page_id", F.lit("No text found").alias("error_message")
     )
 
 
 @query
 def visible_text(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.visible_texts(HTML)).alias("pos", "text"))
+    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.visible_texts(F.col(HTML))).alias("pos", "text"))
 
 
 @query
 def container_texts(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", container_text(HTML).alias("text"))
+    return V.captures(spark, sf_dir).select("page_id", container_text(F.col(HTML)).alias("text"))
 
 
 @query
@@ -215,31 +215,32 @@ def throttled_second_round(spark, sf_dir):
     return resolve_rounds(V.attempts(spark, sf_dir), "url", ["transport_error", "final_url"], attempts=3)
 
 
-def _outcome(spark, sf_dir, message) -> DataFrame:
-    return V.captures(spark, sf_dir).select("page_id", message.alias("error"))
+def _outcome(spark, sf_dir, rule, *more, **options) -> DataFrame:
+    columns = map(F.col, (*RESPONSE, *more))
+    return V.captures(spark, sf_dir).select("page_id", rule(*columns, **options).alias("error"))
 
 
-RESPONSE = (F.col("status"), F.col("final_url"), F.col("transport_error"))
+RESPONSE = ("status", "final_url", "transport_error")
 
 
 @query
 def homepage_outcomes(spark, sf_dir):
-    return _outcome(spark, sf_dir, O.homepage_error(*RESPONSE))
+    return _outcome(spark, sf_dir, O.homepage_error)
 
 
 @query
 def page_outcomes(spark, sf_dir):
-    return _outcome(spark, sf_dir, O.page_error(*RESPONSE))
+    return _outcome(spark, sf_dir, O.page_error)
 
 
 @query
 def link_outcomes(spark, sf_dir):
-    return _outcome(spark, sf_dir, O.link_error(*RESPONSE, F.col("content_type")))
+    return _outcome(spark, sf_dir, O.link_error, "content_type")
 
 
 @query
 def link_outcomes_strict(spark, sf_dir):
-    return _outcome(spark, sf_dir, O.link_error(*RESPONSE, F.col("content_type"), strict_status=True))
+    return _outcome(spark, sf_dir, O.link_error, "content_type", strict_status=True)
 
 
 # --- nearest capture, frontier, fetch --------------------------------------
