@@ -1,12 +1,15 @@
 """Column expressions on raw HTML: title, text blocks, page text, hrefs.
 
-All of it is regular expressions over the whole string, so it stays in the JVM
-and inside code generation; patterns use no repeated groups, which keeps the
-matcher iterative on long pages.
+All of it is regular expressions, so it stays in the JVM. A pass over a page
+costs much the same whatever it looks for; each result therefore takes one or
+two passes that skip hidden content and find what they need at once. Patterns
+start at ``<``, which is what makes a pass fast, and repeat no groups, which
+would recurse on long pages.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -15,29 +18,35 @@ from pyspark.sql import functions as F
 from midyear import constants as K
 from midyear.functions.binding import let
 
-# Control characters mark block borders between the passes; pages lose their own.
-START, END, PARAGRAPH_END, CONTAINER_END = "\x01", "\x02", "\x03", "\x04"
-
+# What follows the ``<`` of a comment, a script or a style sheet, up to its end.
 HIDDEN = (
-    "(?is)<!--.*?(?:-->|\\z)"
-    "|<script(?:\\s[^>]*)?>.*?(?:</script[^>]*>|\\z)"
-    "|<style(?:\\s[^>]*)?>.*?(?:</style[^>]*>|\\z)"
-    "|[\\x01-\\x04]"
+    "!--.*?(?:-->|\\z)"
+    "|script(?:\\s[^>]*)?>.*?(?:</script[^>]*>|\\z)"
+    "|style(?:\\s[^>]*)?>.*?(?:</style[^>]*>|\\z)"
 )
-TITLE = "(?is)<title(?:\\s[^>]*)?>(.*?)(?:</title|\\z)"
+ATTRIBUTES = "(?:[\\s/][^>]*)?"
 TAG = "<[A-Za-z/!?][^>]*(?:>|\\z)"
-BLOCK_START = "(?i)<(?:(h)[0-9]{1,2}|(p))(?:[\\s/][^>]*)?>"
-BLOCK_END = "(?i)</(?:h[0-9]{1,2}|p)\\s*>"
-PARAGRAPH_CLOSER = "(?i)<(?:" + "|".join(K.PARAGRAPH_CLOSERS) + ")(?:[\\s/][^>]*)?>"
-CONTAINER_CLOSER = "(?i)</(?:" + "|".join(K.CONTAINERS) + ")\\s*>"
-# A paragraph ends at any border. A heading ends at its own closing tag, or
-# else where the container around it closes.
-BLOCK = (
-    "(?i)\\x01(p[^\\x01-\\x04]*"
-    "|h[^\\x01\\x02]*(?=\\x02)"
-    "|h[^\\x01\\x02\\x04]*)"
+TITLE = f"(?is)<(?:{HIDDEN}|title(?:\\s[^>]*)?(>.*?)(?:</title|\\z))"
+HREF = f"(?is)<(?:{HIDDEN}|a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+))"
+NOT_SHOWN = f"(?is)<(?:{HIDDEN}|title(?:\\s[^>]*)?>.*?(?:</title[^>]*>|\\z)|[A-Za-z/!?][^>]*(?:>|\\z))"
+
+# One pass drops every tag but those that bound blocks, and shortens these to
+# their captured characters: a heading or paragraph becomes ``<h>`` or ``<p>``,
+# its closing tag ``</>``, a tag that closes an open paragraph ``<<>``, and the
+# closing tag of a container ``</``. Text cannot hold these: they read as tags.
+BORDERS = (
+    f"(?is)(?=<)(?:<(?:{HIDDEN})"
+    f"|(<h)[0-9]{{1,2}}{ATTRIBUTES}(>)"
+    f"|(<p){ATTRIBUTES}(>)"
+    "|(</)(?:h[0-9]{1,2}|p)\\s*(>)"
+    f"|((<))(?:{'|'.join(K.PARAGRAPH_CLOSERS)}){ATTRIBUTES}(>)"
+    f"|(</)(?:{'|'.join(K.CONTAINERS)})\\s*>"
+    f"|{TAG})"
 )
-ANCHOR_HREF = "(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
+BORDER_MARKS = "".join(f"${group}" for group in range(1, 11))
+# A paragraph ends at any border, a heading at its closing tag or the next block.
+BLOCK = "(?is)<(p>.*?(?=<(?:[hp]>|/|<>)|\\z)|h>.*?(?:</>|(?=<[hp]>|\\z)))"
+
 ENTITY = "^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;)"
 
 
@@ -46,11 +55,6 @@ def entity_names() -> dict[str, str]:
     return {"apos": "'", **{name: chr(code) for name, code in name2codepoint.items()}}
 
 
-def strip_hidden(html: Column) -> Column:
-    """Without comments, scripts and style sheets."""
-    return F.regexp_replace(html, HIDDEN, "")
-
-
 def _character(code: Column) -> Column:
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
@@ -89,9 +93,23 @@ def drop_tags(html: Column) -> Column:
     return F.regexp_replace(html, TAG, "")
 
 
+def _found(html: Column, pattern: str) -> Column:
+    """What the group of ``pattern`` captured; hidden content captures nothing."""
+    return F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda part: part != "")
+
+
 def title(html: Column) -> Column:
-    """Text of the first title element, untrimmed; ``''`` without one."""
-    return decode_entities(drop_tags(F.regexp_extract(strip_hidden(html), TITLE, 1)))
+    """Text of the first title element, untrimmed; ``''`` without one.
+
+    Looks at the part before the first ``</title`` and, should that hold none,
+    at the whole page.
+    """
+    head = F.get(_found(F.substring_index(html, "</title", 1), TITLE), F.lit(0))
+    first = F.coalesce(head, F.get(_found(html, TITLE), F.lit(0)))
+    return let(
+        first,
+        lambda part: F.when(part.isNull(), "").otherwise(decode_entities(drop_tags(F.substring(part, 2, 1 << 30)))),
+    )
 
 
 def title_or_fallback(html: Column) -> Column:
@@ -100,24 +118,29 @@ def title_or_fallback(html: Column) -> Column:
 
 def text_blocks(html: Column) -> Column:
     """Text of every heading (h0 to h99) and paragraph, in document order."""
-    marked = F.regexp_replace(strip_hidden(html), BLOCK_START, START + "$1$2")
-    marked = F.regexp_replace(marked, BLOCK_END, END)
-    marked = F.regexp_replace(marked, PARAGRAPH_CLOSER, PARAGRAPH_END)
-    marked = F.regexp_replace(marked, CONTAINER_CLOSER, CONTAINER_END)
-    found = F.regexp_extract_all(drop_tags(marked), F.lit(BLOCK), F.lit(1))
-    borders = PARAGRAPH_END + CONTAINER_END
-    return F.transform(
-        found, lambda b: decode_entities(F.translate(F.substring(b, 2, 1 << 30), borders, ""))
-    )
+    marked = F.regexp_replace(html, BORDERS, BORDER_MARKS)
+
+    def text(block: Column) -> Column:
+        content = F.substring(block, 3, 1 << 30)
+        # A heading closed by its own tag keeps what containers inside it held;
+        # one left open ends where the container around it closes.
+        heading = F.when(
+            block.endswith("</>"), F.regexp_replace(content, "<<>|</>?", "")
+        ).otherwise(F.replace(F.substring_index(content, "</", 1), F.lit("<<>"), F.lit("")))
+        return decode_entities(F.when(F.lower(F.substring(block, 1, 1)) == "p", content).otherwise(heading))
+
+    return F.transform(F.regexp_extract_all(marked, F.lit(BLOCK), F.lit(1)), text)
 
 
 def block_line(block: Column) -> Column:
     """The non-blank lines of a block, each trimmed and led by one space."""
-    lines = F.split(F.translate(block, K.LINE_ENDS, "\n" * len(K.LINE_ENDS)), "\n", -1)
-    trimmed = F.transform(lines, lambda line: F.btrim(line, F.lit(K.BLANKS)))
-    return F.array_join(
-        F.transform(F.filter(trimmed, lambda line: line != ""), lambda line: F.concat(F.lit(" "), line)), ""
-    )
+    # Line ends other than a line feed are rare, and looking for them is cheaper than replacing them.
+    rare = [end for end in K.LINE_ENDS if end != "\n"]
+    unusual = reduce(Column.__or__, (block.contains(end) for end in rare))
+    plain = F.when(unusual, F.translate(block, "".join(rare), "\n" * len(rare))).otherwise(block)
+    trimmed = F.transform(F.split(plain, "\n", -1), lambda line: F.btrim(line, F.lit(K.BLANKS)))
+    lines = F.filter(trimmed, lambda line: line != "")
+    return F.array_join(F.transform(lines, lambda line: F.concat(F.lit(" "), line)), "")
 
 
 def text_of_blocks(blocks: Column) -> Column:
@@ -132,19 +155,15 @@ def page_text(html: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     """Distinct ``href`` values of the anchors of a page, sorted by code point."""
-    found = F.regexp_extract_all(strip_hidden(html), F.lit(ANCHOR_HREF), F.lit(1))
 
     def bare(value: Column) -> Column:
         quoted = value.startswith("\"") | value.startswith("'")
         return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
-    return F.array_sort(F.array_distinct(F.transform(found, lambda v: decode_entities(bare(v)))))
+    return F.array_sort(F.array_distinct(F.transform(_found(html, HREF), lambda v: decode_entities(bare(v)))))
 
 
 def visible_texts(html: Column) -> Column:
     """Text nodes outside comments, scripts, style sheets and the title; blank ones dropped."""
-    shown = F.regexp_replace(strip_hidden(html), TITLE + "[^>]*>?", "<title>")
-    nodes = F.split(shown, TAG, -1)
-    return F.filter(
-        F.transform(nodes, decode_entities), lambda node: F.btrim(node, F.lit(K.BLANKS)) != ""
-    )
+    nodes = F.transform(F.split(html, NOT_SHOWN, -1), decode_entities)
+    return F.filter(nodes, lambda node: F.btrim(node, F.lit(K.BLANKS)) != "")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from midyear import CrawlConfig
+from midyear import CrawlConfig, cut_lineage
 from midyear.functions import html as H
 from midyear.functions import outcomes as O
 from midyear.functions import urls as U
@@ -389,7 +390,10 @@ def single_page_errors(spark, sf_dir):
 
 
 def _run(spark, sf_dir) -> Collection:
-    archives = [V.archive(spark, sf_dir, healed) for healed in range(4)]
+    # Many passes read the archive, so its HTML is parsed once, ahead of them.
+    first = V.archive(spark, sf_dir)
+    links, texts = cut_lineage(first.links), cut_lineage(first.texts)
+    archives = [replace(V.archive(spark, sf_dir, healed), links=links, texts=texts) for healed in range(4)]
     return run(V.seeds(spark, sf_dir), archives, empty_errors(spark))
 
 
