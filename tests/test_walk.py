@@ -61,7 +61,7 @@ def make_world(seed):
 
 
 def queue_walk(world, config):
-    """(site, year, depth, number, requested, error, text) of every visit."""
+    """(site, year, depth, number, requested, error, processed) of every visit."""
     responses, links, texts, homes = world
     answer = {r[0]: r for r in responses}
     text_of = {t[0]: t[2] for t in texts}
@@ -83,11 +83,11 @@ def queue_walk(world, config):
     for site, year, home in homes:
         got = answer[home]
         if "text" in got[4]:
-            rows.append((site, year, 0, 0, got[3], None if text_of[home] else "No text found"))
+            rows.append((site, year, 0, 0, got[3], None if text_of[home] else "No text found", got[3]))
             queue = deque((link, 1) for link in sorted(out_of[home]))
         else:
             error = f"Error_detected: in access url : {got[3]} \t status code: {got[1]}"
-            rows.append((site, year, 0, 0, got[3], error))
+            rows.append((site, year, 0, 0, got[3], error, got[3]))
             queue = deque()
         seen, count = {got[3]}, 0
         while queue and count <= config.page_limit:
@@ -100,7 +100,8 @@ def queue_walk(world, config):
             count += 1
             seen.add(key)
             error, opened = outcome(url, depth)
-            rows.append((site, year, depth, count, url, error))
+            landed = answer[url][3] if url in answer and answer[url][1] else url
+            rows.append((site, year, depth, count, url, error, landed))
             if opened:
                 queue.extend((link, depth + 1) for link in sorted(out_of[url]))
     return sorted(rows, key=str)
@@ -117,7 +118,8 @@ def spark_walk(spark, world, config):
     seeds = spark.createDataFrame(homes, "website string, year_query int, url string")
     visits = W.walk(seeds.join(archive.responses, "url"), archive, config)
     outcomes = W.with_text(visits, archive, config)
-    rows = outcomes.select("website", "year_query", "depth", "n_page", "original_url", "error").collect()
+    landed = W.processed_url(F.col("final_url"), F.col("status"), F.col("original_url"))
+    rows = outcomes.select("website", "year_query", "depth", "n_page", "original_url", "error", landed).collect()
     return sorted((tuple(r) for r in rows), key=str), outcomes
 
 
