@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +40,6 @@ def last_writes(writes: DataFrame, keys: list[str], order: list[str] = ORDER) ->
     )
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(Column.__and__, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def merge_by_key(
     existing: DataFrame,
     writes: DataFrame,
@@ -58,53 +52,30 @@ def merge_by_key(
     A field takes its value from the last write of the key that sets it, also
     if that value is null; a field no write sets stays. ``write_shape`` of a
     write names its kind in ``shapes``. The result has the columns of
-    ``existing``; keys are unique in ``existing``.
+    ``existing``; keys are unique in ``existing`` and never null.
 
-    The writes are brought to one row per key first. ``existing`` is then joined
-    from the left, so its rows move only if the writes are too many to broadcast.
+    The writes are brought to one row per key, which leaves them spread by key;
+    one outer join with ``existing`` then updates and inserts at once.
     """
     fields = [c for c in existing.columns if c not in keys]
     groups: dict[tuple[str, ...], list[str]] = {}
     for field in fields:
         kinds = tuple(kind for kind, sets in shapes.items() if field in sets)
         groups.setdefault(kinds, []).append(field)
-    written = {kinds: names for kinds, names in groups.items() if kinds}
-    untouched = groups.get((), [])
 
-    aggregates = []
-    for number, (kinds, names) in enumerate(written.items()):
+    aggregates, merged = [], {}
+    for number, (kinds, names) in enumerate(groups.items()):
+        if not kinds:
+            continue
         sets = F.col("write_shape").isin(*kinds)
         aggregates += [
             F.max_by(F.when(sets, F.struct(*names)), F.when(sets, F.struct(*order))).alias(f"w{number}"),
             F.max(sets).alias(f"set{number}"),
         ]
+        for name in names:
+            merged[name] = F.when(F.col(f"set{number}"), F.col(f"w{number}.{name}")).otherwise(F.col(name)).alias(name)
     latest = writes.groupBy(*keys).agg(*aggregates)
-
-    source = {
-        name: number for number, names in enumerate(written.values()) for name in names
-    }
-    old, new = existing.alias("old"), latest.alias("new")
-    merged = {
-        name: F.when(F.col(f"new.set{number}"), F.col(f"new.w{number}.{name}")).otherwise(F.col(f"old.{name}"))
-        for name, number in source.items()
-    }
-    updated = old.join(new, _same_key(existing, latest, keys), "left").select(
-        *(
-            F.col(f"old.{c}") if c in keys or c in untouched else merged[c].alias(c)
-            for c in existing.columns
-        )
-    )
-    old_keys = existing.select(*(F.col(k).alias(f"old_{k}") for k in keys))
-    absent = reduce(Column.__and__, (latest[k].eqNullSafe(old_keys[f"old_{k}"]) for k in keys))
-    inserted = latest.join(old_keys, absent, "left_anti").select(
-        *(
-            F.col(c) if c in keys
-            else F.lit(None).cast(existing.schema[c].dataType).alias(c) if c in untouched
-            else F.col(f"w{source[c]}.{c}").alias(c)
-            for c in existing.columns
-        )
-    )
-    return updated.unionByName(inserted)
+    return existing.join(latest, keys, "full").select(*(merged.get(c, F.col(c)) for c in existing.columns))
 
 
 def merge_pages(existing: DataFrame, writes: DataFrame) -> DataFrame:
