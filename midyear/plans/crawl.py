@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from midyear.config import CrawlConfig
 from midyear.functions import outcomes as O
 from midyear.functions.urls import availability_url
-from midyear.operators.joins import restrict
 from midyear.operators.nearest import nearest_capture
 from midyear.plans.walk import page_errors_of, pages_of, walk, with_text
 from midyear.schemas import ERRORS, RESPONSES
@@ -97,12 +96,8 @@ def homepage_errors_of(homepages: DataFrame) -> DataFrame:
 
 def crawl_located(located: DataFrame, archive: Archive, config: CrawlConfig) -> Crawl:
     located = cut_lineage(located)
-    responses = restrict(
-        archive.responses,
-        located.where("capture_url is not null").select(F.col("capture_url").alias("url")),
-        "url",
-        config.broadcast_bytes,
-    )
+    wanted = located.where("capture_url is not null").select(F.col("capture_url").alias("url"))
+    responses = archive.responses_of(wanted, config.broadcast_bytes)
     homepages = cut_lineage(fetch_homepages(located, responses))
     opened = homepages.where("error is null").withColumnRenamed("capture_url", "url").select(
         "website", "year_query", *RESPONSES.fieldNames()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from midyear.config import CrawlConfig
 from midyear.functions import urls as U
 from midyear.functions.outcomes import content_error, page_error
-from midyear.operators.joins import restrict
 from midyear.plans.walk import with_text
 from midyear.schemas import ERRORS, PAGES
 from midyear.session import cut_lineage
@@ -91,9 +90,7 @@ def fetch_pages(rows: DataFrame, responses: DataFrame) -> DataFrame:
 def single_pages(rows: DataFrame, archive: Archive, config: CrawlConfig = CrawlConfig()) -> SinglePages:
     """rows: website, year_query, original_url, processed_url, depth."""
     rows = cut_lineage(rows)
-    responses = restrict(
-        archive.responses, rows.select(F.col("processed_url").alias("url")), "url", config.broadcast_bytes
-    )
+    responses = archive.responses_of(rows.select(F.col("processed_url").alias("url")), config.broadcast_bytes)
     fetched = cut_lineage(fetch_pages(rows, responses))
     opened = fetched.where("failure is null").select(
         "website",

@@ -18,7 +18,6 @@ from midyear.operators.frontier import (
     not_visited,
     within_quota,
 )
-from midyear.operators.joins import restrict
 from midyear.schemas import ERRORS, PAGES
 from midyear.session import cut_lineage
 from midyear.sources.captures import Archive
@@ -97,14 +96,12 @@ def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> DataFra
     visited = level.select(*SITE, F.col("final_url").alias("url_key"))
     for depth in range(1, config.depth + 1):
         parents = _parents(level)
-        links = restrict(archive.links, level.where("error is null"), "url", config.broadcast_bytes)
+        links = archive.links_of(level.where("error is null"), config.broadcast_bytes)
         fresh = not_visited(first_per_key(candidate_links(parents, links, config.year_range)), visited)
         frontier = cut_lineage(within_quota(fresh, config.page_limit))
         if frontier.isEmpty():
             break
-        responses = restrict(
-            archive.responses, frontier.select(F.col("link").alias("url")), "url", config.broadcast_bytes
-        )
+        responses = archive.responses_of(frontier.select(F.col("link").alias("url")), config.broadcast_bytes)
         level = cut_lineage(fetch_links(frontier, responses, depth, config.strict_status).select(*VISIT))
         levels.append(level)
         visited = visited.unionByName(frontier.select(*SITE, "url_key"))
@@ -113,7 +110,7 @@ def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> DataFra
 
 def with_text(visits: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
     """Visits with title and text; an opened page without text becomes an error."""
-    texts = restrict(archive.texts, visits.where("error is null"), "url", config.broadcast_bytes)
+    texts = archive.texts_of(visits.where("error is null"), config.broadcast_bytes)
     empty = F.when(F.coalesce("text", F.lit("")) == "", K.NO_TEXT_MESSAGE)
     return visits.join(texts, "url", "left").withColumn("error", F.coalesce("error", empty))
 

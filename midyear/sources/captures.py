@@ -1,9 +1,9 @@
 """Stored captures, and what is read out of their HTML.
 
-HTML is parsed once. ``extract`` turns captures into an *archive*: the narrow
-response columns next to ``hrefs``, ``title`` and ``text``. Stored with
-``write_archive``, it lets every later job read only the columns it needs and
-never the HTML; left as a plan, column pruning does the same within one job.
+``write_archive`` parses the HTML of all captures once and stores the narrow
+response columns next to ``hrefs``, ``title`` and ``text``; later jobs then read
+only the columns they need and never the HTML. A single job may read captures
+directly: it parses the pages it visits.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from midyear.functions import html as H
+from midyear.functions.binding import computed
 from midyear.functions.urls import capture_time
+from midyear.operators.joins import restrict
 from midyear.schemas import RESPONSES
 
 RESPONSE_COLUMNS = RESPONSES.fieldNames()
@@ -47,27 +49,53 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Archive:
-    """What the jobs read of an archive; one row per URL except in ``links``.
+    """What the jobs read; one row per URL in ``responses`` and in ``pages``.
 
     times: site, url, captured_at. responses: the columns of RESPONSES.
-    links: url, href. texts: url, title, text.
+    pages: url with either html or hrefs, title and text. more_links: url, href
+    beside those of the pages, if any.
     """
 
     times: DataFrame
     responses: DataFrame
-    links: DataFrame
-    texts: DataFrame
+    pages: DataFrame
+    more_links: DataFrame | None = None
 
     @classmethod
-    def of(cls, extracted: DataFrame) -> Archive:
-        """From the output of ``extract``, stored or not."""
+    def of(cls, captures: DataFrame) -> Archive:
+        """From captures, or from what ``write_archive`` stored of them."""
+        content = ["html"] if "html" in captures.columns else ["hrefs", "title", "text"]
         return cls(
-            times=capture_times(extracted),
-            responses=extracted.select(*RESPONSE_COLUMNS),
-            links=extracted.select("url", F.explode("hrefs").alias("href")),
-            texts=extracted.select("url", "title", "text"),
+            times=capture_times(captures),
+            responses=captures.select(*RESPONSE_COLUMNS),
+            pages=captures.select("url", *content),
         )
 
+    def responses_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
+        """Responses of the URLs in ``wanted``, and maybe others."""
+        return restrict(self.responses, wanted, "url", max_bytes)
+
+    def links_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
+        """(url, href) of the pages in ``wanted``, and maybe others.
+
+        Pages are picked before their HTML is parsed.
+        """
+        pages = restrict(self.pages, wanted, "url", max_bytes)
+        if "html" in pages.columns:
+            pages = pages.select("url", computed(H.hrefs(F.col("html"))).alias("hrefs"))
+        links = pages.select("url", F.explode("hrefs").alias("href"))
+        if self.more_links is not None:
+            links = links.unionByName(restrict(self.more_links, wanted, "url", max_bytes))
+        return links
+
+    def texts_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
+        """(url, title, text) of the pages in ``wanted``, and maybe others."""
+        pages = restrict(self.pages, wanted, "url", max_bytes)
+        if "html" not in pages.columns:
+            return pages.select("url", "title", "text")
+        html = F.col("html")
+        return pages.select("url", H.title(html).alias("title"), H.page_text(html).alias("text"))
+
 
 def capture_times(extracted: DataFrame) -> DataFrame:
     """(site, url, captured_at) of captures with a possible time."""

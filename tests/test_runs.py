@@ -11,7 +11,7 @@ from midyear.plans.runs import run
 from midyear.schemas import RESPONSES
 from midyear.sources.captures import Archive
 from midyear.sources.tables import empty_errors, empty_pages
-from tests.test_walk import key_of, make_world, queue_walk
+from tests.test_walk import key_of, make_world, page_table, queue_walk
 
 FAILED = "Domain not scraped at all because we do not access to the closest url returned by WaybackMachine API, "
 THROTTLE = "https://web.archive.org/429.html"
@@ -123,8 +123,7 @@ def test_run_equals_the_dictionaries(spark, seed):
                 [(s, u, u.split("/web/")[1][:14]) for s, _, u in homes], "site string, url string, ts14 string"
             ).withColumn("captured_at", F.try_to_timestamp("ts14", F.lit("yyyyMMddHHmmss"))),
             responses=spark.createDataFrame(responses, RESPONSES),
-            links=spark.createDataFrame(links, "url string, href string"),
-            texts=spark.createDataFrame(texts, "url string, title string, text string"),
+            pages=page_table(spark, links, texts),
         )
         for responses, links, texts, homes in worlds
     ]

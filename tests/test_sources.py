@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from midyear.plans.crawl import crawl
 from midyear.sources import lists as L
-from midyear.sources.captures import Archive, extract, read_archive, write_archive
+from midyear.sources.captures import Archive, read_archive, write_archive
 from verification import views
 
 
@@ -44,11 +44,11 @@ def test_stored_archive_gives_the_same_crawl(spark, tiny, tmp_path):
     assert "html" not in stored.columns
     seeds = views.seeds(spark, tiny)
 
-    def rows(extracted):
-        pages = crawl(seeds, Archive.of(extracted)).pages.drop("lastModified", "snapshot_date")
+    def rows(table):
+        pages = crawl(seeds, Archive.of(table)).pages.drop("lastModified", "snapshot_date")
         return sorted(map(str, pages.collect()))
 
-    assert rows(stored) == rows(extract(captures))
+    assert rows(stored) == rows(captures)
 
 
 def test_archive_reads_only_what_a_job_needs(spark, tiny, tmp_path):
@@ -56,3 +56,17 @@ def test_archive_reads_only_what_a_job_needs(spark, tiny, tmp_path):
     archive = Archive.of(read_archive(spark, str(tmp_path / "archive")))
     plan = archive.times.groupBy("site").agg(F.max("captured_at"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<site:string,ts14:string>" in plan
+
+
+def test_pages_are_picked_before_they_are_parsed(spark, tiny, tmp_path):
+    views.captures(spark, tiny).write.parquet(str(tmp_path / "captures"))
+    archive = Archive.of(spark.read.parquet(str(tmp_path / "captures")))
+    wanted = archive.responses.where("status = 404").select("url")
+    for found in (archive.links_of(wanted, 1 << 20), archive.texts_of(wanted, 1 << 20)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all") > 0
+        assert "regexp_extract_all" not in plan[plan.index("LeftSemi"):]
+        assert "BroadcastHashJoin" in plan
+    # A set over the bound is not broadcast.
+    plan = archive.texts_of(wanted, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan

@@ -107,13 +107,20 @@ def queue_walk(world, config):
     return sorted(rows, key=str)
 
 
+def page_table(spark, links, texts):
+    hrefs = defaultdict(set)
+    for url, href in links:
+        hrefs[url].add(href)
+    rows = [(url, sorted(hrefs[url]), title, text) for url, title, text in texts]
+    return spark.createDataFrame(rows, "url string, hrefs array<string>, title string, text string")
+
+
 def spark_walk(spark, world, config):
     responses, links, texts, homes = world
     archive = Archive(
         times=None,
         responses=spark.createDataFrame(responses, RESPONSES),
-        links=spark.createDataFrame(links, "url string, href string"),
-        texts=spark.createDataFrame(texts, "url string, title string, text string"),
+        pages=page_table(spark, links, texts),
     )
     seeds = spark.createDataFrame(homes, "website string, year_query int, url string")
     visits = W.walk(seeds.join(archive.responses, "url"), archive, config)

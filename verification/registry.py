@@ -25,7 +25,7 @@ from midyear.plans.single_page import single_pages
 from midyear.plans.walk import fetch_links, homepage_visits, pages_of
 from midyear.schemas import RESPONSES
 from midyear.sources import lists as L
-from midyear.sources.captures import capture_times
+from midyear.sources.captures import capture_times, extract
 from midyear.sources.tables import empty_errors, empty_pages
 from verification import views as V
 
@@ -149,9 +149,14 @@ def year_window(spark, sf_dir):
 
 # --- HTML ------------------------------------------------------------------
 
+def _numbered(spark, sf_dir, parts, name) -> DataFrame:
+    found = V.captures(spark, sf_dir).select("page_id", computed(parts).alias("parts"))
+    return found.select("page_id", F.posexplode("parts").alias("pos", name))
+
+
 @query
 def hrefs_distinct(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.hrefs(F.col(HTML))).alias("pos", "href"))
+    return _numbered(spark, sf_dir, H.hrefs(F.col(HTML)), "href")
 
 
 @query
@@ -168,7 +173,7 @@ def title_fallback(spark, sf_dir):
 
 @query
 def text_blocks(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.text_blocks(F.col(HTML))).alias("pos", "block"))
+    return _numbered(spark, sf_dir, H.text_blocks(F.col(HTML)), "block")
 
 
 @query
@@ -185,7 +190,7 @@ def no_text_errors(spark, sf_dir):
 
 @query
 def visible_text(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", F.posexplode(H.visible_texts(F.col(HTML))).alias("pos", "text"))
+    return _numbered(spark, sf_dir, H.visible_texts(F.col(HTML)), "text")
 
 
 @query
@@ -305,13 +310,18 @@ def _opened(spark, sf_dir) -> DataFrame:
     )
 
 
+def _links_by_url(spark, sf_dir) -> DataFrame:
+    links = V.page_hrefs(spark, sf_dir).unionByName(V.archived_links(spark, sf_dir))
+    return links.join(V.captures(spark, sf_dir).select("page_id", "url"), "page_id").select("url", "href")
+
+
 def _frontier(spark, sf_dir) -> DataFrame:
     level = homepage_visits(_opened(spark, sf_dir))
     parents = level.where("error is null").select(
         *SITE, "url", F.col("n_page").alias("position"), F.lit(0).alias("taken"), "n_retries_api"
     )
     visited = level.select(*SITE, F.col("final_url").alias("url_key"))
-    candidates = R.candidate_links(parents, V.archive(spark, sf_dir).links, 1)
+    candidates = R.candidate_links(parents, _links_by_url(spark, sf_dir), 1)
     return R.within_quota(R.not_visited(R.first_per_key(candidates), visited), 20)
 
 
@@ -333,7 +343,9 @@ def fetched_links(spark, sf_dir):
 def homepage_pages(spark, sf_dir):
     """Nearest capture, response, text: the homepage of every seed."""
     visits = homepage_visits(_opened(spark, sf_dir))
-    return _no_clock(pages_of(with_text_lazily(visits, V.archive(spark, sf_dir).texts)))
+    html = F.col(HTML)
+    texts = V.captures(spark, sf_dir).select("url", H.title(html).alias("title"), H.page_text(html).alias("text"))
+    return _no_clock(pages_of(with_text_lazily(visits, texts)))
 
 
 def with_text_lazily(visits: DataFrame, texts: DataFrame) -> DataFrame:
@@ -391,9 +403,9 @@ def single_page_errors(spark, sf_dir):
 
 def _run(spark, sf_dir) -> Collection:
     # Many passes read the archive, so its HTML is parsed once, ahead of them.
-    first = V.archive(spark, sf_dir)
-    links, texts = cut_lineage(first.links), cut_lineage(first.texts)
-    archives = [replace(V.archive(spark, sf_dir, healed), links=links, texts=texts) for healed in range(4)]
+    pages = cut_lineage(extract(V.captures(spark, sf_dir)).select("url", "hrefs", "title", "text"))
+    more = cut_lineage(V.archive(spark, sf_dir).more_links)
+    archives = [replace(V.archive(spark, sf_dir, healed), pages=pages, more_links=more) for healed in range(4)]
     return run(V.seeds(spark, sf_dir), archives, empty_errors(spark))
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from midyear import constants as K
 from midyear.functions import html as H
+from midyear.functions.binding import computed
 from midyear.operators.merge import last_writes
 from midyear.schemas import ERRORS, PAGE_KEY, PAGES
-from midyear.sources.captures import Archive, extract
+from midyear.sources.captures import Archive
 
 # Pages of one site are numbered chunk by chunk, so no task holds a whole site.
 CHUNK = 1 << 16
@@ -172,7 +173,8 @@ def odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, page_id, href): distinct hrefs in the HTML."""
-    return captures(spark, sf_dir).select("site", "page_id", F.explode(H.hrefs(F.col("html"))).alias("href"))
+    found = captures(spark, sf_dir).select("site", "page_id", computed(H.hrefs(F.col("html"))).alias("hrefs"))
+    return found.select("site", "page_id", F.explode("hrefs").alias("href"))
 
 
 def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,9 +188,8 @@ def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str, healed: int = 0) -> Archive:
     """Captures as an archive, with the archived links beside those of the HTML."""
     stored = captures(spark, sf_dir, healed)
-    plain = Archive.of(extract(stored))
     more = archived_links(spark, sf_dir).join(stored.select("page_id", "url"), "page_id").select("url", "href")
-    return replace(plain, links=plain.links.unionByName(more))
+    return replace(Archive.of(stored), more_links=more)
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
