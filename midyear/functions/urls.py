@@ -90,7 +90,20 @@ def resolve_href(href: Column, website: Column) -> Column:
         relative = F.translate(F.regexp_replace(url, "(?i)^http:", ""), "\t\r\n", "")
         return F.when(done, url).otherwise(let(relative, _joined))
 
-    return let(placed, below_root)
+    return F.when(_is_plain(href), F.concat(F.lit(K.ARCHIVE_ROOT), href)).otherwise(let(placed, below_root))
+
+
+def _is_plain(href: Column) -> Column:
+    """Root-relative links to captures, such as ``/web/2016.../http://ex.com/a``.
+
+    Most links of archived pages look so. They only need the root in front:
+    nothing in them is dropped, resolved or an archive URL of its own.
+    """
+    absent = ("/.", "?#", "http://web", "\t", "\r", "\n")
+    plain = href.startswith("/") & href.contains("http") & ~href.startswith("//")
+    for part in absent:
+        plain &= ~href.contains(part)
+    return plain & ~href.endswith("#") & ~href.endswith("?")
 
 
 def _joined(url: Column) -> Column:
