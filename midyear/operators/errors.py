@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from midyear import constants as K
@@ -14,19 +14,23 @@ def homepages_to_retry(errors: DataFrame) -> DataFrame:
     return errors.where(is_homepage_error()).select("website", "year_query")
 
 
-def pages_to_retry(errors: DataFrame) -> DataFrame:
-    """Failed link pages of depth 1 that another attempt may open.
+def is_retriable_page() -> Column:
+    """A failed link page of depth 1 that another attempt may open.
 
     Pages without text and pages answered with 40x are left alone; a missing
     message or flag passes.
     """
     message = F.col("error_message")
-    return errors.where(
+    return (
         ~message.eqNullSafe(K.NO_TEXT_MESSAGE)
         & ~F.coalesce(message.rlike(K.PERMANENT_STATUS), F.lit(False))
         & F.col("website_not_scrapped").isNull()
-        & (F.col("Depth") == 1)
-    ).select(
+        & F.coalesce(F.col("Depth") == 1, F.lit(False))
+    )
+
+
+def pages_to_retry(errors: DataFrame) -> DataFrame:
+    return errors.where(is_retriable_page()).select(
         "website",
         "year_query",
         F.col("original_query_URL_wayback_machine").alias("original_url"),
@@ -36,10 +40,15 @@ def pages_to_retry(errors: DataFrame) -> DataFrame:
 
 
 def error_counts(errors: DataFrame) -> DataFrame:
-    """Rows to retry of either kind, in one pass."""
-    homepages = homepages_to_retry(errors).select(F.lit("homepage").alias("kind"))
-    pages = pages_to_retry(errors).select(F.lit("page").alias("kind"))
-    return homepages.unionByName(pages).groupBy("kind").agg(F.count("*").alias("n"))
+    """Rows to retry of either kind, counted in one pass."""
+    counts = errors.agg(
+        F.count_if(is_homepage_error()).alias("homepage"), F.count_if(is_retriable_page()).alias("page")
+    )
+    return counts.select(
+        F.inline(F.array(*(
+            F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("n")) for kind in ("homepage", "page")
+        )))
+    )
 
 
 def site_years(rows: DataFrame) -> DataFrame:
