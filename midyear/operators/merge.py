@@ -99,20 +99,21 @@ def merge_homepage_errors(existing: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def clear_homepage_errors(errors: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Without the homepage errors of sites and years in ``scraped``."""
-    done = scraped.select(*HOMEPAGE_ERROR_KEY).distinct().withColumn("website_not_scrapped", F.lit(True))
-    return errors.join(done, [*HOMEPAGE_ERROR_KEY, "website_not_scrapped"], "left_anti").select(*errors.columns)
+    """Without the homepage errors of sites and years in ``scraped``.
+
+    Only homepage errors, one per site and year, take part in the join.
+    """
+    return _cleared(errors, is_homepage_error(), scraped, HOMEPAGE_ERROR_KEY)
 
 
 def clear_page_errors(errors: DataFrame, opened: DataFrame) -> DataFrame:
     """Without the page errors whose key is in ``opened``."""
-    done = opened.select(*PAGE_ERROR_KEY).distinct()
-    return (
-        errors.where(~is_homepage_error())
-        .join(done, PAGE_ERROR_KEY, "left_anti")
-        .select(*errors.columns)
-        .unionByName(errors.where(is_homepage_error()))
-    )
+    return _cleared(errors, ~is_homepage_error(), opened, PAGE_ERROR_KEY)
+
+
+def _cleared(errors: DataFrame, concerned: Column, done: DataFrame, keys: list[str]) -> DataFrame:
+    kept = errors.where(concerned).join(done.select(*keys).distinct(), keys, "left_anti")
+    return kept.select(*errors.columns).unionByName(errors.where(~concerned))
 
 
 def cleared_counts(errors: DataFrame, scraped: DataFrame, opened: DataFrame) -> DataFrame:
