@@ -14,14 +14,16 @@ from its mass alone. Best-first search therefore takes the node of the largest
 value, draws the rest of that segmentation piece by piece, and splits off, at each
 step, the alternatives as one node with a value truncated at the parent's. What is left
 on top after k is the threshold of the inclusion scores. Splits behind a prefix of
-probability e**-80 are left out: no double could tell them apart. All noise is a
+probability e**-45 are left out: no double could tell them apart. All noise is a
 function of the row's key, the sample and the place.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from .common import byte_slices, keyed, worker_memory
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 4
-BATCH_BYTES = 4 << 20
-FAR = -80.0
+BATCH_BYTES = 8 << 20
+FAR = -45.0
 U = np.uint64
 CELL = re.compile(rb" *[^ \n]+| +|\n")
 BLANK_PIECE = "▁"
@@ -98,14 +100,15 @@ class Lattice:
 
     def __init__(self, cells: list[bytes], v: Vocabulary) -> None:
         self.buffer = np.frombuffer(b"\0".join(cells) + b"\0", np.uint8)
-        sizes = np.fromiter(map(len, cells), np.int64, len(cells))
-        self.start = np.cumsum(sizes + 1) - sizes - 1
+        # Places fit 32 bits: a batch ends with the text that fills it, and a text is shorter than 2 GB.
+        sizes = np.fromiter(map(len, cells), np.int32, len(cells))
+        self.start = np.cumsum(sizes + 1, dtype=np.int32) - sizes - 1
         self.end = self.start + sizes
-        cell = np.repeat(np.arange(len(cells)), sizes + 1)
+        cell = np.repeat(np.arange(len(cells), dtype=np.int32), sizes + 1)
         node = (self.buffer & 0xC0) != 0x80
         node[self.start] = True
         node[self.end] = False
-        nodes = np.flatnonzero(node)
+        nodes = np.flatnonzero(node).astype(np.int32)
         stop = self.end[cell[nodes]]
         begins, ends, ids = [], [], []
         at, state, bound = nodes, np.zeros(len(nodes), np.int32), stop
@@ -120,11 +123,11 @@ class Lattice:
             ends.append(at[found] + t + 1)
             ids.append(v.piece[state[found]])
         # A character that is no piece is spelled in bytes.
-        following = np.append(nodes[1:], len(self.buffer))
+        following = np.append(nodes[1:], np.int32(len(self.buffer)))
         following = np.minimum(following, stop)
         single = np.zeros(len(self.buffer) + 1, bool)
-        index = np.zeros(len(self.buffer) + 1, np.int64)
-        index[nodes] = np.arange(len(nodes))
+        index = np.zeros(len(self.buffer) + 1, np.int32)
+        index[nodes] = np.arange(len(nodes), dtype=np.int32)
         for b, e in zip(begins, ends):
             single[b[e == following[index[b]]]] = True
         spelled = ~single[nodes]
@@ -132,29 +135,32 @@ class Lattice:
         ends.append(following[spelled])
         ids.append(np.full(spelled.sum(), -1, np.int32))
         begin, end, piece = (np.concatenate(x[::-1]) for x in (begins, ends, ids))
-        weight = np.where(piece >= 0, v.weights[piece], v.weights[v.first_byte] * (end - begin))
         order = np.argsort(begin, kind="stable")  # longest pieces first within a node
-        begin, end, self.id, weight = begin[order], end[order], piece[order], weight[order]
-        self.begin, self.to = begin, end
-        self.low = np.zeros(len(self.buffer) + 1, np.int64)  # edges of a node: from low to high
-        self.high = np.zeros(len(self.buffer) + 1, np.int64)
-        new = np.flatnonzero(np.r_[True, begin[1:] != begin[:-1]])
-        self.low[begin[new]], self.high[begin[new]] = new, np.append(new[1:], len(begin))
-        # Log sums from the last place of the cells to the first.
+        depth = (begin - self.start[cell[begin]])[order]
+        narrow = np.int16 if len(depth) and depth.max() < 1 << 15 else np.int32  # narrow ones sort by radix
+        by_depth = np.argsort((-depth).astype(narrow), kind="stable")
+        order, depth = order[by_depth], depth[by_depth]
+        # Edges stand by node, and nodes from the last place of their cells to the first.
+        self.begin, self.to, self.id = begin[order], end[order], piece[order]
+        weight = np.where(self.id >= 0, v.weights[self.id], v.weights[v.first_byte] * (self.to - self.begin))
+        new = np.flatnonzero(np.r_[True, self.begin[1:] != self.begin[:-1]])
+        stops = np.append(new[1:], len(begin))
+        self.low = np.zeros(len(self.buffer) + 1, np.int32)  # edges of a node: from low to high
+        self.high = np.zeros(len(self.buffer) + 1, np.int32)
+        self.low[self.begin[new]], self.high[self.begin[new]] = new, stops
+        # Log sums of the weights from each place on, depth by depth.
         total = np.zeros(len(self.buffer) + 1)
-        depth = begin - self.start[cell[begin]]
-        by_depth = np.argsort(-depth, kind="stable")
-        self.p = np.zeros(len(begin))
-        cuts = np.flatnonzero(np.r_[True, np.diff(depth[by_depth]) != 0, True])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            e = by_depth[a:b]
-            value, own = weight[e] + total[end[e]], begin[e]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            spread = np.diff(np.append(first, len(e)))
+        self.log_p = np.zeros(len(begin))
+        cuts = np.flatnonzero(np.r_[True, np.diff(depth[new]) != 0, True])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            a, b, first = new[i], stops[j - 1], new[i:j] - new[i]
+            value, spread = weight[a:b] + total[self.to[a:b]], stops[i:j] - new[i:j]
             top = np.maximum.reduceat(value, first)
-            total[own[first]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, spread)), first))
-            self.p[e] = np.exp(value - np.repeat(total[own[first]], spread))
-        self.log_p = np.log(self.p)
+            value -= np.repeat(top, spread)
+            sums = np.log(np.add.reduceat(np.exp(value), first))
+            total[self.begin[new[i:j]]] = top + sums
+            self.log_p[a:b] = value - np.repeat(sums, spread)
+        self.p = np.exp(self.log_p)
 
 
 def noise(base: np.ndarray) -> np.ndarray:
@@ -185,7 +191,7 @@ def walk(lattice: Lattice, at: np.ndarray, stop: np.ndarray, keys: np.ndarray) -
         more = here < stop[active]
         active, here, t = active[more], here[more], t + 1
     first = np.cumsum(steps) - steps
-    out = np.zeros(int(steps.sum()), np.int64)
+    out = np.zeros(int(steps.sum()), np.int32)
     for t, (which, edge) in enumerate(drawn):
         out[first[which] + t] = edge
     return out, steps
@@ -199,8 +205,8 @@ def truncated(mass: np.ndarray, u: np.ndarray, most: float) -> np.ndarray:
 class Search:
     """Best-first search over one document's segmentations."""
 
-    def __init__(self, seed: int, cells: np.ndarray) -> None:
-        self.seed, self.cells, self.heap, self.found = seed, cells, [], []
+    def __init__(self, seed: int, cells: np.ndarray, wanted: int) -> None:
+        self.seed, self.cells, self.wanted, self.heap, self.found = seed, cells, wanted, [], []
         self.value = float(-np.log(-np.log(noise(np.array([seed], U))[0]))) if len(cells) else 0.0
         self.branch = None
 
@@ -226,7 +232,10 @@ class Search:
         place, taken = place[rest], taken[rest]
         mass = before[place] + np.log1p(-taken)
         keys = U(self.key(sample) ^ 0x5851F42D4C957F2D) + place.astype(U) * U(0xD6E8FEB86659FD93)
-        for g, i in zip(truncated(mass, noise(keys), self.value).tolist(), place.tolist()):
+        values = truncated(mass, noise(keys), self.value)
+        most = self.wanted - sample  # more of them cannot be taken, nor be the threshold
+        best = np.argpartition(-values, most)[:most] if len(values) > most else np.arange(len(values))
+        for g, i in zip(values[best].tolist(), place[best].tolist()):
             gone = (int(edges[i]), *(excluded if i == fixed else ()))
             heapq.heappush(self.heap, (-g, sample, i, gone))
 
@@ -241,8 +250,8 @@ class Search:
 
 def sample_batch(texts: list[bytes], seeds: list[int], v: Vocabulary, k: int) -> tuple[Lattice | None, list[Search]]:
     """The k segmentations of each text, or all if there are fewer."""
-    known: dict[bytes, int] = {}
-    searches = [Search(s, np.fromiter((known.setdefault(c, len(known)) for c in cells_of(t)), np.int64)) for t, s in zip(texts, seeds)]
+    known: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    searches = [Search(s, np.fromiter(map(known.__getitem__, cells_of(t)), np.int64), k) for t, s in zip(texts, seeds)]
     if not known:
         for s in searches:
             s.found.append((np.zeros(0, np.int64), 0.0, 0.0))
@@ -299,14 +308,10 @@ def ids_of(lattice: Lattice, edges: np.ndarray, v: Vocabulary) -> np.ndarray:
     out = np.repeat(ids, sizes)
     place = np.repeat(lattice.begin[edges] - first, sizes) + np.arange(len(out))
     spelled = out < 0
-    out[spelled] = self_bytes(lattice, place[spelled]) + v.first_byte
+    out[spelled] = lattice.buffer[place[spelled]].astype(np.int32) + v.first_byte
     return out.astype("<i4")
 
 
-def self_bytes(lattice: Lattice, places: np.ndarray) -> np.ndarray:
-    return lattice.buffer[places].astype(np.int32)
-
-
 def decode(ids, v: Vocabulary) -> bytes:
     """The text of piece numbers, without the blank in front."""
     return b"".join(map(v.bytes.__getitem__, ids))[1:]
