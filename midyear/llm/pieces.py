@@ -37,7 +37,9 @@ from .common import byte_slices, keyed, worker_memory
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 4
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
+BLOCK_CELLS = 1 << 14
+SPELL = 1 << 19
 FAR = -45.0
 U = np.uint64
 CELL = re.compile(rb" *[^ \n]+| +|\n")
@@ -81,6 +83,9 @@ class Vocabulary:
         self.piece = np.full(len(nodes), -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
         self.longest = max(len(self.bytes[i]) for i in used)
+        self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.fromiter(map(len, self.bytes), np.int32, size)
+        self.places = np.cumsum(self.sizes) - self.sizes
 
 
 def vocabulary(model: bytes) -> Vocabulary:
@@ -96,71 +101,81 @@ def cells_of(text: bytes) -> list[bytes]:
 
 
 class Lattice:
-    """The edges of many cells; a place is an index into their bytes, with one more after each cell."""
+    """The edges of many cells; a place is an index into their bytes, with one more after each cell.
+
+    Cells are worked off in blocks that fit a processor's cache. Places fit 32 bits: a
+    batch ends with the text that fills it, and a text is shorter than 2 GB.
+    """
 
     def __init__(self, cells: list[bytes], v: Vocabulary) -> None:
-        self.buffer = np.frombuffer(b"\0".join(cells) + b"\0", np.uint8)
-        # Places fit 32 bits: a batch ends with the text that fills it, and a text is shorter than 2 GB.
-        sizes = np.fromiter(map(len, cells), np.int32, len(cells))
-        self.start = np.cumsum(sizes + 1, dtype=np.int32) - sizes - 1
-        self.end = self.start + sizes
-        cell = np.repeat(np.arange(len(cells), dtype=np.int32), sizes + 1)
-        node = (self.buffer & 0xC0) != 0x80
-        node[self.start] = True
-        node[self.end] = False
-        nodes = np.flatnonzero(node).astype(np.int32)
-        stop = self.end[cell[nodes]]
-        begins, ends, ids = [], [], []
-        at, state, bound = nodes, np.zeros(len(nodes), np.int32), stop
-        for t in range(v.longest):
-            state = v.next[state, self.buffer[np.minimum(at + t, bound)]]
-            alive = (state > 0) & (at + t < bound)
-            at, state, bound = at[alive], state[alive], bound[alive]
-            if not len(at):
-                break
-            found = v.piece[state] >= 0
-            begins.append(at[found])
-            ends.append(at[found] + t + 1)
-            ids.append(v.piece[state[found]])
-        # A character that is no piece is spelled in bytes.
-        following = np.append(nodes[1:], np.int32(len(self.buffer)))
-        following = np.minimum(following, stop)
-        single = np.zeros(len(self.buffer) + 1, bool)
-        index = np.zeros(len(self.buffer) + 1, np.int32)
-        index[nodes] = np.arange(len(nodes), dtype=np.int32)
-        for b, e in zip(begins, ends):
-            single[b[e == following[index[b]]]] = True
-        spelled = ~single[nodes]
-        begins.append(nodes[spelled])
-        ends.append(following[spelled])
-        ids.append(np.full(spelled.sum(), -1, np.int32))
-        begin, end, piece = (np.concatenate(x[::-1]) for x in (begins, ends, ids))
-        order = np.argsort(begin, kind="stable")  # longest pieces first within a node
-        depth = (begin - self.start[cell[begin]])[order]
-        narrow = np.int16 if len(depth) and depth.max() < 1 << 15 else np.int32  # narrow ones sort by radix
-        by_depth = np.argsort((-depth).astype(narrow), kind="stable")
-        order, depth = order[by_depth], depth[by_depth]
-        # Edges stand by node, and nodes from the last place of their cells to the first.
-        self.begin, self.to, self.id = begin[order], end[order], piece[order]
-        weight = np.where(self.id >= 0, v.weights[self.id], v.weights[v.first_byte] * (self.to - self.begin))
-        new = np.flatnonzero(np.r_[True, self.begin[1:] != self.begin[:-1]])
-        stops = np.append(new[1:], len(begin))
-        self.low = np.zeros(len(self.buffer) + 1, np.int32)  # edges of a node: from low to high
-        self.high = np.zeros(len(self.buffer) + 1, np.int32)
-        self.low[self.begin[new]], self.high[self.begin[new]] = new, stops
-        # Log sums of the weights from each place on, depth by depth.
-        total = np.zeros(len(self.buffer) + 1)
-        self.log_p = np.zeros(len(begin))
-        cuts = np.flatnonzero(np.r_[True, np.diff(depth[new]) != 0, True])
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            a, b, first = new[i], stops[j - 1], new[i:j] - new[i]
-            value, spread = weight[a:b] + total[self.to[a:b]], stops[i:j] - new[i:j]
-            top = np.maximum.reduceat(value, first)
-            value -= np.repeat(top, spread)
-            sums = np.log(np.add.reduceat(np.exp(value), first))
-            total[self.begin[new[i:j]]] = top + sums
-            self.log_p[a:b] = value - np.repeat(sums, spread)
-        self.p = np.exp(self.log_p)
+        blocks, place, edge = [], 0, 0
+        for i in range(0, len(cells), BLOCK_CELLS):
+            blocks.append(block_edges(cells[i : i + BLOCK_CELLS], v, place, edge))
+            place += len(blocks[-1][0])
+            edge += len(blocks[-1][3])
+        self.buffer, self.start, self.end, self.begin, self.to, self.id, self.p, self.low, self.high = (np.concatenate(x) for x in zip(*blocks))
+
+
+def block_edges(cells: list[bytes], v: Vocabulary, place: int, edge: int) -> tuple[np.ndarray, ...]:
+    """The arrays of a Lattice for some cells, whose first place and edge get the given numbers.
+
+    begin, to, id and p are of edges; edges low to high are a place's.
+    """
+    buffer = np.frombuffer(b"\0".join(cells) + b"\0", np.uint8)
+    sizes = np.fromiter(map(len, cells), np.int32, len(cells))
+    start = np.cumsum(sizes + 1, dtype=np.int32) - sizes - 1
+    end = start + sizes
+    cell = np.repeat(np.arange(len(cells), dtype=np.int32), sizes + 1)
+    node = (buffer & 0xC0) != 0x80
+    node[start] = True
+    node[end] = False
+    nodes = np.flatnonzero(node).astype(np.int32)
+    stop = end[cell[nodes]]
+    following = np.minimum(np.append(nodes[1:], np.int32(len(buffer))), stop)
+    single = np.zeros(len(buffer), bool)  # characters that are pieces
+    begins, ends, ids = [], [], []
+    at, state, bound, one = nodes, np.zeros(len(nodes), np.int32), stop, following
+    for t in range(v.longest):
+        state = v.next[state, buffer[at + t]]
+        found = v.piece[state] >= 0
+        begins.append(at[found])
+        ends.append(at[found] + np.int32(t + 1))
+        ids.append(v.piece[state[found]])
+        single[begins[-1][ends[-1] == one[found]]] = True
+        alive = (state > 0) & (at + t + 1 < bound)
+        at, state, bound, one = at[alive], state[alive], bound[alive], one[alive]
+        if not len(at):
+            break
+    # A character that is no piece is spelled in bytes.
+    spelled = ~single[nodes]
+    begins.append(nodes[spelled])
+    ends.append(following[spelled])
+    ids.append(np.full(spelled.sum(), -1, np.int32))
+    begin, to, id_ = (np.concatenate(x[::-1]) for x in (begins, ends, ids))
+    order = np.argsort(begin, kind="stable")  # longest pieces first within a node
+    depth = (begin - start[cell[begin]])[order]
+    narrow = np.int16 if depth.max() < 1 << 15 else np.int32  # narrow ones sort by radix
+    by_depth = np.argsort((-depth).astype(narrow), kind="stable")
+    # Edges stand by node, and nodes from the last place of their cells to the first.
+    order, depth = order[by_depth], depth[by_depth]
+    begin, to, id_ = begin[order], to[order], id_[order]
+    weight = np.where(id_ >= 0, v.weights[id_], v.weights[v.first_byte] * (to - begin))
+    new = np.flatnonzero(np.r_[True, begin[1:] != begin[:-1]])
+    stops = np.append(new[1:], len(begin))
+    low, high = np.zeros(len(buffer), np.int32), np.zeros(len(buffer), np.int32)
+    low[begin[new]], high[begin[new]] = new + edge, stops + edge
+    # Log sums of the weights from each place on, depth by depth.
+    total, p = np.zeros(len(buffer)), np.empty(len(begin))
+    cuts = np.flatnonzero(np.r_[True, np.diff(depth[new]) != 0, True])
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        a, b, first = new[i], stops[j - 1], new[i:j] - new[i]
+        value, spread = weight[a:b] + total[to[a:b]], stops[i:j] - new[i:j]
+        top = np.maximum.reduceat(value, first)
+        share = np.exp(value - np.repeat(top, spread))
+        sums = np.add.reduceat(share, first)
+        total[begin[new[i:j]]] = top + np.log(sums)
+        p[a:b] = share / np.repeat(sums, spread)
+    return buffer, start + np.int32(place), end + np.int32(place), begin + np.int32(place), to + np.int32(place), id_, p, low, high
 
 
 def noise(base: np.ndarray) -> np.ndarray:
@@ -216,14 +231,15 @@ class Search:
     def add(self, lattice: Lattice, edges: np.ndarray, steps: np.ndarray, fixed: int, excluded: tuple) -> None:
         """A segmentation is complete: its first ``fixed`` edges are its node's prefix, ``excluded`` edges were not allowed next."""
         sample = len(self.found)
-        log_p = lattice.log_p[edges]
+        p = lattice.p[edges]
+        log_p = np.log(p)
         self.found.append((edges, self.value, float(log_p.sum())))
         before = np.cumsum(log_p) - log_p
         upto = min(len(edges), fixed + int(np.searchsorted(-before[fixed:], -FAR - before[fixed] if fixed < len(edges) else 0.0)))
         place = np.arange(fixed, upto)
         if not len(place):
             return
-        taken = lattice.p[edges[place]]
+        taken = p[fixed:upto].copy()
         if excluded:
             taken[0] += lattice.p[list(excluded)].sum()
         count = lattice.high[lattice.begin[edges[place]]] - lattice.low[lattice.begin[edges[place]]]
@@ -298,23 +314,32 @@ def ends_of(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
     return lattice.end[np.searchsorted(lattice.start, lattice.begin[edges], side="right") - 1]
 
 
-def ids_of(lattice: Lattice, edges: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Piece numbers; spelled characters give one number per byte."""
+def ids_of(lattice: Lattice, edges: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece numbers of edges, and how many stand up to each edge; spelled characters give one number per byte."""
     ids = lattice.id[edges]
-    if (ids >= 0).all():
-        return ids.astype("<i4")
-    sizes = np.where(ids >= 0, 1, lattice.to[edges] - lattice.begin[edges])
-    first = np.cumsum(sizes) - sizes
+    spelled = np.flatnonzero(ids < 0)
+    if not len(spelled):
+        return ids.astype("<i4"), np.arange(1, len(ids) + 1)
+    sizes = np.ones(len(ids), np.int64)
+    sizes[spelled] = (lattice.to[edges[spelled]] - lattice.begin[edges[spelled]])
+    ends = np.cumsum(sizes)
     out = np.repeat(ids, sizes)
-    place = np.repeat(lattice.begin[edges] - first, sizes) + np.arange(len(out))
-    spelled = out < 0
-    out[spelled] = lattice.buffer[place[spelled]].astype(np.int32) + v.first_byte
-    return out.astype("<i4")
+    some = sizes[spelled]
+    within = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+    out[np.repeat(ends[spelled] - some, some) + within] = lattice.buffer[np.repeat(lattice.begin[edges[spelled]], some) + within].astype(np.int32) + v.first_byte
+    return out.astype("<i4"), ends
+
+
+def bytes_of(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that piece numbers stand for, and how many stand up to each number."""
+    sizes = v.sizes[ids]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return v.pool[np.repeat(v.places[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-def decode(ids, v: Vocabulary) -> bytes:
+def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
     """The text of piece numbers, without the blank in front."""
-    return b"".join(map(v.bytes.__getitem__, ids))[1:]
+    return bytes_of(ids, v)[0].tobytes()[1:]
 
 
 SCHEMA = "doc_id long, text_hash long, sample int, pieces binary, n_pieces long, log_probability double, perturbed double, log_inclusion double, round_trip boolean"
@@ -326,16 +351,31 @@ def log_inclusion(log_p: float, threshold: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
+def runs(ends: np.ndarray, size: int):
+    """Consecutive ranges of things that together have about ``size``, given their running totals."""
+    low = 0
+    while low < len(ends) - 1:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + size, side="right")) - 1)
+        yield low, high
+        low = high
+
+
 def _samples(model, k: int, seed: int):
     def emit(keys, texts, v):
         seeds = [xxhash.xxh64_intdigest(f"{a}/{b}".encode(), seed) for a, b in keys]
         lattice, searches = sample_batch(texts, seeds, v, k)
-        rows = []
-        for (doc_id, text_hash), text, s in zip(keys, texts, searches):
-            threshold = -s.heap[0][0] if s.heap and len(s.found) >= k else -np.inf
-            for i, (edges, value, log_p) in enumerate(s.found[:k]):
-                ids = ids_of(lattice, edges, v) if len(edges) else np.zeros(0, "<i4")
-                rows.append((doc_id, text_hash, i + 1, ids.tobytes(), len(ids), log_p, value, log_inclusion(log_p, threshold), decode(ids.tolist(), v) == text))
+        rows, found = [], [(key, text, s, i) for key, text, s in zip(keys, texts, searches) for i in range(len(s.found[:k]))]
+        counts = np.cumsum([0] + [len(s.found[i][0]) for *_, s, i in found])
+        for low, high in runs(counts, SPELL):
+            edges = np.concatenate([s.found[i][0] for *_, s, i in found[low:high]])
+            ids, ends = ids_of(lattice, edges, v) if lattice else (np.zeros(0, "<i4"), edges)
+            ends = np.r_[0, ends][counts[low : high + 1] - counts[low]].tolist()
+            data, upto = bytes_of(ids, v)
+            upto = np.r_[0, upto][ends].tolist()
+            for ((doc_id, text_hash), text, s, i), a, b, x, y in zip(found[low:high], ends[:-1], ends[1:], upto[:-1], upto[1:]):
+                threshold = -s.heap[0][0] if s.heap and len(s.found) >= k else -np.inf
+                _, value, log_p = s.found[i]
+                rows.append((doc_id, text_hash, i + 1, ids[a:b].tobytes(), b - a, log_p, value, log_inclusion(log_p, threshold), data[x:y].tobytes()[1:] == text))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -377,7 +417,7 @@ def _decoded(model):
     def run(batches):
         v = vocabulary(model.value)
         for batch in batches:
-            texts = [decode(np.frombuffer(p, "<i4").tolist(), v).decode("utf-8", "replace") for p in byte_slices(batch.column("pieces"))]
+            texts = [decode(np.frombuffer(p, "<i4"), v).decode("utf-8", "replace") for p in byte_slices(batch.column("pieces"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "sample")), pa.array(texts, pa.string())], names=["doc_id", "text_hash", "sample", "text"])
 
     return run

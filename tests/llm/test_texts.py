@@ -96,7 +96,7 @@ def segmentations(text):
 def sampled(text, seed, k):
     lattice, (search,) = pieces.sample_batch([text.encode()], [seed], VOCABULARY, k)
     threshold = -search.heap[0][0] if search.heap and len(search.found) >= k else -np.inf
-    return [(tuple(pieces.ids_of(lattice, e, VOCABULARY).tolist()), g, p) for e, g, p in search.found[:k]], threshold
+    return [(tuple(pieces.ids_of(lattice, e, VOCABULARY)[0].tolist()), g, p) for e, g, p in search.found[:k]], threshold
 
 
 @pytest.mark.parametrize("text", ["the cat", "▁é漢 \n a", "abab", "x"])
