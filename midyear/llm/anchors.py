@@ -32,6 +32,8 @@ BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
 BLOCK_SEGMENTS = 8192
 HOT_SEGMENTS = 50_000
+# The tables of anchors grow with the texts: all but small ones are joined by shuffle.
+SMALL = 1 << 20
 U = np.uint64
 
 
@@ -153,7 +155,7 @@ def symbols_of(text, rule: Repeats) -> np.ndarray:
     return word_hashes(text) if rule.words else byte_values()[np.frombuffer(text, np.uint8)]
 
 
-ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64())])
+ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("right", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64())])
 SPAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -167,7 +169,7 @@ def _list_anchors(rule: Repeats):
                 at, anchor, segment = anchors_of(symbols, rule)
                 if len(at):
                     ids += [key[0]] * len(at)
-                    columns.append((np.full(len(at), key[1]), np.full(len(at), len(symbols)), at, anchor.view(np.int64), segment.view(np.int64)))
+                    columns.append((np.full(len(at), key[1]), np.minimum(rule.length, len(symbols) - at), at, anchor.view(np.int64), segment.view(np.int64)))
                     n += len(at)
                 if n > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*columns))], schema=ANCHOR)
@@ -258,20 +260,20 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     Spans may overlap; rows without any are left out; each row key has one row.
     """
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
-    schema = "doc_id long, text_hash long, n long, at long, anchor long, segment long"
+    schema = "doc_id long, text_hash long, right long, at long, anchor long, segment long"
     anchors = stored(rows.mapInArrow(_list_anchors(rule), schema), "anchors")
     again = stored(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors-repeated")
-    shared = stored(sized_join(anchors, again, ["anchor"], "left_semi"), "anchors-shared")
+    shared = stored(sized_join(anchors, again, ["anchor"], "left_semi", SMALL), "anchors-shared")
 
     one = F.min(F.struct("doc_id", "text_hash", "at")).alias("one")
     kinds = stored(shared.groupBy("anchor", "segment").agg(F.count("*").alias("times"), one), "segments")
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least"))
     groups = stored(groups.where("kinds > 1 and least = 1").select("anchor", (F.col("kinds") > rule.hot_segments).alias("hot")), "segment-groups")
-    open_ = stored(sized_join(kinds, groups, ["anchor"], "inner").select("one.*", "anchor", (F.col("times") > 1).alias("whole"), "hot"), "segments-open")
+    open_ = stored(sized_join(kinds, groups, ["anchor"], "inner", SMALL).select("one.*", "anchor", (F.col("times") > 1).alias("whole"), "hot"), "segments-open")
 
     def texts_of(some: DataFrame) -> DataFrame:
         wanted = some.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("anchor", "at", "whole")).alias("wanted"))
-        return sized_join(rows, stored(wanted, "segments-wanted"), ROW_KEY, "inner")
+        return sized_join(rows, stored(wanted, "segments-wanted"), ROW_KEY, "inner", SMALL)
 
     cold = open_.where("not hot")
     blocks = parts(cold.count(), rule.block_segments)
@@ -279,14 +281,14 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     span_schema = "doc_id long, text_hash long, start long, end long"
     found = segments.groupBy("block").applyInArrow(lambda table: resolve(table, rule), span_schema)
 
-    reach = (F.greatest(F.col("at") - rule.reach, F.lit(0)).alias("start"), F.least(F.col("at") + rule.length, F.col("n")).alias("end"))
-    whole = sized_join(shared, stored(kinds.where("times > 1").select("anchor", "segment"), "segments-whole"), ["anchor", "segment"], "left_semi")
+    reach = (F.greatest(F.col("at") - rule.reach, F.lit(0)).alias("start"), (F.col("at") + F.col("right")).alias("end"))
+    whole = sized_join(shared, stored(kinds.where("times > 1").select("anchor", "segment"), "segments-whole"), ["anchor", "segment"], "left_semi", SMALL)
     spans = found.unionByName(whole.select(*ROW_KEY, *reach))
     hot = open_.where("hot")
     if not hot.isEmpty():
         windows = stored(texts_of(hot).mapInArrow(_windows(rule), span_schema + ", window long"), "windows")
         twice = stored(windows.groupBy("window").count().where("count > 1").select("window"), "windows-repeated")
-        spans = spans.unionByName(sized_join(windows, twice, ["window"], "left_semi").drop("window"))
+        spans = spans.unionByName(sized_join(windows, twice, ["window"], "left_semi", SMALL).drop("window"))
     return stored(spans.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
 

@@ -33,10 +33,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once, and lost executors reread files."""
-    path = new_folder(df.sparkSession, label)
+    """Write ``df`` to the shared folder and read it back: it is computed once, and lost executors reread files.
+
+    What it was computed from is then free to go: a collection on the driver lets Spark
+    drop the shuffle files of finished steps instead of keeping them to the end of the job.
+    """
+    spark, schema, path = df.sparkSession, df.schema, new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SPAN, Repeats, repeated_spans, united, word_bounds
+from .anchors import SMALL, SPAN, Repeats, repeated_spans, united, word_bounds
 from .common import ROW_KEY, byte_slices, keyed, sized_join
 
 RULE = Repeats(length=35, gram=10, words=True)
@@ -109,4 +109,4 @@ def remove_repeated_words(docs: DataFrame, rule: Repeats = RULE, key: str = "doc
     """
     spans = repeated_word_spans(docs, rule, key, text)
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
-    return sized_join(rows, spans, ROW_KEY, "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return sized_join(rows, spans, ROW_KEY, "left", SMALL).mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SPAN, Repeats, repeated_spans, united
+from .anchors import SMALL, SPAN, Repeats, repeated_spans, united
 from .common import ROW_KEY, byte_slices, keyed, sized_join
 
-RULE = Repeats(length=200, gram=64, words=False)
+RULE = Repeats(length=200, gram=40, words=False)
 ABSENT = 256  # beyond the ends of a document; equal to nothing
 
 
@@ -98,4 +98,4 @@ def remove_repeated_bytes(docs: DataFrame, rule: Repeats = RULE, key: str = "doc
     """
     spans = repeated_byte_spans(docs, rule, key, text)
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
-    return sized_join(rows, spans, ROW_KEY, "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return sized_join(rows, spans, ROW_KEY, "left", SMALL).mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
