@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -35,14 +36,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once, and lost executors reread files.
 
-    What it was computed from is then free to go: a collection on the driver lets Spark
-    drop the shuffle files of finished steps instead of keeping them to the end of the job.
+    What earlier steps were computed from is free to go by then.
     """
-    spark, schema, path = df.sparkSession, df.schema, new_folder(df.sparkSession, label)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    del df
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark then drops the shuffle files of finished steps, instead of at the end of the job."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
@@ -77,6 +82,7 @@ def size_of(df: DataFrame) -> int:
 def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join on null-safe equality of ``keys``. ``right`` is a stored table: it is measured, broadcast
     within ``limit`` bytes and shuffled beyond, where adaptive execution splits skewed keys of ``left``."""
+    release(left.sparkSession)
     names = {k: f"__{k}_{uuid.uuid4().hex[:8]}" for k in keys}
     renamed = right.withColumnsRenamed(names)
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[names[k]]) for k in keys])
