@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import types
 import uuid
@@ -21,6 +20,7 @@ BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
 WORD = f"[^{BLANK}]+"
 # Tables up to this measured size are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,20 +36,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once, and lost executors reread files.
 
-    What earlier steps were computed from is free to go by then.
+    The shuffle files of the write go when it ends; nothing else reads them.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    release(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver: Spark then drops the shuffle files of finished steps, instead of at the end of the job."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
     """doc_id, text_hash, text (null becomes empty) and ``more``; other columns, whatever their names, are left behind.
 
@@ -82,7 +80,6 @@ def size_of(df: DataFrame) -> int:
 def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join on null-safe equality of ``keys``. ``right`` is a stored table: it is measured, broadcast
     within ``limit`` bytes and shuffled beyond, where adaptive execution splits skewed keys of ``left``."""
-    release(left.sparkSession)
     names = {k: f"__{k}_{uuid.uuid4().hex[:8]}" for k in keys}
     renamed = right.withColumnsRenamed(names)
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[names[k]]) for k in keys])
