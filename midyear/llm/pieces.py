@@ -37,7 +37,7 @@ from .common import byte_slices, keyed, worker_memory
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 4
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 BLOCK_CELLS = 1 << 14
 SPELL = 1 << 19
 FAR = -45.0
@@ -76,7 +76,7 @@ class Vocabulary:
                     nodes.append({})
                 node = nodes[node][b]
             ends[node] = i
-        self.next = np.zeros((len(nodes), 256), np.int32)
+        self.next = np.zeros((len(nodes), 256), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
         for node, children in enumerate(nodes):
             for b, child in children.items():
                 self.next[node, b] = child
@@ -134,7 +134,7 @@ def block_edges(cells: list[bytes], v: Vocabulary, place: int, edge: int) -> tup
     following = np.minimum(np.append(nodes[1:], np.int32(len(buffer))), stop)
     single = np.zeros(len(buffer), bool)  # characters that are pieces
     begins, ends, ids = [], [], []
-    at, state, bound, one = nodes, np.zeros(len(nodes), np.int32), stop, following
+    at, state, bound, one = nodes, np.zeros(len(nodes), v.next.dtype), stop, following
     for t in range(v.longest):
         state = v.next[state, buffer[at + t]]
         found = v.piece[state] >= 0
