@@ -19,16 +19,23 @@ from midyear import constants as K
 from midyear.functions.binding import let
 
 # What follows the ``<`` of a comment, a script or a style sheet, up to its end.
+# Inside a tag a value in quotes may hold ``>``; a quote that does not open a value, or is never closed, is an ordinary
+# character. The loop is possessive, so it neither backtracks nor recurses.
+VALUE = "\"[^\"]*+\"|'[^']*+'|[^\\s>\"'][^\\s>]*+"
+INSIDE = f"(?:[^>=]++|=\\s*+(?:{VALUE})?+)*+"
 HIDDEN = (
     "!--.*?(?:-->|\\z)"
-    "|script(?:\\s[^>]*)?>.*?(?:</script[^>]*>|\\z)"
-    "|style(?:\\s[^>]*)?>.*?(?:</style[^>]*>|\\z)"
+    f"|script(?:\\s{INSIDE})?>.*?(?:</script[^>]*>|\\z)"
+    f"|style(?:\\s{INSIDE})?>.*?(?:</style[^>]*>|\\z)"
 )
-ATTRIBUTES = "(?:[\\s/][^>]*)?"
-TAG = "<[A-Za-z/!?][^>]*(?:>|\\z)"
-TITLE = f"(?is)<(?:{HIDDEN}|title(?:\\s[^>]*)?(>.*?)(?:</title|\\z))"
-HREF = f"(?is)<(?:{HIDDEN}|a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+))"
-NOT_SHOWN = f"(?is)<(?:{HIDDEN}|title(?:\\s[^>]*)?>.*?(?:</title[^>]*>|\\z)|[A-Za-z/!?][^>]*(?:>|\\z))"
+ATTRIBUTES = f"(?:[\\s/]{INSIDE})?"
+TAG = f"<[A-Za-z/!?]{INSIDE}(?:>|\\z)"
+TITLE = f"(?is)<(?:{HIDDEN}|title(?:\\s{INSIDE})?(>.*?)(?:</title|\\z))"
+# The attributes of an anchor, and then one attribute of these.
+ANCHOR = f"(?is)<(?:{HIDDEN}|a([\\s/]{INSIDE})(?:>|\\z))"
+ATTRIBUTE = f"[^\\s\"'>/=][^\\s>/=]*+(?:\\s*+=\\s*+(?:{VALUE}))?+"
+HREF = "(?is)^href\\s*+=\\s*+"
+NOT_SHOWN = f"(?is)<(?:{HIDDEN}|title(?:\\s{INSIDE})?>.*?(?:</title[^>]*>|\\z)|[A-Za-z/!?]{INSIDE}(?:>|\\z))"
 
 # One pass drops every tag but those that bound blocks, and shortens these to
 # their captured characters: a heading or paragraph becomes ``<h>`` or ``<p>``,
@@ -47,7 +54,7 @@ BORDER_MARKS = "".join(f"${group}" for group in range(1, 11))
 # A paragraph ends at any border, a heading at its closing tag or the next block.
 BLOCK = "(?is)<(p>.*?(?=<(?:[hp]>|/|<>)|\\z)|h>.*?(?:</>|(?=<[hp]>|\\z)))"
 
-ENTITY = "^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;)"
+ENTITY = "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
 
 
 def entity_names() -> dict[str, str]:
@@ -60,6 +67,11 @@ def _character(code: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
+def _number(digits: Column, base: int, most: int) -> Column:
+    """Value of digits, however many zeros lead; 0 for more than ``most`` others, which no character needs."""
+    return let(F.ltrim(digits, F.lit("0")), lambda d: F.when(F.length(d).between(1, most), F.conv(d, base, 10).cast("bigint")).otherwise(0))
+
+
 def decode_entities(text: Column) -> Column:
     """Character references replaced; unknown or unfinished ones stay as they are."""
     names = F.str_to_map(
@@ -73,8 +85,8 @@ def decode_entities(text: Column) -> Column:
             name = F.rtrim(found, F.lit(";"))
             char = (
                 F.when(found == "", None)
-                .when(name.rlike("^#[xX]"), let(F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint"), _character))
-                .when(name.startswith("#"), let(F.substring(name, 2, 7).cast("bigint"), _character))
+                .when(name.rlike("^#[xX]"), let(_number(F.substring(name, F.lit(3), F.length(name)), 16, 6), _character))
+                .when(name.startswith("#"), let(_number(F.substring(name, F.lit(2), F.length(name)), 10, 7), _character))
                 .otherwise(F.try_element_at(names, name))
             )
             rest = F.substring(piece, F.length(found) + 1, F.length(piece))
@@ -108,7 +120,7 @@ def title(html: Column) -> Column:
     first = F.coalesce(head, F.get(_found(html, TITLE), F.lit(0)))
     return let(
         first,
-        lambda part: F.when(part.isNull(), "").otherwise(decode_entities(drop_tags(F.substring(part, 2, 1 << 30)))),
+        lambda part: F.when(part.isNull(), "").otherwise(decode_entities(drop_tags(F.substring(part, F.lit(2), F.length(part))))),
     )
 
 
@@ -121,7 +133,7 @@ def text_blocks(html: Column) -> Column:
     marked = F.regexp_replace(html, BORDERS, BORDER_MARKS)
 
     def text(block: Column) -> Column:
-        content = F.substring(block, 3, 1 << 30)
+        content = F.substring(block, F.lit(3), F.length(block))
         # A heading closed by its own tag keeps what containers inside it held;
         # one left open ends where the container around it closes.
         heading = F.when(
@@ -160,7 +172,12 @@ def hrefs(html: Column) -> Column:
         quoted = value.startswith("\"") | value.startswith("'")
         return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
-    return F.array_sort(F.array_distinct(F.transform(_found(html, HREF), lambda v: decode_entities(bare(v)))))
+    def first(attributes: Column) -> Column:
+        pairs = F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), F.lit(0))
+        return F.get(F.filter(pairs, lambda pair: pair.rlike(HREF)), F.lit(0))
+
+    links = F.filter(F.transform(_found(html, ANCHOR), first), lambda pair: pair.isNotNull())
+    return F.array_sort(F.array_distinct(F.transform(links, lambda pair: decode_entities(let(F.regexp_replace(pair, HREF, ""), bare)))))
 
 
 def visible_texts(html: Column) -> Column:

@@ -132,3 +132,27 @@ def test_long_pages_do_not_recurse(spark):
 def test_container_text(spark):
     pages = ["<body><div><h2>t</h2><p>a</p></div><p>b<script>s</script></p></body>", "<i>none</i>"]
     assert results(spark, pages, container_text(F.col("html"))) == ["\nt\na\nb", ""]
+
+
+ORDINARY = [
+    ("<p title='a > b'>text</p>", ["text"], []),
+    ("<a title='x > y' href='/z'>k</a>", [], ["/z"]),
+    ('<a class="b"href="/q">k</a>', [], ["/q"]),
+    ('<a title="say href=x" href="/y">k</a>', [], ["/y"]),
+    ("<a href=/x?a=\"b>k</a><a HREF = '/w'>", [], ["/w", '/x?a="b']),
+    ("<p data=it's>one</p><p>it's</p>", ["one", "it's"], []),
+    ("<p>&#00000065;&#x00000041;&#99999999;</p>", ["AA&#99999999;"], []),
+    ('<p class="never closed>lost</p>', ["lost"], []),
+]
+
+
+def test_ordinary_attributes_and_references(spark):
+    pages = [page for page, _, _ in ORDINARY]
+    assert [list(b) for b in results(spark, pages, H.text_blocks(F.col("html")))] == [b for _, b, _ in ORDINARY]
+    assert [list(h) for h in results(spark, pages, H.hrefs(F.col("html")))] == [h for _, _, h in ORDINARY]
+
+
+def test_many_attributes_do_not_overflow(spark):
+    page = "<p " + "a='>' " * 200_000 + ">text</p><a " + "b=c " * 200_000 + "href=/end>"
+    assert list(results(spark, [page], H.text_blocks(F.col("html")))[0]) == ["text"]
+    assert list(results(spark, [page], H.hrefs(F.col("html")))[0]) == ["/end"]
