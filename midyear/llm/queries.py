@@ -14,6 +14,7 @@ from .mixing import mix
 from .pieces import sampled_pieces
 from .quality import quality_verdicts
 from .simhash import near_groups
+from .sql import ORACLE as ORACLE
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
 from .token_counts import counts_after, redactions
@@ -77,4 +78,3 @@ QUERIES = {
     "op10_line_dedup": line_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
