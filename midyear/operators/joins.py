@@ -13,13 +13,10 @@ def is_small(df: DataFrame, column: str, max_bytes: int) -> bool:
 
 
 def restrict(archive: DataFrame, wanted: DataFrame, on: str, max_bytes: int) -> DataFrame:
-    """Rows of ``archive`` that ``wanted`` may need.
+    """Rows of ``archive`` whose key is in ``wanted``, so that what follows works on these only.
 
-    A set of keys within ``max_bytes`` is broadcast, so the archive is filtered
-    where it is read and whatever is computed from a row is computed for the
-    kept rows only. A larger set restricts nothing here: the join that follows
-    shuffles both sides on the key.
+    A set of keys within ``max_bytes`` is broadcast and the archive is filtered where
+    it is read; for a larger set both sides are shuffled on the key.
     """
-    if not is_small(wanted, on, max_bytes):
-        return archive
-    return archive.join(F.broadcast(wanted.select(on).distinct()), on, "left_semi")
+    keys = wanted.select(on).distinct()
+    return archive.join(F.broadcast(keys) if is_small(wanted, on, max_bytes) else keys, on, "left_semi")

@@ -40,6 +40,10 @@ def extract(captures: DataFrame) -> DataFrame:
 
 
 def write_archive(captures: DataFrame, path: str) -> None:
+    """Store what the jobs read of ``captures``, which must have one row per URL."""
+    twice = captures.groupBy("url").count().where("count > 1").select("url").first()
+    if twice:
+        raise ValueError(f"more than one capture of {twice[0]}; resolve attempts first (operators.attempts)")
     extract(captures).write.parquet(path)
 
 
@@ -67,16 +71,17 @@ class Archive:
         content = ["html"] if "html" in captures.columns else ["hrefs", "title", "text"]
         return cls(
             times=capture_times(captures),
-            responses=captures.select(*RESPONSE_COLUMNS),
+            # A response that names no final URL was not redirected.
+            responses=captures.withColumn("final_url", F.coalesce("final_url", "url")).select(*RESPONSE_COLUMNS),
             pages=captures.select("url", *content),
         )
 
     def responses_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
-        """Responses of the URLs in ``wanted``, and maybe others."""
+        """Responses of the URLs in ``wanted``."""
         return restrict(self.responses, wanted, "url", max_bytes)
 
     def links_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
-        """(url, href) of the pages in ``wanted``, and maybe others.
+        """(url, href) of the pages in ``wanted``.
 
         Pages are picked before their HTML is parsed.
         """
@@ -89,7 +94,7 @@ class Archive:
         return links
 
     def texts_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
-        """(url, title, text) of the pages in ``wanted``, and maybe others."""
+        """(url, title, text) of the pages in ``wanted``."""
         pages = restrict(self.pages, wanted, "url", max_bytes)
         if "html" not in pages.columns:
             return pages.select("url", "title", "text")

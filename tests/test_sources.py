@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from midyear.plans.crawl import crawl
@@ -67,6 +68,19 @@ def test_pages_are_picked_before_they_are_parsed(spark, tiny, tmp_path):
         assert plan.count("regexp_extract_all") > 0
         assert "regexp_extract_all" not in plan[plan.index("LeftSemi"):]
         assert "BroadcastHashJoin" in plan
-    # A set over the bound is not broadcast.
-    plan = archive.texts_of(wanted, 0)._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" not in plan
+    # A set over the bound is shuffled, and still joined before anything is parsed.
+    small = archive.texts_of(wanted, 1 << 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = archive.texts_of(wanted, 0)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "regexp_extract_all" not in plan[plan.index("LeftSemi"):]
+        assert sorted(large.collect()) == sorted(small.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_archive_has_one_capture_per_url(spark, tiny, tmp_path):
+    captures = views.captures(spark, tiny)
+    with pytest.raises(ValueError, match="more than one capture"):
+        write_archive(captures.unionByName(captures), str(tmp_path / "twice"))
