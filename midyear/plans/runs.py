@@ -18,7 +18,7 @@ from midyear.operators.merge import (
     merge_page_errors,
     merge_pages,
 )
-from midyear.plans.crawl import Crawl, crawl
+from midyear.plans.crawl import Crawl, crawl, crawl_located, locate
 from midyear.plans.single_page import SinglePages, single_pages
 from midyear.session import cut_lineage
 from midyear.sources.captures import Archive
@@ -119,9 +119,19 @@ def run(
 
     errors: the error table before the run.
     """
+    return run_located(locate(seeds, archives[0]), archives, errors, config)
+
+
+def run_located(
+    located: DataFrame,
+    archives: Sequence[Archive],
+    errors: DataFrame,
+    config: CrawlConfig = CrawlConfig(),
+) -> Collection:
+    """As ``run``, from seeds whose homepages are located already."""
     later = archives[1:] or archives
     collection = Collection(errors)
-    add_crawl(collection, crawl(seeds, archives[0], config))
+    add_crawl(collection, crawl_located(located, archives[0], config))
     rerun_homepages(collection, later, config)
     rerun_pages(collection, later, config)
     return collection

@@ -9,6 +9,11 @@ SEEDS = T.StructType([
     T.StructField("year_query", T.IntegerType()),
 ])
 
+ANSWERS = T.StructType([
+    *SEEDS.fields,
+    T.StructField("body", T.StringType()),
+])
+
 RETRY_PAGES = T.StructType([
     T.StructField("website", T.StringType()),
     T.StructField("year_query", T.IntegerType()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from midyear.schemas import ERRORS, PAGES
+from midyear.schemas import ANSWERS, ERRORS, PAGES
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -15,6 +15,11 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ERRORS).parquet(path)
 
 
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Stored availability answers: website, year_query, body."""
+    return spark.read.schema(ANSWERS).parquet(path)
+
+
 def write_table(table: DataFrame, path: str) -> None:
     """Write a merged table to a *new* path; the caller then points readers at it.
 
