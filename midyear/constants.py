@@ -39,10 +39,10 @@ PAGE_TRANSPORT = "Error_retry_acces : message : "
 LINK_CONTENT_REJECTED = "Error_detected during self.download_page():"
 CONTENT_REJECTED = "Error_detected: in access url : "
 CONTENT_REJECTED_STATUS = " \t status code: "
-LINK_STATUS = "ACCES NOT EXCECUTED : status code: "
 TRANSPORT_PREFIX = "Error_detected: "
 
-# Our own wording for a URL that the table of stored responses does not hold.
+# Our own wording for a link that did not answer 200, and for a URL that the table of stored responses does not hold.
+LINK_STATUS = "ACCES NOT EXCECUTED : status code: "
 NOT_STORED = TRANSPORT_PREFIX + "no stored response"
 
 # Fixed value: selects the failures that a page re-run leaves alone.

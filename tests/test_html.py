@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from midyear import constants as K
 from midyear.functions import html as H
-from midyear.functions.containers import container_text
 from verification import views
 
 
@@ -129,11 +128,6 @@ def test_long_pages_do_not_recurse(spark):
     assert tuple(sizes[0]) == (len("a < b & c d ") * 40_000 - 1 + 4, 1)
 
 
-def test_container_text(spark):
-    pages = ["<body><div><h2>t</h2><p>a</p></div><p>b<script>s</script></p></body>", "<i>none</i>"]
-    assert results(spark, pages, container_text(F.col("html"))) == ["\nt\na\nb", ""]
-
-
 ORDINARY = [
     ("<p title='a > b'>text</p>", ["text"], []),
     ("<a title='x > y' href='/z'>k</a>", [], ["/z"]),

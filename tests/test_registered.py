@@ -10,8 +10,8 @@ from verification.compare import duck, rows_of_spark, rows_of_sql
 
 QUERIES = {name: query for name, query in registered.queries().items() if name in registry.QUERIES}
 ORACLE = {name: sql for name, sql in registered.oracle_sql().items() if name in QUERIES}
-# Loops, and a parse tree: checked in test_runs.py and test_html.py.
-WITHOUT_SQL = {"container_texts", "rerun_to_fixpoint", "rerun_errors"}
+# Loops: checked in test_runs.py.
+WITHOUT_SQL = {"rerun_to_fixpoint", "rerun_errors"}
 
 
 @pytest.fixture(scope="module")

@@ -13,7 +13,6 @@ from midyear.functions import html as H
 from midyear.functions import outcomes as O
 from midyear.functions import urls as U
 from midyear.functions.binding import computed
-from midyear.functions.containers import container_text
 from midyear.operators import errors as E
 from midyear.operators import frontier as R
 from midyear.operators import merge as M
@@ -193,11 +192,6 @@ def visible_text(spark, sf_dir):
     return _numbered(spark, sf_dir, H.visible_texts(F.col(HTML)), "text")
 
 
-@query
-def container_texts(spark, sf_dir):
-    return V.captures(spark, sf_dir).select("page_id", container_text(F.col(HTML)).alias("text"))
-
-
 @query
 def content_gate(spark, sf_dir):
     return V.captures(spark, sf_dir).select("page_id", O.is_text(F.col("content_type")).alias("is_text"))
