@@ -11,7 +11,7 @@ from midyear.operators.errors import homepages_to_retry, pages_to_retry
 from midyear.plans.crawl import locate_by_answers
 from midyear.plans.runs import Collection, add_single_pages, run, run_located
 from midyear.plans.single_page import single_pages
-from midyear.sources.captures import Archive, read_archive
+from midyear.sources.captures import Archive, read_archive, reject_repeated_urls
 from midyear.sources.lists import (
     bad_retry_lines,
     bad_seed_lines,
@@ -27,7 +27,10 @@ from midyear.sources.tables import empty_errors, empty_pages, read_answers, read
 
 
 def _archives(spark: SparkSession, paths: Sequence[str]) -> list[Archive]:
-    return [Archive.of(read_archive(spark, path)) for path in paths]
+    found = [read_archive(spark, path) for path in paths]
+    for captures in found:
+        reject_repeated_urls(captures)
+    return [Archive.of(captures) for captures in found]
 
 
 def _errors(spark: SparkSession, path: str | None) -> DataFrame:
@@ -98,7 +101,7 @@ def run_pages_job(
     lines = read_lines(spark, page_list)
     done = Collection(_errors(spark, errors))
     rows = parse_retry_pages(lines).distinct()
-    add_single_pages(done, single_pages(rows, Archive.of(read_archive(spark, archive)), config))
+    add_single_pages(done, single_pages(rows, _archives(spark, [archive])[0], config))
     _write(spark, done, output, pages)
     write_lines(bad_retry_lines(lines), f"{output}/bad_lines")
     return done

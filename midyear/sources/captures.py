@@ -39,11 +39,16 @@ def extract(captures: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(captures: DataFrame, path: str) -> None:
-    """Store what the jobs read of ``captures``, which must have one row per URL."""
+def reject_repeated_urls(captures: DataFrame) -> None:
+    """Raise if ``captures`` have a URL twice; joins with them would multiply rows. Reads URLs only."""
     twice = captures.groupBy("url").count().where("count > 1").select("url").first()
     if twice:
         raise ValueError(f"more than one capture of {twice[0]}; resolve attempts first (operators.attempts)")
+
+
+def write_archive(captures: DataFrame, path: str) -> None:
+    """Store what the jobs read of ``captures``, which must have one row per URL."""
+    reject_repeated_urls(captures)
     extract(captures).write.parquet(path)
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from midyear.operators.errors import pages_to_retry
@@ -77,3 +78,11 @@ def test_job_over_stored_answers(spark, tiny, tmp_path):
 
     assert rows(read_pages, by_answers + "/pages") == rows(read_pages, by_seeds + "/pages") != []
     assert rows(read_errors, by_answers + "/errors") == rows(read_errors, by_seeds + "/errors")
+
+
+def test_job_refuses_captures_stored_twice(spark, tiny, tmp_path):
+    captures = views.captures(spark, tiny)
+    captures.union(captures).write.parquet(str(tmp_path / "captures"))
+    write_lines(seed_lines(views.seeds(spark, tiny)), str(tmp_path / "seeds"))
+    with pytest.raises(ValueError, match="more than one capture"):
+        run_job(spark, str(tmp_path / "seeds"), [str(tmp_path / "captures")], str(tmp_path / "output"))
