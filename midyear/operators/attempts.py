@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from midyear.functions.outcomes import is_throttled
 
 
-def resolve_attempts(log: DataFrame, key: str, payload: list[str], attempts: int = 3) -> DataFrame:
+def resolve_attempts(log: DataFrame, key: str | list[str], payload: list[str], attempts: int = 3) -> DataFrame:
     """First attempt with status 200 wins; without one, the last attempt up to the cap.
 
     ``n_retries`` counts the failures before the winner, or is the cap.
-    log: key, attempt, status and the ``payload`` columns.
+    log: key (one or more columns), attempt, status and the ``payload`` columns.
     """
+    keys = [key] if isinstance(key, str) else key
     if attempts < 1:
         raise ValueError("attempts must be at least 1")
     ok = F.col("status") == 200
     content = F.struct("status", *payload)
     return (
         log.where(F.col("attempt") <= attempts)
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(
             F.min_by(F.when(ok, content), F.when(ok, F.col("attempt"))).alias("won"),
             F.min(F.when(ok, F.col("attempt"))).alias("won_at"),
             F.max_by(content, F.col("attempt")).alias("last"),
         )
         .select(
-            key,
+            *keys,
             F.coalesce("won", "last").alias("r"),
             F.coalesce(F.col("won_at") - 1, F.lit(attempts)).cast("int").alias("n_retries"),
         )
-        .select(key, "r.*", "n_retries")
+        .select(*keys, "r.*", "n_retries")
     )
 
 

@@ -94,14 +94,22 @@ def homepage_errors_of(homepages: DataFrame) -> DataFrame:
     ).select(*ERRORS.fieldNames())
 
 
-def crawl_located(located: DataFrame, archive: Archive, config: CrawlConfig) -> Crawl:
+def visit_homepages(located: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
+    """Responses of all located homepages, stored."""
     located = cut_lineage(located)
     wanted = located.where("capture_url is not null").select(F.col("capture_url").alias("url"))
-    responses = archive.responses_of(wanted, config.broadcast_bytes)
-    homepages = cut_lineage(fetch_homepages(located, responses))
-    opened = homepages.where("error is null").withColumnRenamed("capture_url", "url").select(
+    return cut_lineage(fetch_homepages(located, archive.responses_of(wanted, config.broadcast_bytes)))
+
+
+def opened_homepages(homepages: DataFrame) -> DataFrame:
+    return homepages.where("error is null").withColumnRenamed("capture_url", "url").select(
         "website", "year_query", *RESPONSES.fieldNames()
     )
+
+
+def crawl_located(located: DataFrame, archive: Archive, config: CrawlConfig) -> Crawl:
+    homepages = visit_homepages(located, archive, config)
+    opened = opened_homepages(homepages)
     visits = walk(opened, archive, config)
     return Crawl(
         outcomes=with_text(visits, archive, config),

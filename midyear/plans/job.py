@@ -11,7 +11,7 @@ from midyear.operators.errors import homepages_to_retry, pages_to_retry
 from midyear.plans.crawl import locate_by_answers
 from midyear.plans.runs import Collection, add_single_pages, run, run_located
 from midyear.plans.single_page import single_pages
-from midyear.sources.captures import Archive, read_archive, reject_repeated_urls
+from midyear.sources.captures import Archive, is_attempt_log, read_archive, reject_repeated_urls
 from midyear.sources.lists import (
     bad_retry_lines,
     bad_seed_lines,
@@ -26,11 +26,14 @@ from midyear.sources.lists import (
 from midyear.sources.tables import empty_errors, empty_pages, read_answers, read_errors, read_pages, write_table
 
 
-def _archives(spark: SparkSession, paths: Sequence[str]) -> list[Archive]:
+def _archives(spark: SparkSession, paths: Sequence[str], config: CrawlConfig) -> list[Archive]:
     found = [read_archive(spark, path) for path in paths]
     for captures in found:
         reject_repeated_urls(captures)
-    return [Archive.of(captures) for captures in found]
+    return [
+        Archive.of_attempts(captures, config.attempts) if is_attempt_log(captures) else Archive.of(captures)
+        for captures in found
+    ]
 
 
 def _errors(spark: SparkSession, path: str | None) -> DataFrame:
@@ -61,12 +64,12 @@ def run_job(
 ) -> Collection:
     """Crawl the seeds of a text list; write ``output``/pages, /errors, the retry lists and /bad_seeds.
 
-    ``archives`` are paths of captures or stored archives: the first serves the
-    crawl, the others the re-runs in turn. ``pages`` and ``errors`` are tables of
+    ``archives`` are paths of captures, stored archives or logs of fetch attempts:
+    the first serves the crawl, the others the re-runs in turn. ``pages`` and ``errors`` are tables of
     an earlier run to go on from; they are read, not changed.
     """
     lines = read_lines(spark, seed_list)
-    done = run(parse_seeds(lines).distinct(), _archives(spark, archives), _errors(spark, errors), config)
+    done = run(parse_seeds(lines).distinct(), _archives(spark, archives, config), _errors(spark, errors), config)
     _write(spark, done, output, pages)
     write_lines(bad_seed_lines(lines), f"{output}/bad_seeds")
     return done
@@ -83,7 +86,7 @@ def run_answers_job(
 ) -> Collection:
     """As ``run_job``, with the first homepages named by a table of availability answers."""
     located = locate_by_answers(read_answers(spark, answers))
-    done = run_located(located, _archives(spark, archives), _errors(spark, errors), config)
+    done = run_located(located, _archives(spark, archives, config), _errors(spark, errors), config)
     _write(spark, done, output, pages)
     return done
 
@@ -101,7 +104,7 @@ def run_pages_job(
     lines = read_lines(spark, page_list)
     done = Collection(_errors(spark, errors))
     rows = parse_retry_pages(lines).distinct()
-    add_single_pages(done, single_pages(rows, _archives(spark, [archive])[0], config))
+    add_single_pages(done, single_pages(rows, _archives(spark, [archive], config)[0], config))
     _write(spark, done, output, pages)
     write_lines(bad_retry_lines(lines), f"{output}/bad_lines")
     return done

@@ -22,6 +22,7 @@ from midyear.schemas import ERRORS, PAGES
 from midyear.session import cut_lineage
 from midyear.sources.captures import Archive
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 VISIT = [
     "website", "year_query", "depth", "n_page", "url", "original_url", "status", "transport_error",
     "final_url", "content_type", "n_redirects", "nretries_link", "n_retries_api", "error",
@@ -84,6 +85,35 @@ def _parents(level: DataFrame) -> DataFrame:
     )
 
 
+def first_level(homepages: DataFrame) -> DataFrame:
+    return cut_lineage(homepage_visits(homepages).select(*VISIT))
+
+
+def visited_homepages(level: DataFrame) -> DataFrame:
+    """Keys of level 0 that are not fetched again."""
+    return level.select(*SITE, F.col("final_url").alias("url_key"))
+
+
+def next_frontier(level: DataFrame, visited: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
+    """Links of a stored level to be fetched, stored."""
+    links = archive.links_of(level.where("error is null"), config.broadcast_bytes)
+    fresh = not_visited(first_per_key(candidate_links(_parents(level), links, config.year_range)), visited)
+    spark = level.sparkSession
+    before = int(spark.conf.get(GROUP_LIMIT))
+    # Tasks drop what the quota cannot keep whatever the quota is.
+    spark.conf.set(GROUP_LIMIT, max(before, config.page_limit + 1))
+    try:
+        return cut_lineage(within_quota(fresh, config.page_limit))
+    finally:
+        spark.conf.set(GROUP_LIMIT, before)
+
+
+def fetch_level(frontier: DataFrame, archive: Archive, depth: int, config: CrawlConfig) -> DataFrame:
+    """Visits of a stored frontier, stored."""
+    responses = archive.responses_of(frontier.select(F.col("link").alias("url")), config.broadcast_bytes)
+    return cut_lineage(fetch_links(frontier, responses, depth, config.strict_status).select(*VISIT))
+
+
 def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
     """Visits (columns VISIT) of a breadth-first walk from every homepage.
 
@@ -91,18 +121,13 @@ def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> DataFra
     of the walk. Each level is computed once and stored, so the plan of the next
     one starts from it.
     """
-    level = cut_lineage(homepage_visits(homepages).select(*VISIT))
-    levels = [level]
-    visited = level.select(*SITE, F.col("final_url").alias("url_key"))
+    level = first_level(homepages)
+    levels, visited = [level], visited_homepages(level)
     for depth in range(1, config.depth + 1):
-        parents = _parents(level)
-        links = archive.links_of(level.where("error is null"), config.broadcast_bytes)
-        fresh = not_visited(first_per_key(candidate_links(parents, links, config.year_range)), visited)
-        frontier = cut_lineage(within_quota(fresh, config.page_limit))
+        frontier = next_frontier(level, visited, archive, config)
         if frontier.isEmpty():
             break
-        responses = archive.responses_of(frontier.select(F.col("link").alias("url")), config.broadcast_bytes)
-        level = cut_lineage(fetch_links(frontier, responses, depth, config.strict_status).select(*VISIT))
+        level = fetch_level(frontier, archive, depth, config)
         levels.append(level)
         visited = visited.unionByName(frontier.select(*SITE, "url_key"))
     return reduce(DataFrame.unionByName, levels)

@@ -19,8 +19,16 @@ SESSION_CONF = {
 }
 
 
-def build_session(app_name: str = "midyear", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings above; keyword names use ``__`` for dots."""
+def build_session(
+    app_name: str = "midyear", master: str | None = None, shuffle_partitions: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with the settings above; keyword names use ``__`` for dots.
+
+    ``shuffle_partitions``: how finely shuffles are cut before adaptive execution
+    joins small parts; about the shuffled bytes over 128 MB.
+    """
+    if shuffle_partitions:
+        conf["spark__sql__adaptive__coalescePartitions__initialPartitionNum"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

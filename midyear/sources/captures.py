@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from midyear.functions import html as H
 from midyear.functions.binding import computed
 from midyear.functions.urls import capture_time
+from midyear.operators.attempts import resolve_rounds
 from midyear.operators.joins import restrict
 from midyear.schemas import RESPONSES
 
 RESPONSE_COLUMNS = RESPONSES.fieldNames()
+# What a log of fetch attempts has beside the columns of captures, n_retries left out.
+ATTEMPT_KEY = ["url", "round", "attempt"]
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -39,11 +42,19 @@ def extract(captures: DataFrame) -> DataFrame:
     )
 
 
+def is_attempt_log(captures: DataFrame) -> bool:
+    return set(ATTEMPT_KEY) <= set(captures.columns)
+
+
 def reject_repeated_urls(captures: DataFrame) -> None:
-    """Raise if ``captures`` have a URL twice; joins with them would multiply rows. Reads URLs only."""
-    twice = captures.groupBy("url").count().where("count > 1").select("url").first()
+    """Raise if ``captures`` have a URL twice, or a log of attempts has an attempt twice.
+
+    Joins with them would multiply rows. Reads the key only.
+    """
+    key = ATTEMPT_KEY if is_attempt_log(captures) else ["url"]
+    twice = captures.groupBy(*key).count().where("count > 1").select("url").first()
     if twice:
-        raise ValueError(f"more than one capture of {twice[0]}; resolve attempts first (operators.attempts)")
+        raise ValueError(f"more than one capture of {twice[0]}; number attempts by round and attempt (Archive.of_attempts)")
 
 
 def write_archive(captures: DataFrame, path: str) -> None:
@@ -81,6 +92,22 @@ class Archive:
             pages=captures.select("url", *content),
         )
 
+    @classmethod
+    def of_attempts(cls, log: DataFrame, attempts: int) -> Archive:
+        """From a log of fetch attempts: per URL the response that ``resolve_rounds`` picks, and its HTML.
+
+        log: site, ts14, url, round, attempt, the other columns of RESPONSES but
+        n_retries, and html. The choice moves no HTML; only the attempts chosen keep theirs.
+        """
+        payload = ["transport_error", "final_url", "content_type", "n_redirects"]
+        chosen = resolve_rounds(log, "url", [*payload, "site", "ts14", "attempt"], attempts)
+        winners = chosen.select(*ATTEMPT_KEY)
+        return cls(
+            times=capture_times(chosen),
+            responses=chosen.withColumn("final_url", F.coalesce("final_url", "url")).select(*RESPONSE_COLUMNS),
+            pages=log.join(winners, ATTEMPT_KEY, "left_semi").select("url", "html"),
+        )
+
     def responses_of(self, wanted: DataFrame, max_bytes: int) -> DataFrame:
         """Responses of the URLs in ``wanted``."""
         return restrict(self.responses, wanted, "url", max_bytes)

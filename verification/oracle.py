@@ -224,11 +224,13 @@ def cte(name: str, sql: str, *needs: str) -> None:
     CTES[name] = (sql, needs)
 
 
-def with_ctes(sql: str, *needs: str) -> str:
+def with_ctes(sql: str, *needs: str, instead: dict[str, str] | None = None) -> str:
+    """``instead`` names CTEs to be put in the place of others."""
     order: list[str] = []
+    body = {**CTES, **{name: CTES[other] for name, other in (instead or {}).items()}}
 
     def visit(name: str) -> None:
-        for need in CTES[name][1]:
+        for need in body[name][1]:
             visit(need)
         if name not in order:
             order.append(name)
@@ -237,14 +239,14 @@ def with_ctes(sql: str, *needs: str) -> str:
         visit(need)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][0]})" for n in order) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({body[n][0]})" for n in order) + "\n" + sql
 
 
 ORACLE: dict[str, str] = {}
 
 
-def oracle(name: str, sql: str, *needs: str) -> None:
-    ORACLE[name] = with_ctes(sql, *needs)
+def oracle(name: str, sql: str, *needs: str, instead: dict[str, str] | None = None) -> None:
+    ORACLE[name] = with_ctes(sql, *needs, instead=instead)
 
 
 def captures_sql(healed: int) -> str:
@@ -496,25 +498,37 @@ select website, year_query, found as capture_url, {query_url('website', 'year_qu
 from (select *, case when json_valid(body) then json_extract_string(
     case when json_valid(body) then body else '{{}}' end, '$.archived_snapshots.closest.url') end as found
   from answers) x""", "answers")
-cte("attempts", f"""
+ATTEMPTS = f"""
 select url, round, attempt,
   case when page_id % 23 = 0 then null when page_id % 13 = 0 then 404 when attempt <= (page_id + round) % 4 then 503
     else 200 end as status,
   case when page_id % 23 = 0 then 'Error_detected: timeout ' || attempt end as transport_error,
   case when page_id % 37 = 0 and page_id % 74 = 0 and round = 2 then url else final_url end as final_url
-from captures, (select unnest([1, 2])::int as round) r, (select unnest([1, 2, 3, 4])::int as attempt) a""", "captures")
-cte("by_round", """
+from captures, (select unnest([1, 2])::int as round) r, (select unnest([1, 2, 3, 4])::int as attempt) a"""
+BY_ROUND = """
 select *, row_number() over (partition by url, round order by case when status = 200 then attempt end nulls last,
     attempt desc) as n,
   coalesce(min(case when status = 200 then attempt end) over (partition by url, round) - 1, 3) as n_retries
-from attempts where attempt <= 3""", "attempts")
-oracle("attempts_resolved", """
-select url, status, transport_error, final_url, n_retries::int as n_retries from by_round where n = 1 and round = 1""",
-       "by_round")
-oracle("throttled_second_round", f"""
+from attempts where attempt <= 3"""
+CHOSEN = f"""
 select b.url, b.status, b.transport_error, b.final_url, b.n_retries::int as n_retries, b.round
 from by_round a join by_round b on a.url = b.url and a.round = 1 and a.n = 1 and b.n = 1
-where b.round = case when a.status = 200 and a.final_url = '{K.THROTTLE_PAGE}' then 2 else 1 end""", "by_round")
+where b.round = case when a.status = 200 and a.final_url = '{K.THROTTLE_PAGE}' then 2 else 1 end"""
+cte("attempts", ATTEMPTS, "captures")
+cte("by_round", BY_ROUND, "attempts")
+oracle("attempts_resolved", """
+select url, round, status, transport_error, final_url, n_retries::int as n_retries from by_round where n = 1""",
+       "by_round")
+oracle("throttled_second_round", CHOSEN, "by_round")
+# Captures whose responses are the attempts chosen.
+cte("plain_captures", captures_sql(0))
+cte("plain_attempts", ATTEMPTS.replace("from captures", "from plain_captures"), "plain_captures")
+cte("plain_by_round", BY_ROUND.replace("from attempts", "from plain_attempts"), "plain_attempts")
+cte("resolved_captures", f"""
+select c.* replace (r.final_url as final_url, r.status as status, r.transport_error as transport_error,
+  r.n_retries as n_retries, case when r.status = 503 then '<h1>Busy</h1>' when r.status is not null then c.html end as html)
+from plain_captures c join ({CHOSEN.replace('by_round', 'plain_by_round')}) r using (url)""",
+    "plain_captures", "plain_by_round")
 for _name, _rule in {
     "homepage_outcomes": HOMEPAGE_ERROR,
     "page_outcomes": PAGE_ERROR,
@@ -554,6 +568,11 @@ select website, year_query, n_page, url, status, final_url, nretries_link, error
 oracle("homepage_pages", pages_sql("outcomes0"), "outcomes0")
 oracle("homepage_failures", HOMEPAGE_ERRORS, "homepages")
 oracle("crawl_pages", pages_sql("outcomes1"), "outcomes1")
+oracle("crawl_from_attempts", pages_sql("outcomes1"), "outcomes1", instead={"captures": "resolved_captures"})
+cte("answered", """
+select site as website, (2014 + page_id % 7)::int as year_query, min(url) as capture_url, null::timestamp as captured
+from captures group by all""", "captures")
+oracle("crawl_from_answers", pages_sql("outcomes1"), "outcomes1", instead={"nearest": "answered"})
 oracle("crawl_errors", f"{HOMEPAGE_ERRORS} union all {page_errors_sql('outcomes1')}", "homepages", "outcomes1")
 oracle("crawl_depth2", pages_sql("outcomes2"), "outcomes2")
 cte("retry_list", """
@@ -607,10 +626,10 @@ select * exclude (k) from (
   select *, row_number() over (partition by website, year_query, flag, case when flag then null else original end,
     case when flag then null else processed end order by batch_no desc, seq desc) as k from error_log) x
 where k = 1""", "error_log")
-ERROR_COLUMNS = f"""website, year_query, original as "original_query_URL_wayback_machine",
+ERROR_FIELDS = """website, year_query, original as "original_query_URL_wayback_machine",
   processed as "URL_wayback_machine_processed", depth as "Depth", message as error_message,
-  flag as website_not_scrapped, redirected as "Redirected", n_api as n_retries_api, n_link as nretries_link,
-  {printed('modified')} as "lastModified\""""
+  flag as website_not_scrapped, redirected as "Redirected", n_api as n_retries_api, n_link as nretries_link"""
+ERROR_COLUMNS = f"""{ERROR_FIELDS}, {printed('modified')} as "lastModified\""""
 oracle("latest_writes", """
 select website, year_query, original as "original_query_URL_wayback_machine", batch_no, seq, write_shape,
   message as error_message from (
@@ -700,20 +719,29 @@ from (
     union all select * replace (-1 as batch_no), true as old from page_table) w) m
 where k = 1""", "page_writes", "page_table")
 
-SCRAPED = "select site as website, (2014 + page_id % 7)::int as year_query from captures where page_id % 12 = 0"
-ANSWERED = """
-select website, year_query, original, processed from error_log where write_shape = 'walk' and seq % 5 <> 0"""
-CLEARED_SITE = f"flag and (website, year_query) in ({SCRAPED})"
-CLEARED_PAGE = f"flag is null and (website, year_query, original, processed) in ({ANSWERED})"
+# Errors of the table and of a pass over the list; sites scraped, and pages that a later pass opened.
+cte("errors_with_pass", """
+select website, year_query, original, processed, depth, message, flag, redirected, n_api, n_link from error_table
+union all
+select website, year_query, original_url, processed_url, depth, error, null, null, null, n_retries
+from single where error is not null""", "error_table", "single")
+cte("captures_later", captures_sql(1))
+cte("opened_later", f"""
+select l.website, l.year_query, l.original_url as original, l.processed_url as processed
+from retry_list l left join captures_later r on l.processed_url = r.url where {PAGE_ERROR} is null""",
+    "retry_list", "captures_later")
+CLEARED_SITE = "flag and (website, year_query) in (select website, year_query from level0)"
+CLEARED_PAGE = """flag is null and (website, year_query, original, processed) in (
+  select website, year_query, original, processed from opened_later)"""
+_cleared = ("errors_with_pass", "level0", "opened_later")
 oracle("clear_errors", f"""
-select {ERROR_COLUMNS} from error_table
-where not coalesce({CLEARED_SITE}, false) and not coalesce({CLEARED_PAGE}, false)""",
-       "captures", "error_log", "error_table")
+select {ERROR_FIELDS} from errors_with_pass
+where not coalesce({CLEARED_SITE}, false) and not coalesce({CLEARED_PAGE}, false)""", *_cleared)
 oracle("cleared_counts", f"""
-select 'homepage' as kind, count(*) as n from error_table where {CLEARED_SITE}
-union all select 'page', count(*) from error_table where {CLEARED_PAGE}""", "captures", "error_log", "error_table")
+select 'homepage' as kind, count(*) as n from errors_with_pass where {CLEARED_SITE}
+union all select 'page', count(*) from errors_with_pass where {CLEARED_PAGE}""", *_cleared)
 cte("to_retry", f"""
-select website, year_query, original, processed, depth from error_table
+select website, year_query, original, processed, depth, n_link from error_table
 where (message is null or message <> '{K.NO_TEXT_MESSAGE}')
   and (message is null or not regexp_matches(message, '{K.PERMANENT_STATUS}')) and flag is null and depth = 1""",
     "error_table")
@@ -731,7 +759,7 @@ oracle("retry_page_rows", f"""
 select website, year_query, {compact('original')} as original_url, {compact('processed')} as processed_url, depth
 from to_retry""", "to_retry")
 oracle("retry_rows_without_url", """
-select website, year_query, original as original_url from error_table where processed is null""", "error_table")
+select website, year_query, original as original_url, depth from to_retry where n_link = 3""", "to_retry")
 oracle("error_counts", """
 select 'homepage' as kind, count(*) as n from error_table where flag union all select 'page', count(*) from to_retry""",
        "error_table", "to_retry")

@@ -18,13 +18,20 @@ from midyear.operators import frontier as R
 from midyear.operators import merge as M
 from midyear.operators.attempts import resolve_attempts, resolve_rounds
 from midyear.operators.nearest import nearest_capture
-from midyear.plans.crawl import crawl, fetch_homepages, homepage_errors_of, locate, locate_by_answers
+from midyear.plans.crawl import (
+    crawl,
+    crawl_located,
+    homepage_errors_of,
+    locate,
+    locate_by_answers,
+    opened_homepages,
+    visit_homepages,
+)
 from midyear.plans.runs import Collection, _writes, run
 from midyear.plans.single_page import single_pages
-from midyear.plans.walk import fetch_links, homepage_visits, pages_of
-from midyear.schemas import RESPONSES
+from midyear.plans.walk import fetch_level, first_level, next_frontier, visited_homepages
 from midyear.sources import lists as L
-from midyear.sources.captures import capture_times, extract
+from midyear.sources.captures import Archive, capture_times, extract
 from midyear.sources.tables import empty_errors, empty_pages
 from verification import views as V
 
@@ -78,13 +85,9 @@ def retry_page_rows(spark, sf_dir):
 
 @query
 def retry_rows_without_url(spark, sf_dir):
-    errors = V.errors(spark, sf_dir)
-    rows = errors.select(
-        *SITE,
-        F.col("original_query_URL_wayback_machine").alias("original_url"),
-        F.col("URL_wayback_machine_processed").alias("processed_url"),
-    )
-    return L.rows_without_url(rows).select(*SITE, "original_url")
+    """Pages to retry that lack their processed URL."""
+    rows = E.pages_to_retry(V.errors_lacking_urls(spark, sf_dir))
+    return L.rows_without_url(rows).select(*SITE, "original_url", "depth")
 
 
 # --- URLs ------------------------------------------------------------------
@@ -206,8 +209,8 @@ def api_outcomes(spark, sf_dir):
 
 @query
 def attempts_resolved(spark, sf_dir):
-    log = V.attempts(spark, sf_dir).where("round = 1")
-    return resolve_attempts(log, "url", ["transport_error", "final_url"], attempts=3)
+    """Every round of the log by itself."""
+    return resolve_attempts(V.attempts(spark, sf_dir), ["url", "round"], ["transport_error", "final_url"], attempts=3)
 
 
 @query
@@ -296,38 +299,25 @@ def quota(spark, sf_dir):
     return R.within_quota(_fresh(spark, sf_dir), 5).select(*SITE, "link", "n_page")
 
 
-def _opened(spark, sf_dir) -> DataFrame:
+def _homepages(spark, sf_dir) -> DataFrame:
     archive = V.archive(spark, sf_dir)
-    homepages = fetch_homepages(locate(V.seeds(spark, sf_dir), archive), archive.responses)
-    return homepages.where("error is null").withColumnRenamed("capture_url", "url").select(
-        *SITE, *RESPONSES.fieldNames()
-    )
-
-
-def _links_by_url(spark, sf_dir) -> DataFrame:
-    links = V.page_hrefs(spark, sf_dir).unionByName(V.archived_links(spark, sf_dir))
-    return links.join(V.captures(spark, sf_dir).select("page_id", "url"), "page_id").select("url", "href")
+    return visit_homepages(locate(V.seeds(spark, sf_dir), archive), archive, CrawlConfig())
 
 
 def _frontier(spark, sf_dir) -> DataFrame:
-    level = homepage_visits(_opened(spark, sf_dir))
-    parents = level.where("error is null").select(
-        *SITE, "url", F.col("n_page").alias("position"), F.lit(0).alias("taken"), "n_retries_api"
-    )
-    visited = level.select(*SITE, F.col("final_url").alias("url_key"))
-    candidates = R.candidate_links(parents, _links_by_url(spark, sf_dir), 1)
-    return R.within_quota(R.not_visited(R.first_per_key(candidates), visited), 20)
+    level = first_level(opened_homepages(_homepages(spark, sf_dir)))
+    return next_frontier(level, visited_homepages(level), V.archive(spark, sf_dir), CrawlConfig())
 
 
 @query
 def frontier_depth1(spark, sf_dir):
-    """Links of the homepages of all seeds, in one plan."""
+    """Links of the homepages of all seeds."""
     return _frontier(spark, sf_dir).select(*SITE, "link", "n_page", "n_retries_api")
 
 
 @query
 def fetched_links(spark, sf_dir):
-    visits = fetch_links(_frontier(spark, sf_dir), V.archive(spark, sf_dir).responses, 1)
+    visits = fetch_level(_frontier(spark, sf_dir), V.archive(spark, sf_dir), 1, CrawlConfig())
     return visits.select(*SITE, "n_page", "url", "status", "final_url", "nretries_link", "error")
 
 
@@ -336,23 +326,12 @@ def fetched_links(spark, sf_dir):
 @query
 def homepage_pages(spark, sf_dir):
     """Nearest capture, response, text: the homepage of every seed."""
-    visits = homepage_visits(_opened(spark, sf_dir))
-    html = F.col(HTML)
-    texts = V.captures(spark, sf_dir).select("url", H.title(html).alias("title"), H.page_text(html).alias("text"))
-    return _no_clock(pages_of(with_text_lazily(visits, texts)))
-
-
-def with_text_lazily(visits: DataFrame, texts: DataFrame) -> DataFrame:
-    """``with_text`` without looking at sizes first."""
-    empty = F.when(F.coalesce("text", F.lit("")) == "", "No text found")
-    return visits.join(texts, "url", "left").withColumn("error", F.coalesce("error", empty))
+    return _no_clock(_crawl(spark, sf_dir, depth=0).pages)
 
 
 @query
 def homepage_failures(spark, sf_dir):
-    archive = V.archive(spark, sf_dir)
-    homepages = fetch_homepages(locate(V.seeds(spark, sf_dir), archive), archive.responses)
-    return _no_clock(homepage_errors_of(homepages))
+    return _no_clock(homepage_errors_of(_homepages(spark, sf_dir)))
 
 
 def _merged_pages(spark, done) -> DataFrame:
@@ -383,6 +362,23 @@ def crawl_depth2(spark, sf_dir):
     return _merged_pages(spark, _crawl(spark, sf_dir, depth=2))
 
 
+@query
+def crawl_from_attempts(spark, sf_dir):
+    """A crawl whose responses come from a log of attempts in two rounds."""
+    config = CrawlConfig()
+    fetched = Archive.of_attempts(V.attempt_log(spark, sf_dir), config.attempts)
+    archive = replace(fetched, more_links=V.archive(spark, sf_dir).more_links)
+    return _merged_pages(spark, crawl(V.seeds(spark, sf_dir), archive, config))
+
+
+@query
+def crawl_from_answers(spark, sf_dir):
+    """A crawl whose homepages are named by stored availability answers."""
+    located = locate_by_answers(V.capture_answers(spark, sf_dir))
+    done = crawl_located(located, V.archive(spark, sf_dir), CrawlConfig())
+    return _merged_pages(spark, done)
+
+
 @query
 def single_page_pass(spark, sf_dir):
     done = single_pages(V.retry_rows(spark, sf_dir), V.archive(spark, sf_dir))
@@ -447,25 +443,22 @@ def _later(writes: DataFrame) -> DataFrame:
     return writes.unionByName(shifted).withColumn("seq", -F.col("seq"))
 
 
-def _scraped(spark, sf_dir) -> DataFrame:
-    return V.captures(spark, sf_dir).where("page_id % 12 = 0").select(
-        F.col("site").alias("website"), (2014 + F.col("page_id") % 7).cast("int").alias("year_query")
-    )
-
-
-def _answered(spark, sf_dir) -> DataFrame:
-    return V.error_writes(spark, sf_dir).where("write_shape = 'walk' and seq % 5 <> 0")
+def _errors_and_successes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The error table with the failures of a pass, what a crawl scraped, and what a later pass opened."""
+    rows = V.retry_rows(spark, sf_dir)
+    errors = V.errors(spark, sf_dir).unionByName(single_pages(rows, V.archive(spark, sf_dir)).errors)
+    return errors, _crawl(spark, sf_dir, depth=0).scraped, single_pages(rows, V.archive(spark, sf_dir, 1)).opened
 
 
 @query
 def clear_errors(spark, sf_dir):
-    errors = M.clear_homepage_errors(V.errors(spark, sf_dir), _scraped(spark, sf_dir))
-    return _printable(M.clear_page_errors(errors, _answered(spark, sf_dir)))
+    errors, scraped, opened = _errors_and_successes(spark, sf_dir)
+    return _no_clock(M.clear_page_errors(M.clear_homepage_errors(errors, scraped), opened))
 
 
 @query
 def cleared_counts(spark, sf_dir):
-    return M.cleared_counts(V.errors(spark, sf_dir), _scraped(spark, sf_dir), _answered(spark, sf_dir))
+    return M.cleared_counts(*_errors_and_successes(spark, sf_dir))
 
 
 @query

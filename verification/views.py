@@ -195,7 +195,13 @@ def archive(spark: SparkSession, sf_dir: str, healed: int = 0) -> Archive:
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log of fetch attempts: two rounds of four attempts per URL."""
     n = F.col("page_id")
-    rows = captures(spark, sf_dir).select("page_id", "url", F.col("final_url").alias("landed"))
+    return attempt_log(spark, sf_dir).select("url", "round", "attempt", "status", "transport_error", "final_url")
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log with all columns of captures; an attempt that was turned away has another body."""
+    n = F.col("page_id")
+    rows = captures(spark, sf_dir).withColumnRenamed("final_url", "landed").drop("status", "transport_error")
     rows = rows.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
     rows = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(4))))
     status = (
@@ -204,7 +210,10 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("attempt") <= (n + F.col("round")) % 4, 503)
         .otherwise(200)
     )
+    body = F.when(status == 503, F.lit("<h1>Busy</h1>")).when(status.isNotNull(), F.col("html"))
     return rows.select(
+        "site",
+        "ts14",
         "url",
         "round",
         "attempt",
@@ -214,6 +223,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.when((n % 37 == 0) & (n % 74 == 0) & (F.col("round") == 2), F.col("url"))
         .otherwise(F.col("landed")).alias("final_url"),
+        "content_type",
+        "n_redirects",
+        body.alias("html"),
     )
 
 
@@ -236,6 +248,20 @@ def api_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def capture_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability answers that name, for every site and year, its first capture of that year by URL."""
+    n = F.col("page_id")
+    named = captures(spark, sf_dir).groupBy(
+        F.col("site").alias("website"), (2014 + n % 7).cast("int").alias("year_query")
+    ).agg(F.min("url").alias("url"))
+    return named.select(
+        "website", "year_query",
+        F.concat(
+            F.lit('{"archived_snapshots": {"closest": {"available": true, "status": "200", "url": "'), "url", F.lit('"}}}')
+        ).alias("body"),
+    )
+
+
 def error_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log of error upserts of all shapes, several to a key."""
     n = F.col("page_id")
@@ -283,6 +309,14 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.unionByName(pages_).select(*ERRORS.fieldNames())
 
 
+def errors_lacking_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error table as if every fourth number of retries had lost the processed URL."""
+    processed = F.col("URL_wayback_machine_processed")
+    return errors(spark, sf_dir).withColumn(
+        "URL_wayback_machine_processed", F.when(~F.col("nretries_link").eqNullSafe(3), processed)
+    )
+
+
 def page_writes(spark: SparkSession, sf_dir: str, slots: int = 4) -> DataFrame:
     """Log of page upserts with whole texts; ``slots`` URLs per site and year share the rows."""
     n = F.col("page_id")
