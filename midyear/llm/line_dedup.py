@@ -12,6 +12,7 @@ changes the result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +99,17 @@ def _sketch(bits: int, least: int):
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    unpack = zstandard.ZstdDecompressor().decompress
+def _merge(filters: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of all filters, read in turn; only the sums are held."""
+    unpack, block = zstandard.ZstdDecompressor().decompress, None
     once, twice = np.zeros(BLOCK_BITS // 8, np.uint8), np.zeros(BLOCK_BITS // 8, np.uint8)
-    for a, b in zip(table.column("once"), table.column("twice")):
-        seen = np.frombuffer(unpack(a.as_py()), np.uint8)
-        twice |= np.frombuffer(unpack(b.as_py()), np.uint8) | (once & seen)
-        once |= seen
-    return pa.table({"block": table.column("block")[:1], "twice": pa.array([zstandard.ZstdCompressor(level=1).compress(twice.tobytes())])})
+    for batch in filters:
+        for a, b in zip(batch.column("once"), batch.column("twice")):
+            seen = np.frombuffer(unpack(a.as_py()), np.uint8)
+            twice |= np.frombuffer(unpack(b.as_py()), np.uint8) | (once & seen)
+            once |= seen
+        block = batch.column("block")[:1]
+    yield pa.RecordBatch.from_arrays([block, pa.array([zstandard.ZstdCompressor(level=1).compress(twice.tobytes())])], names=["block", "twice"])
 
 
 def twice_seen(rows: DataFrame, bits: int, least: int) -> Bloom:
