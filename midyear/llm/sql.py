@@ -1,10 +1,12 @@
 """DuckDB SQL of the queries that SQL can express.
 
 Not among them: counts of a byte-pair vocabulary (1), sampled segmentations (4, pipeline),
-draws by XXH64 (5), XXH64 fingerprints and their components (7), and cutoffs under
-an exact binomial bound (9). Removing byte strings (3) is checked against plain Python.
+draws by XXH64 (5), XXH64 fingerprints and their components (7). Tests hold these
+against plain Python.
 """
 
+from .quality import ERROR, HARM, MIN_WORDS, MOST_REPEATED_PERCENT, RISK, RULES
+
 BLANK = r"[\x20\x09-\x0D]"
 
 EXACT = rf"""
@@ -66,4 +68,89 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE = {"op2_exact_dedup": EXACT, "op6_warc": WARC, "op8_substring_dedup": SUBSTRING, "op10_line_dedup": LINES}
+# Bytes as pairs of hexadecimal digits; a string of 200 bytes is known by its MD5.
+BYTES = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+starts AS (SELECT doc_id, digits, unnest(range(1, len(digits) // 2 - 198)) AS i FROM texts),
+keys AS (SELECT doc_id, i, md5_number(substr(digits, 2 * i - 1, 400)) AS k FROM starts),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM keys) WHERE n > 1),
+jumps AS (SELECT *, coalesce(i > lag(i) OVER w + 200, true) AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+  SELECT doc_id, min(i) AS first, max(i) + 199 AS last
+  FROM (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM jumps) GROUP BY doc_id, run
+),
+gaps AS (
+  SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) + 1 AS kept_from FROM runs
+),
+cut AS (
+  SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS last,
+         string_agg(substr(digits, 2 * kept_from - 1, 2 * (first - kept_from)), '' ORDER BY first) AS kept
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, len(digits) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(digits, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+_values = ", ".join(f"('{rule}', {cut}::double)" for rule, cuts in RULES.items() for cut in cuts)
+QUALITY = rf"""
+WITH base AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '{BLANK}+'), lambda w: w <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{BLANK}', '', 'g') <> '') AS ls FROM base
+),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM split),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM starts),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines
+  FROM split LEFT JOIN covered USING (doc_id)
+),
+measured AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM counts
+),
+scored AS (
+  SELECT doc_id, lang, base_failed, 'symbols_per_word' AS rule, n_symbols / greatest(n_words, 1) AS v FROM measured
+  UNION ALL SELECT doc_id, lang, base_failed, 'repeated_word_share', n_repeat_words / greatest(n_words, 1) FROM measured
+  UNION ALL SELECT doc_id, lang, base_failed, 'repeated_line_share', n_dup_lines / greatest(n_lines, 1) FROM measured
+  UNION ALL SELECT doc_id, lang, base_failed, 'chars_per_word', word_chars / greatest(n_words, 1) FROM measured
+),
+clear AS (
+  SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id
+  HAVING min(quality) = max(quality) AND count(*) = count(quality)
+),
+holdout AS (SELECT lang, rule, v, quality FROM scored JOIN clear USING (doc_id) WHERE NOT base_failed),
+tests AS (
+  SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > cutoff) AS lost,
+         count(*) FILTER (quality = 0 AND v > cutoff) AS caught
+  FROM holdout JOIN (VALUES {_values}) c(rule, cutoff) USING (rule) GROUP BY lang, rule, cutoff
+),
+certified AS (
+  SELECT *, caught - {HARM} * lost AS gain FROM tests
+  WHERE caught > {HARM} * lost AND lost <= n * {RISK / len(RULES)} AND list_sum(list_transform(range(0, lost + 1), lambda k:
+      exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({RISK / len(RULES)}) + (n - k) * ln(1 - {RISK / len(RULES)}))))
+    <= {ERROR / len(RULES)} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM holdout))
+),
+chosen AS (
+  SELECT lang, rule, cutoff FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) AS r FROM certified) WHERE r = 1
+),
+rejected AS (
+  SELECT DISTINCT s.doc_id FROM scored s JOIN chosen c ON s.rule = c.rule AND s.lang IS NOT DISTINCT FROM c.lang WHERE v > cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM measured
+"""
+
+ORACLE = {
+    "op2_exact_dedup": EXACT,
+    "op3_suffix_array_dedup": BYTES,
+    "op6_warc": WARC,
+    "op8_substring_dedup": SUBSTRING,
+    "op9_quality_rules": QUALITY,
+    "op10_line_dedup": LINES,
+}
