@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from midyear import constants as K
 from midyear.plans.crawl import crawl
 from midyear.sources import lists as L
-from midyear.sources.captures import Archive, read_archive, write_archive
+from midyear.sources.captures import Archive, read_archive, reject_repeated_urls, write_archive
 from verification import views
 
 
@@ -84,3 +85,29 @@ def test_an_archive_has_one_capture_per_url(spark, tiny, tmp_path):
     captures = views.captures(spark, tiny)
     with pytest.raises(ValueError, match="more than one capture"):
         write_archive(captures.unionByName(captures), str(tmp_path / "twice"))
+
+
+def test_archive_of_attempts(spark):
+    """One response per URL, with the body of the attempt that won; a throttled round gives way to the second."""
+    schema = (
+        "site string, ts14 string, url string, round int, attempt int, status int, transport_error string,"
+        " final_url string, content_type string, n_redirects int, html string"
+    )
+
+    def row(url, round_, attempt, status, final=None, html=None):
+        return ("a.de", "20160701000000", url, round_, attempt, status, None, final, None, 0, html)
+
+    log = spark.createDataFrame([
+        row("u", 1, 1, 503, "u", "busy"), row("u", 1, 2, 200, "u", "second"), row("u", 1, 3, 200, "u", "third"),
+        row("v", 1, 1, 503, "v", "one"), row("v", 1, 2, 503, "v", "two"), row("v", 1, 3, 200, "v", "beyond"),
+        row("w", 1, 1, 200, K.THROTTLE_PAGE, "slow down"), row("w", 2, 1, 200, None, "later"),
+    ], schema)
+    archive = Archive.of_attempts(log, attempts=2)
+    assert {(r.url, r.status, r.final_url, r.n_retries) for r in archive.responses.collect()} == {
+        ("u", 200, "u", 1), ("v", 503, "v", 2), ("w", 200, "w", 0),
+    }
+    assert {tuple(r) for r in archive.pages.collect()} == {("u", "second"), ("v", "two"), ("w", "later")}
+    assert archive.times.count() == 3
+    reject_repeated_urls(log)
+    with pytest.raises(ValueError):
+        reject_repeated_urls(log.unionByName(log))
