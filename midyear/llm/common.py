@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +121,16 @@ def worker_memory() -> types.SimpleNamespace:
     return sys.modules[name]
 
 
+def release_memory() -> None:
+    """At the end of a task: give what its tables took back to the system, since the worker goes on to live beside the next tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def byte_slices(column) -> list[memoryview]:
     """The values of an Arrow binary column without copies."""
     if not len(column):

@@ -5,7 +5,8 @@ vocabulary. A segmentation's probability is proportional to the product of its
 pieces' weights, which fall with the piece's rank (Zipf). Pieces hold blanks only
 in front and no newlines, so the lattice is a chain of cells, each a run of blanks
 and what follows; sums of weights from each node to the end of its cell are worked
-out once per distinct cell of a batch.
+out once per distinct cell of a stretch. A stretch is short texts together or a part
+of a long one, so memory does not grow with a text but for its result.
 
 Gumbel top-k: every segmentation has its log probability plus Gumbel noise, and the k
 largest are wanted. A search node is a prefix with some next pieces excluded; its
@@ -20,6 +21,7 @@ function of the row's key, the sample and the place.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import re
@@ -32,17 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, keyed, worker_memory
+from .common import byte_slices, keyed, release_memory, worker_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 4
-BATCH_BYTES = 2 << 20
+STRETCH_BYTES = 256 << 10  # of cells that get a lattice together
 BLOCK_CELLS = 1 << 14
-SPELL = 1 << 19
+SPELL = 1 << 18
 FAR = -45.0
 U = np.uint64
-CELL = re.compile(rb" *[^ \n]+| +|\n")
+# Fixed limits of a cell: what runs on longer without a blank is cut there, between two characters.
+CELL = re.compile(rb" {0,16384}[^ \n]{1,16380}[\x80-\xbf]{0,3}| {1,16384}|\n")
 BLANK_PIECE = "▁"
 
 
@@ -103,8 +106,7 @@ def cells_of(text: bytes) -> list[bytes]:
 class Lattice:
     """The edges of many cells; a place is an index into their bytes, with one more after each cell.
 
-    Cells are worked off in blocks that fit a processor's cache. Places fit 32 bits: a
-    batch ends with the text that fills it, and a text is shorter than 2 GB.
+    Cells are worked off in blocks that fit a processor's cache.
     """
 
     def __init__(self, cells: list[bytes], v: Vocabulary) -> None:
@@ -218,100 +220,152 @@ def truncated(mass: np.ndarray, u: np.ndarray, most: float) -> np.ndarray:
 
 
 class Search:
-    """Best-first search over one document's segmentations."""
+    """Best-first search over one document's segmentations, which are drawn stretch by stretch."""
 
-    def __init__(self, seed: int, cells: np.ndarray, wanted: int) -> None:
-        self.seed, self.cells, self.wanted, self.heap, self.found = seed, cells, wanted, [], []
-        self.value = float(-np.log(-np.log(noise(np.array([seed], U))[0]))) if len(cells) else 0.0
-        self.branch = None
+    def __init__(self, seed: int, wanted: int) -> None:
+        self.seed, self.wanted, self.heap, self.found = seed, wanted, [], []
+        self.value = float(-np.log(-np.log(noise(np.array([seed], U))[0])))
 
     def key(self, sample: int) -> int:
         return xxhash.xxh64_intdigest(sample.to_bytes(8, "little"), self.seed)
 
-    def add(self, lattice: Lattice, edges: np.ndarray, steps: np.ndarray, fixed: int, excluded: tuple) -> None:
-        """A segmentation is complete: its first ``fixed`` edges are its node's prefix, ``excluded`` edges were not allowed next."""
-        sample = len(self.found)
+    def start(self) -> bool:
+        """Go on with the node of the largest value, which is a place in a cell; its prefix is taken over."""
+        self.ids, self.n_ids, self.place, self.before = [], 0, 0, 0.0
+        self.cell, self.offset, self.gone = 0, 0, ()
+        if self.found:
+            if not self.heap:
+                return False
+            g, parent, self.place, self.n_ids, self.cell, self.offset, self.gone, self.before = heapq.heappop(self.heap)
+            self.value, self.ids = -g, [self.found[parent][0][: self.n_ids]]
+        self.base, self.fixed, self.far = self.key(len(self.found)), self.place, FAR + self.before
+        return True
+
+    def begin(self, lattice: Lattice, cells: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where drawing starts in the stretch whose cells, from the text's cell ``first`` on, are ``cells``: places, ends, keys, and the edge drawn already, if any."""
+        low = max(self.cell - first, 0)
+        here, forced = lattice.start[cells[low:]].copy(), np.zeros(0, np.int32)
+        if self.gone and self.cell >= first:
+            node = here[0] + self.offset
+            allowed = np.delete(np.arange(lattice.low[node], lattice.high[node], dtype=np.int32), self.gone)
+            share = np.cumsum(lattice.p[allowed])
+            u = noise(np.array([self.base ^ 0x2545F4914F6CDD1D], U))[0] * share[-1]
+            forced = allowed[[min(int(np.searchsorted(share, u)), len(allowed) - 1)]]
+            here[0] = lattice.to[forced[0]]
+        return here, lattice.end[cells[low:]], U(self.base) + np.arange(first + low, first + len(cells), dtype=U) * U(0x9FB21C651E98DF25), forced
+
+    def add(self, lattice: Lattice, v: Vocabulary, cells: np.ndarray, first: int, edges: np.ndarray, steps: np.ndarray) -> None:
+        """The segmentation goes on with ``edges``, ``steps`` of them in each of the last ``len(steps)`` cells of the stretch.
+
+        Alternatives to them become nodes as long as they are not too improbable.
+        """
         p = lattice.p[edges]
         log_p = np.log(p)
-        self.found.append((edges, self.value, float(log_p.sum())))
-        before = np.cumsum(log_p) - log_p
-        upto = min(len(edges), fixed + int(np.searchsorted(-before[fixed:], -FAR - before[fixed] if fixed < len(edges) else 0.0)))
-        place = np.arange(fixed, upto)
-        if not len(place):
-            return
-        taken = p[fixed:upto].copy()
-        if excluded:
-            taken[0] += lattice.p[list(excluded)].sum()
-        count = lattice.high[lattice.begin[edges[place]]] - lattice.low[lattice.begin[edges[place]]]
-        count[0] -= len(excluded)
-        rest = np.flatnonzero((count > 1) & (taken < 1.0))
-        place, taken = place[rest], taken[rest]
-        mass = before[place] + np.log1p(-taken)
-        keys = U(self.key(sample) ^ 0x5851F42D4C957F2D) + place.astype(U) * U(0xD6E8FEB86659FD93)
-        values = truncated(mass, noise(keys), self.value)
-        most = self.wanted - sample  # more of them cannot be taken, nor be the threshold
-        best = np.argpartition(-values, most)[:most] if len(values) > most else np.arange(len(values))
-        for g, i in zip(values[best].tolist(), place[best].tolist()):
-            gone = (int(edges[i]), *(excluded if i == fixed else ()))
-            heapq.heappush(self.heap, (-g, sample, i, gone))
-
-    def take(self) -> bool:
-        """Go on with the node of the largest value."""
-        if not self.heap:
-            return False
-        g, sample, place, gone = heapq.heappop(self.heap)
-        self.value, self.branch = -g, (sample, place, gone)
-        return True
+        before = self.before + np.cumsum(log_p) - log_p
+        ids, ends = ids_of(lattice, edges, v)
+        near = int(np.searchsorted(-before, -self.far))
+        taken, at = p[:near].copy(), np.arange(near)
+        count = lattice.high[lattice.begin[edges[:near]]] - lattice.low[lattice.begin[edges[:near]]]
+        fresh = self.place == self.fixed  # the first edge is the one chosen in place of those gone
+        if near and fresh and self.gone:
+            taken[0] += lattice.p[lattice.low[lattice.begin[edges[0]]] + np.array(self.gone)].sum()
+            count[0] -= len(self.gone)
+        open_ = np.flatnonzero((count > 1) & (taken < 1.0))
+        if len(open_):
+            at, sample = at[open_], len(self.found)
+            mass = before[at] + np.log1p(-taken[open_])
+            keys = U(self.key(sample) ^ 0x5851F42D4C957F2D) + (self.place + at).astype(U) * U(0xD6E8FEB86659FD93)
+            values = truncated(mass, noise(keys), self.value)
+            most = self.wanted - sample  # more of them cannot be taken, nor be the threshold
+            best = np.argpartition(-values, most)[:most] if len(values) > most else np.arange(len(values))
+            cell = len(cells) - len(steps) + np.searchsorted(np.cumsum(steps), at[best], side="right")
+            for g, i, c in zip(values[best].tolist(), at[best].tolist(), cell.tolist()):
+                node = int(lattice.begin[edges[i]])
+                gone = (int(edges[i] - lattice.low[node]), *(self.gone if i == 0 and fresh else ()))
+                n_ids = self.n_ids + (int(ends[i - 1]) if i else 0)
+                heapq.heappush(self.heap, (-g, sample, self.place + i, n_ids, first + c, node - int(lattice.start[cells[c]]), gone, float(before[i])))
+        if near < len(edges):
+            self.far = np.inf
+        self.ids.append(ids)
+        self.n_ids += len(ids)
+        self.place += len(edges)
+        self.before += float(log_p.sum())
+
+    def end(self) -> None:
+        self.found.append((np.concatenate(self.ids) if self.ids else np.zeros(0, "<i4"), self.value, self.before))
+
+    @property
+    def threshold(self) -> float:
+        """The largest value that was not taken."""
+        return -self.heap[0][0] if self.heap and len(self.found) >= self.wanted else -np.inf
+
+
+def draw(lattice: Lattice, v: Vocabulary, parts: list[tuple[Search, np.ndarray, int]]) -> None:
+    """Draw on in a stretch: searches with the cells of it that are theirs, and the number of the first in their text."""
+    begun = [s.begin(lattice, cells, first) for s, cells, first in parts]
+    at, stop, keys = (np.concatenate(x) for x in list(zip(*begun))[:3])
+    drawn, steps = walk(lattice, at, stop, keys)
+    ends = np.cumsum(steps)
+    cell = edge = 0
+    for (s, cells, first), (here, _, _, forced) in zip(parts, begun):
+        n = len(here)
+        upto = int(ends[cell + n - 1])
+        own = steps[cell : cell + n].copy()
+        own[0] += len(forced)
+        s.add(lattice, v, cells, first, np.concatenate([forced, drawn[edge:upto]]), own)
+        cell, edge = cell + n, upto
+
+
+def numbered(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct cells of texts, and each text's cells as numbers of them."""
+    known: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    numbers = [np.fromiter(map(known.__getitem__, cells), np.int64, len(cells)) for cells in texts]
+    return list(known), numbers
 
 
-def sample_batch(texts: list[bytes], seeds: list[int], v: Vocabulary, k: int) -> tuple[Lattice | None, list[Search]]:
-    """The k segmentations of each text, or all if there are fewer."""
-    known: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    searches = [Search(s, np.fromiter(map(known.__getitem__, cells_of(t)), np.int64), k) for t, s in zip(texts, seeds)]
-    if not known:
-        for s in searches:
-            s.found.append((np.zeros(0, np.int64), 0.0, 0.0))
-        return None, searches
-    lattice = Lattice(list(known), v)
+def sample_short(texts: list[bytes], seeds: list[int], v: Vocabulary, k: int) -> list[Search]:
+    """The k segmentations of each text, or all if there are fewer; the texts share one lattice."""
+    searches = [Search(s, k) for s in seeds]
+    distinct, cells = numbered([cells_of(t) for t in texts])
+    lattice = Lattice(distinct, v) if distinct else None
+    for sample in range(k):
+        going = [(s, c, 0) for s, c in zip(searches, cells) if (not sample or len(c)) and s.start()]
+        if lattice and any(len(c) for _, c, _ in going):
+            draw(lattice, v, [x for x in going if len(x[1])])
+        for s, _, _ in going:
+            s.end()
+    return searches
+
+
+def stretches(text: bytes, low: int = 0):
+    """(place, cells) of consecutive stretches of a long text, from a cell's place on. A cell's extent shows when another follows."""
+    data = memoryview(text)
+    while low < len(text):
+        cells = CELL.findall(data[low : low + STRETCH_BYTES])
+        if low + STRETCH_BYTES < len(text):
+            cells.pop()
+        yield low, cells
+        low += sum(map(len, cells))
+
+
+def sample_long(text: bytes, seed: int, v: Vocabulary, k: int) -> list[Search]:
+    """As ``sample_short`` for one text of any length: each segmentation is drawn stretch by stretch."""
+    search, data = Search(seed, k), b" " + text
+    places, firsts = [], []  # of the stretches
     for sample in range(k):
-        at, stop, keys, plan = [], [], [], []
-        for s in searches:
-            if sample and (not len(s.cells) or not s.take()):
-                continue
-            base, prefix, fixed, gone, cell = s.key(sample), np.zeros(0, np.int64), 0, (), 0
-            here, ends = lattice.start[s.cells], lattice.end[s.cells]
-            if sample:
-                parent, fixed, gone = s.branch
-                edges = s.found[parent][0]
-                node = lattice.begin[edges[fixed]]
-                allowed = np.setdiff1d(np.arange(lattice.low[node], lattice.high[node]), gone)
-                share = np.cumsum(lattice.p[allowed])
-                u = noise(np.array([base ^ 0x2545F4914F6CDD1D], U))[0] * share[-1]
-                forced = allowed[min(int(np.searchsorted(share, u)), len(allowed) - 1)]
-                prefix = np.append(edges[:fixed], forced)
-                cell = int((lattice.to[edges[:fixed]] == ends_of(lattice, edges[:fixed])).sum())
-                here = here[cell:].copy()
-                ends = ends[cell:]
-                here[0] = lattice.to[forced]
-            at.append(here)
-            stop.append(ends)
-            keys.append(U(base) + np.arange(cell, cell + len(here), dtype=U) * U(0x9FB21C651E98DF25))
-            plan.append((s, prefix, fixed, gone, len(here)))
-        if not plan:
+        if not search.start():
             break
-        drawn, steps = walk(lattice, np.concatenate(at), np.concatenate(stop), np.concatenate(keys))
-        ends = np.cumsum(steps)
-        cell = edge = 0
-        for s, prefix, fixed, gone, n in plan:
-            upto = int(ends[cell + n - 1]) if n else edge
-            s.add(lattice, np.concatenate([prefix, drawn[edge:upto]]), steps[cell : cell + n], fixed, gone)
-            cell, edge = cell + n, upto
-    return lattice, searches
-
-
-def ends_of(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
-    """The end of the cell that each edge is in."""
-    return lattice.end[np.searchsorted(lattice.start, lattice.begin[edges], side="right") - 1]
+        i = bisect.bisect_right(firsts, search.cell) - 1 if firsts else 0
+        first = firsts[i] if firsts else 0
+        for place, cells in stretches(data, places[i] if places else 0):
+            if not sample:
+                places.append(place)
+                firsts.append(first)
+            distinct, (numbers,) = numbered([cells])
+            draw(Lattice(distinct, v), v, [(search, numbers, first)])
+            first += len(cells)
+        search.end()
+    return [search]
 
 
 def ids_of(lattice: Lattice, edges: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -360,38 +414,58 @@ def runs(ends: np.ndarray, size: int):
         low = high
 
 
+def spells(ids: np.ndarray, text: bytes, v: Vocabulary) -> bool:
+    """Whether the piece numbers stand for the text behind a blank; compared part by part."""
+    at = -1
+    for low in range(0, len(ids), SPELL):
+        part = bytes_of(ids[low : low + SPELL], v)[0].tobytes()
+        part, at = (part[1:], 0) if at < 0 else (part, at)
+        if text[at : at + len(part)] != part:
+            return False
+        at += len(part)
+    return max(at, 0) == len(text)
+
+
+KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+
+
+def _rows(keys, texts: list[bytes], searches: list[Search], v: Vocabulary) -> pa.RecordBatch:
+    found = [(key, text, s, i) for key, text, s in zip(keys, texts, searches) for i in range(len(s.found))]
+    pieces = [s.found[i][0] for *_, s, i in found]
+    counts, right = np.cumsum([0] + [len(x) for x in pieces]), []
+    for low, high in runs(counts, SPELL):  # many short texts are spelled at once
+        if high - low == 1:
+            right.append(spells(pieces[low], found[low][1], v))
+            continue
+        data, upto = bytes_of(np.concatenate(pieces[low:high]), v)
+        upto, data = np.r_[0, upto][counts[low : high + 1] - counts[low]].tolist(), data.tobytes()
+        right += [data[x:y][1:] == text for (_, text, _, _), x, y in zip(found[low:high], upto[:-1], upto[1:])]
+    rows = [(*key, i + 1, ids.tobytes(), len(ids), s.found[i][2], s.found[i][1], log_inclusion(s.found[i][2], s.threshold), ok) for (key, _, s, i), ids, ok in zip(found, pieces, right)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
 def _samples(model, k: int, seed: int):
     def emit(keys, texts, v):
         seeds = [xxhash.xxh64_intdigest(f"{a}/{b}".encode(), seed) for a, b in keys]
-        lattice, searches = sample_batch(texts, seeds, v, k)
-        rows, found = [], [(key, text, s, i) for key, text, s in zip(keys, texts, searches) for i in range(len(s.found[:k]))]
-        counts = np.cumsum([0] + [len(s.found[i][0]) for *_, s, i in found])
-        for low, high in runs(counts, SPELL):
-            edges = np.concatenate([s.found[i][0] for *_, s, i in found[low:high]])
-            ids, ends = ids_of(lattice, edges, v) if lattice else (np.zeros(0, "<i4"), edges)
-            ends = np.r_[0, ends][counts[low : high + 1] - counts[low]].tolist()
-            data, upto = bytes_of(ids, v)
-            upto = np.r_[0, upto][ends].tolist()
-            for ((doc_id, text_hash), text, s, i), a, b, x, y in zip(found[low:high], ends[:-1], ends[1:], upto[:-1], upto[1:]):
-                threshold = -s.heap[0][0] if s.heap and len(s.found) >= k else -np.inf
-                _, value, log_p = s.found[i]
-                rows.append((doc_id, text_hash, i + 1, ids[a:b].tobytes(), b - a, log_p, value, log_inclusion(log_p, threshold), data[x:y].tobytes()[1:] == text))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        if len(texts) == 1 and len(texts[0]) >= STRETCH_BYTES:
+            return _rows(keys, texts, sample_long(texts[0], seeds[0], v, k), v)
+        return _rows(keys, texts, sample_short(texts, seeds, v, k), v)
 
     def run(batches):
         v = vocabulary(model.value)
+        keys, texts, size = [], [], 0
         for batch in batches:
-            keys, texts, size = [], [], 0
             for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), byte_slices(batch.column("text"))):
+                if keys and size + len(text) >= STRETCH_BYTES:
+                    yield emit(keys, texts, v)
+                    keys, texts, size = [], [], 0
                 keys.append((doc_id, text_hash))
                 texts.append(bytes(text))
                 size += len(text)
-                if size >= BATCH_BYTES:
-                    yield emit(keys, texts, v)
-                    keys, texts, size = [], [], 0
-            if keys:
-                yield emit(keys, texts, v)
+        if keys:
+            yield emit(keys, texts, v)
+        keys = texts = batch = None
+        release_memory()
 
     return run
 
@@ -407,7 +481,9 @@ def sampled_pieces(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED, ke
     ``pieces`` holds 32-bit little-endian piece numbers. ``log_inclusion`` is the log
     probability of being among the samples, given the threshold; 0 if all
     segmentations were returned. Null and empty texts have one segmentation, without
-    pieces. Rows with equal ids and texts get equal samples. An empty table gives an empty result.
+    pieces. Texts may be of any length that a row holds; no piece crosses the cut after
+    16 KB without a blank. Rows with equal ids and texts get equal samples. An empty
+    table gives an empty result; other columns, whatever their names, are ignored.
     """
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
     return rows.mapInArrow(_samples(_model(docs, model), samples, seed), SCHEMA)

@@ -94,9 +94,8 @@ def segmentations(text):
 
 
 def sampled(text, seed, k):
-    lattice, (search,) = pieces.sample_batch([text.encode()], [seed], VOCABULARY, k)
-    threshold = -search.heap[0][0] if search.heap and len(search.found) >= k else -np.inf
-    return [(tuple(pieces.ids_of(lattice, e, VOCABULARY)[0].tolist()), g, p) for e, g, p in search.found[:k]], threshold
+    (search,) = pieces.sample_short([text.encode()], [seed], VOCABULARY, k)
+    return [(tuple(ids.tolist()), g, p) for ids, g, p in search.found], search.threshold
 
 
 @pytest.mark.parametrize("text", ["the cat", "▁é漢 \n a", "abab", "x"])
@@ -126,6 +125,47 @@ def test_sampling_without_replacement():
     assert total / n == pytest.approx(1.0, abs=0.05)
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    """A text drawn stretch by stretch has the samples of the text drawn at once."""
+    r = random.Random(4)
+    texts = ["".join(r.choice(["word ", "other, ", "thing\n", "  é漢", "\n\n", "ab"]) for _ in range(n)) for n in (1, 30, 400, 2000)]
+    texts += [" " * 900 + "x", "漢" * 700, "\n" * 500, "é" * 333 + " a"]
+    for text in texts:
+        data = text.encode()
+        (whole,) = pieces.sample_short([data], [5], VOCABULARY, 6)
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "STRETCH_BYTES", 3000)
+            (parts,) = pieces.sample_long(data, 5, VOCABULARY, 6)
+        assert len(parts.found) == len(whole.found)
+        for (a, g, p), (b, h, q) in zip(parts.found, whole.found):
+            assert np.array_equal(a, b) and g == pytest.approx(h) and p == pytest.approx(q)
+            assert pieces.spells(a, data, VOCABULARY) and not pieces.spells(a, data + b"q", VOCABULARY)
+
+
+def test_memory_of_a_long_text(spark):
+    """25 MB of text, once with blanks and once without, in a worker of 1 GB."""
+    from pyspark.sql import DataFrame
+
+    unit = "The quick brown fox, jumped over 13 lazy dogs.\n"
+    df = spark.sql(f"SELECT 1L AS doc_id, repeat({unit!r}, 540000) AS text UNION ALL SELECT 2L, repeat('thequickbrown', 1900000)")
+    assert isinstance(df, DataFrame) and df.selectExpr("min(octet_length(text)) AS n").first().n > 23_000_000
+
+    def limited(batches):
+        import resource
+
+        soft, hard = resource.getrlimit(resource.RLIMIT_DATA)
+        resource.setrlimit(resource.RLIMIT_DATA, (1 << 30, hard))
+        try:
+            yield from run(batches)
+        finally:
+            resource.setrlimit(resource.RLIMIT_DATA, (soft, hard))
+
+    run = pieces._samples(pieces._model(df, pieces.MODEL), 2, 4)
+    rows = keyed(df).withColumn("text", F.col("text").cast("binary")).mapInArrow(limited, pieces.SCHEMA)
+    found = rows.select("doc_id", "sample", "round_trip").collect()
+    assert sorted((r.doc_id, r.sample) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2)] and all(r.round_trip for r in found)
+
+
 def test_pieces_of_documents(docs, odd, repeated, empty):  # noqa: F811
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for df in (docs, odd, repeated):
