@@ -69,28 +69,41 @@ def copies(rate: Column, key: Column, seed: int = SEED) -> Column:
     return whole + F.when(uniform < rate - whole, 1).otherwise(0)
 
 
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    body = F.col(text)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(body.cast("string"), F.lit(""))).alias("text_hash"), F.col(source).cast("string").alias("source"), word_count(body).alias("size"))
+
+
+def _shares(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return stored(targets(sizes, weights, most), "mix-targets")
+
+
+def _copies(most: float, seed: int) -> Column:
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    return copies(rate, F.coalesce("doc_id", "text_hash"), seed).cast("int")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, size, source_size, target, copies, taken.
 
     Null texts have size 0; null is a source of its own; sources without words get
     no copies. Rows with equal ids are taken equally often, and rows with a null id
-    draw by their text. An empty table gives an empty result. Runs agree.
+    draw by their text. Texts of any length are counted in the row. An empty table
+    gives an empty result; other columns, whatever their names, are ignored. Runs agree.
     """
-    body = F.col(text)
-    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(body.cast("string"), F.lit(""))).alias("text_hash"), F.col(source).cast("string").alias("source"), word_count(body).alias("size"))
-    sized = stored(sized, "mix-sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    shares = stored(targets(sizes, weights, most), "mix-targets")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    row = F.coalesce("doc_id", "text_hash")
-    found = sized_join(sized, shares, ["source"], "inner").withColumn("copies", copies(rate, row, seed).cast("int"))
+    sized = stored(_sized(docs, key, text, source), "mix-sizes")
+    found = sized_join(sized, _shares(sized, weights, most), ["source"], "inner").withColumn("copies", _copies(most, seed))
     return found.select("doc_id", "text_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, and all its columns."""
-    shares = mix(docs).select("doc_id", "text_hash", "copies").dropDuplicates(["doc_id", "text_hash"])
-    shares = stored(shares, "mix-copies")
-    rows = keyed(docs, "doc_id", "text", F.struct("*").alias("row")).drop("text")
-    taken = sized_join(rows, shares, ["doc_id", "text_hash"], "inner")
+    """``docs`` with every row as often as the mix takes it, and all its columns, whatever their names.
+
+    A row's copies follow from its source's share and its own key, so rows meet only
+    the table of sources. Nulls, repeated rows and empty tables as in ``mix``.
+    """
+    shares = _shares(_sized(docs, "doc_id", "text", "source"), WEIGHTS, MOST_REPEATS)
+    rows = keyed(docs, "doc_id", "text", F.col("source").cast("string").alias("source"), F.struct("*").alias("row")).drop("text")
+    taken = sized_join(rows, shares, ["source"], "inner").select("row", _copies(MOST_REPEATS, SEED).alias("copies"))
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
