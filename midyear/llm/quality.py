@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs are chosen under a risk bound; DataFrame functions only.
 
 Each rule rejects documents whose statistic exceeds a cutoff from a fixed list. For
-every stratum and rule, the labelled good documents are a holdout: a cutoff is
-certified when the exact binomial test rejects that it loses more than its share of
+every stratum and rule, the distinct labelled good texts are a holdout (copies say
+nothing new, so a text counts once, blanks aside): a cutoff is certified when the exact binomial test rejects that it loses more than its share of
 ``RISK`` of the good ones. Rules share RISK and, with the strata, ERROR equally
 (Bonferroni); along a rule's list, from lenient to strict, losses only grow, so the
 tests of one list form a fixed sequence and need no further correction. Hence, with
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from midyear.functions.binding import let
 
-from .common import BLANK, BLANK_CHARACTERS, ROW_KEY, keyed, sized_join, stored, without_rows
+from .common import BLANK, BLANK_CHARACTERS, ROW_KEY, keyed, sized_join, stored
 
 RISK = 0.02
 ERROR = 0.05
@@ -116,15 +116,30 @@ def most_losses(n: Column, risk: float, log_error: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor(n * risk)), start, step, lambda s: s["k"])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
+def clear_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, quality, stored; ids with contradicting or null labels are left out."""
+    clear = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality"), F.count(F.when(F.col("quality").isNull(), 1)).alias("unclear"))
+    return stored(clear.where("low = quality and unclear = 0").select("doc_id", "quality"), "quality-labels")
+
+
+def holdout_of(measured: DataFrame, clear: DataFrame) -> DataFrame:
+    """One row per stratum and distinct text among the labelled rows that pass the base rules.
+
+    Texts are distinct if they differ in more than blanks. Copies labelled alike are one
+    observation, that of the least id; copies labelled differently are none.
+    """
+    labelled = sized_join(measured.where(~base_failed()), clear, ["doc_id"], "inner")
+    one = F.min(F.struct("doc_id", "text_hash", *COUNTS, "n_lines")).alias("one")
+    once = labelled.groupBy("stratum", "norm_hash").agg(one, F.min("quality").alias("low"), F.max("quality").alias("quality"))
+    return once.where("low = quality").select("stratum", "quality", "one.*")
+
+
+def cutoffs(measured: DataFrame, clear: DataFrame) -> DataFrame:
     """stratum and one column per rule with its cutoff, or null where the rule is off.
 
-    ``measured``: doc_id, stratum and the counts. ``labels``: doc_id, quality; ids with
-    contradicting or null labels are left out.
+    ``measured``: doc_id, text_hash, norm_hash, stratum and the counts. ``clear``: as ``clear_labels`` gives them.
     """
-    clear = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality"), F.count(F.when(F.col("quality").isNull(), 1)).alias("unclear"))
-    clear = stored(clear.where("low = quality and unclear = 0").select("doc_id", "quality"), "quality-labels")
-    holdout = sized_join(measured.where(~base_failed()), clear, ["doc_id"], "inner")
+    holdout = holdout_of(measured, clear)
     # How many cutoffs, counted from the strict end, a document exceeds.
     levels = [F.struct(F.lit(rule).alias("rule"), reduce(lambda a, b: a + b, [(rule_value(rule) > c).cast("int") for c in cuts]).alias("level")) for rule, cuts in RULES.items()]
     counted = holdout.select("stratum", "quality", F.explode(F.array(*levels)).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))
@@ -145,28 +160,52 @@ def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES])
 
 
-def measured_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    rows = keyed(docs, key, text, F.col(stratum).cast("string").alias("stratum"))
-    # The generator keeps the counts from being worked out anew for each of their uses.
-    return rows.select(*ROW_KEY, "stratum", F.explode(F.array(statistics(F.col("text")))).alias("s")).select(*ROW_KEY, "stratum", "s.*")
+def _measured(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of rows with a text, and its counts. The generator keeps them from being worked out anew for each use."""
+    return rows.select(*columns, F.explode(F.array(statistics(F.col("text")))).alias("s")).select(*columns, "s.*")
+
+
+def _keyed(docs: DataFrame, key: str, text: str, stratum: str, *more: Column) -> DataFrame:
+    rows = keyed(docs, key, text, F.col(stratum).cast("string").alias("stratum"), *more)
+    return rows.withColumn("norm_hash", F.xxhash64(F.translate("text", BLANK_CHARACTERS, "")))
+
+
+def _limits(chosen: DataFrame) -> DataFrame:
+    return stored(chosen.withColumnsRenamed({rule: f"max_{rule}" for rule in RULES}), "quality-cutoffs")
+
+
+def _is_kept() -> Column:
+    exceeds = reduce(lambda a, b: a | b, [F.coalesce(rule_value(rule) > F.col(f"max_{rule}"), F.lit(False)) for rule in RULES])
+    return ~base_failed() & ~exceeds
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept, text_hash.
 
     Null texts have no words and fail the base rules. Null strata are one stratum.
-    Repeated ids share their labels; repeated rows get equal results. Without labels,
-    or with too few, only the base rules reject. Empty tables give empty results.
+    Repeated ids share their labels; repeated rows get equal results, and certify no
+    more than one of them does. Without labels, or with too few, only the base rules
+    reject. A text's words are held as one array, so it may have some hundred million
+    characters. Empty tables give empty results; other columns of ``docs`` and
+    ``labels``, whatever their names, are ignored.
     """
-    measured = stored(measured_documents(docs, key, text, stratum), "quality-measured")
-    chosen = stored(cutoffs(measured, labels), "quality-cutoffs")
-    renamed = chosen.withColumnsRenamed({rule: f"max_{rule}" for rule in RULES})
-    judged = sized_join(measured, stored(renamed, "quality-limits-used"), ["stratum"], "left")
-    exceeds = reduce(lambda a, b: a | b, [F.coalesce(rule_value(rule) > F.col(f"max_{rule}"), F.lit(False)) for rule in RULES])
-    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~exceeds).alias("kept"), "text_hash")
+    columns = [*ROW_KEY, "norm_hash", "stratum"]
+    measured = stored(_measured(_keyed(docs, key, text, stratum), *columns), "quality-measured")
+    limits = _limits(cutoffs(measured, clear_labels(labels)))
+    judged = sized_join(measured, limits, ["stratum"], "left")
+    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), _is_kept().alias("kept"), "text_hash")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    rejected = quality_verdicts(docs, labels).where("not kept").select(*ROW_KEY).distinct()
-    return without_rows(docs, stored(rejected, "quality-rejected"))
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    The same verdicts as ``quality_verdicts``, but worked out in the row itself: only
+    labelled rows are measured beforehand, and no text is shuffled. Nulls, repeated
+    rows and empty tables as there.
+    """
+    columns = [*ROW_KEY, "norm_hash", "stratum"]
+    rows, clear = _keyed(docs, "doc_id", "text", "lang"), clear_labels(labels)
+    labelled = sized_join(rows, clear, ["doc_id"], "left_semi")
+    limits = _limits(cutoffs(stored(_measured(labelled, *columns), "quality-labelled"), clear))
+    whole = keyed(docs, "doc_id", "text", F.col("lang").cast("string").alias("stratum"), F.struct("*").alias("row"))
+    return sized_join(_measured(whole, "stratum", "row"), limits, ["stratum"], "left").where(_is_kept()).select("row.*")

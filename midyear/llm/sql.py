@@ -104,7 +104,7 @@ windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM starts
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
 counts AS (
-  SELECT doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g')) AS word_chars,
+  SELECT doc_id, lang, md5(regexp_replace(t, '{BLANK}', '', 'g')) AS norm, len(ws) AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines
   FROM split LEFT JOIN covered USING (doc_id)
@@ -122,7 +122,11 @@ clear AS (
   SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id
   HAVING min(quality) = max(quality) AND count(*) = count(quality)
 ),
-holdout AS (SELECT lang, rule, v, quality FROM scored JOIN clear USING (doc_id) WHERE NOT base_failed),
+samples AS (
+  SELECT lang, norm, min(doc_id) AS doc_id, min(quality) AS quality FROM measured JOIN clear USING (doc_id) WHERE NOT base_failed
+  GROUP BY lang, norm HAVING min(quality) = max(quality)
+),
+holdout AS (SELECT s.lang, rule, v, quality FROM scored s JOIN samples USING (doc_id)),
 tests AS (
   SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > cutoff) AS lost,
          count(*) FILTER (quality = 0 AND v > cutoff) AS caught

@@ -13,7 +13,7 @@ from midyear.llm.common import read
 from midyear.llm.exact_dedup import drop_copies, exact_groups
 from midyear.llm.line_dedup import drop_repeated_lines
 from midyear.llm.mixing import mix, mixed
-from midyear.llm.quality import cutoffs, good_documents, most_losses, quality_verdicts
+from midyear.llm.quality import clear_labels, cutoffs, good_documents, most_losses, quality_verdicts
 from midyear.llm.simhash import near_groups, one_per_group
 from midyear.llm.substring_dedup import RULE as WORDS
 from midyear.llm.substring_dedup import remove_repeated_words
@@ -219,13 +219,46 @@ def test_cutoffs(spark):
         stratum = "big" if i < 8000 else "small"
         bad = i % 5 == 0
         symbols = r.randrange(40, 90) if bad else r.randrange(0, 3)
-        rows.append((i, 0, stratum, 100, 500, symbols, 0, 0, 10))
+        rows.append((i, 0, i, stratum, 100, 500, symbols, 0, 0, 10))
         labels += [(i, 0 if bad else 1)] + ([(i, 1)] if bad and i % 10 == 0 else [])
-    measured = spark.createDataFrame(rows, "doc_id long, text_hash long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    found = {x.stratum: x for x in cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    measured = spark.createDataFrame(rows, "doc_id long, text_hash long, norm_hash long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    found = {x.stratum: x for x in cutoffs(measured, clear_labels(spark.createDataFrame(labels, "doc_id long, quality int"))).collect()}
     assert set(found) == {"big"} and found["big"].symbols_per_word == 0.3 and found["big"].chars_per_word is None
 
 
+def test_repeated_rows_certify_nothing_more(spark, monkeypatch):
+    """300 good documents of which 4 lie over a cutoff certify it no more when each stands there twenty times, blanks and ids changed."""
+    from midyear.llm import quality
+
+    monkeypatch.setattr(quality, "RISK", 0.08)
+    r = random.Random(2)
+
+    def text(i, symbols):
+        return " ".join(f"{r.choice('abcdefgh')}{i}x{j}" + "#" * (j < symbols) for j in range(60))
+
+    rows = [(i, text(i, 50 if i < 104 else 0), "en") for i in range(400)]
+    labels = [(i, 0 if i < 100 else 1) for i in range(400)]
+    times = 20
+    again = [(i + 1000 * t, x + "\n" * t, lang) for i, x, lang in rows for t in range(times)]
+    labels_again = [(i + 1000 * t, q) for i, q in labels for t in range(times)]
+    kept = {}
+    for name, a, b in (("once", rows, labels), ("ids", again, labels_again), ("rows", rows * times, labels * times)):
+        found = quality_verdicts(spark.createDataFrame(a, "doc_id long, text string, lang string"), spark.createDataFrame(b, "doc_id long, quality int"))
+        kept[name] = {x.doc_id % 1000 for x in found.where("kept").collect()}
+    assert kept["once"] == kept["ids"] == kept["rows"] == set(range(400))
+    many = [(i, text(i, 50 if i < 104 else 0), "en") for i in range(8000)]
+    found = quality_verdicts(spark.createDataFrame(many, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 0 if i < 100 else 1) for i in range(8000)], "doc_id long, quality int"))
+    assert {x.doc_id for x in found.where("kept").collect()} == set(range(104, 8000))
+
+
+def test_stages_move_no_text(spark, tiny):
+    """Quality rules and mixing decide in the row: no shuffle carries a text."""
+    documents = read(spark, tiny, "documents")
+    for df in (good_documents(documents, read(spark, tiny, "labels")), mixed(documents)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 LINE = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
