@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .codebooks import compressed
 from .common import read
 from .exact_dedup import exact_groups
+from .exact_topk import nearest
 from .line_dedup import drop_repeated_lines
 from .mixing import mix
+from .negatives import hard_negatives
 from .pieces import sampled_pieces
 from .quality import quality_verdicts
 from .simhash import near_groups
@@ -65,6 +68,18 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read(spark, sf_dir, "documents"))
 
 
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_exact_dedup": exact_dedup,
@@ -76,5 +91,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup,
     "op9_quality_rules": quality,
     "op10_line_dedup": line_dedup,
+    "op11_exact_topk": exact_topk,
+    "op12_hard_negatives": negatives,
+    "op13_vector_codes": vector_codes,
     "pipeline": corpus_pipeline.run,
 }

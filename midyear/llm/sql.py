@@ -5,6 +5,7 @@ draws by XXH64 (5), XXH64 fingerprints and their components (7). Tests hold thes
 against plain Python.
 """
 
+from .codebooks import ENTRIES, PARTS, ROUNDS
 from .quality import ERROR, HARM, MIN_WORDS, MOST_REPEATED_PERCENT, RISK, RULES
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -150,7 +151,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measured
 """
 
+# Rows are numbered, since ids need not be unique. Inner products of whole doubles are exact.
+VECTORS = """
+SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+       list_transform(embedding, lambda x: floor({scale} * x::double)) AS v
+FROM embeddings WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)
+"""
+
+TOP_K = f"""
+WITH vectors AS MATERIALIZED ({VECTORS.format(scale=1024)}),
+scored AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score, c.rid AS other
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id IS NOT NULL AND c.rid <> q.rid
+)
+SELECT query_id, rank::int AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) AS rank FROM scored) WHERE rank <= 10
+"""
+
+NEGATIVES = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v
+  FROM ({VECTORS.format(scale=256)}) WHERE label IS NOT NULL AND vec_id IS NOT NULL
+),
+scored AS MATERIALIZED (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, c.rid AS other, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::bigint AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND c.rid <> a.rid
+),
+positives AS (
+  SELECT anchor, anchor_id, other, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) AS r FROM scored WHERE same) WHERE r <= 5
+),
+negatives AS (
+  SELECT p.anchor, p.other, p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id, n.other) AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 100 * n.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
+def _round(i: int) -> str:
+    """Assignment to the codebooks after i rounds, and the codebooks after one more."""
+    return f"""
+near{i} AS MATERIALIZED (
+  SELECT rid, p, min({{'d': aa - 2 * list_dot_product(a, b) + bb, 'e': entry}}) AS best FROM parts JOIN book{i} USING (p) GROUP BY rid, p
+),
+means{i} AS (
+  SELECT p, entry, list(m ORDER BY j) AS b FROM (
+    SELECT p, best.e AS entry, j, floor(sum(a[j]) / count(*)) AS m
+    FROM near{i} JOIN parts USING (rid, p), (SELECT unnest(range(1, {WIDTH} + 1)) AS j) GROUP BY ALL) GROUP BY p, entry
+),
+book{i + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.b, o.b) AS b, list_dot_product(coalesce(m.b, o.b), coalesce(m.b, o.b)) AS bb
+  FROM book{i} o LEFT JOIN means{i} m USING (p, entry)
+),"""
+
+
+WIDTH = f"(SELECT len(v) // {PARTS} FROM vectors LIMIT 1)"
+CODES = f"""
+WITH vectors AS MATERIALIZED ({VECTORS.format(scale=1024)}),
+cut AS (SELECT rid, vec_id, label, p, v[p * {WIDTH} + 1:(p + 1) * {WIDTH}] AS a FROM vectors, (SELECT unnest(range({PARTS})) AS p)),
+parts AS MATERIALIZED (SELECT *, list_dot_product(a, a) AS aa FROM cut),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS entry, a AS b, aa AS bb FROM parts WHERE rid <= {ENTRIES}),
+{"".join(_round(i) for i in range(ROUNDS))}
+near{ROUNDS} AS MATERIALIZED (
+  SELECT rid, p, min({{'d': aa - 2 * list_dot_product(a, b) + bb, 'e': entry}}) AS best FROM parts JOIN book{ROUNDS} USING (p) GROUP BY rid, p
+),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e::int), '' ORDER BY p) AS code, sum(best.d)::bigint AS error FROM near{ROUNDS} GROUP BY rid
+),
+numbers AS (SELECT p, entry, unnest(b) AS x, generate_subscripts(b, 1) AS j FROM book{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error,
+       (SELECT sha256(string_agg(x::bigint::varchar, ',' ORDER BY p, entry, j)) FROM numbers) AS codebooks_sha256
+FROM vectors JOIN coded USING (rid)
+"""
+
 ORACLE = {
+    "op11_exact_topk": TOP_K,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_vector_codes": CODES,
     "op2_exact_dedup": EXACT,
     "op3_suffix_array_dedup": BYTES,
     "op6_warc": WARC,

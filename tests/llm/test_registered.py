@@ -10,7 +10,7 @@ from verification.compare import duck, rows_of_spark, rows_of_sql
 
 def test_all_registered():
     assert set(QUERIES) <= set(registered.queries()) and set(ORACLE) <= set(registered.oracle_sql())
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES} - {"pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES} - {"pipeline"}
     assert QUERIES["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
