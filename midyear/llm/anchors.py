@@ -1,23 +1,31 @@
 """Finding symbol sequences that repeat anywhere in a table, in linear work.
 
-A document is a sequence of symbols (bytes, or hashes of words). Each window of
+A document is a sequence of symbols (bytes, or digests of words). Each window of
 ``length`` symbols picks the position of the least hash among its ``gram``-symbol
 grams: its anchor. Equal windows pick equal anchors at equal places, so windows
 need comparing only where anchors are equal. Around an anchor lies its segment,
 the symbols that windows with this anchor can reach.
 
-1. All anchors are listed with two hashes: of the anchor, and of its segment.
+The rolling hashes of grams only bring together what may be equal; collisions cost
+work, not results. Where a digest stands for symbols that are not compared
+themselves it is one of BLAKE2b: 128 bits for whole segments and windows of hot
+anchors, 64 bits for a word.
+
+1. All anchors are listed with a hash of the anchor and a digest of its segment.
 2. Anchors that occur once are dropped after one pre-aggregated count.
 3. Segments that occur twice are repeated as a whole; they need no symbols.
 4. One segment of each kind that shares its anchor with another kind is cut from
    the texts, and the operator's own method finds the windows they share. Anchors
    are dealt to blocks of bounded size. An anchor with more kinds of segments than
-   a block takes is dealt by its windows' hashes instead.
+   a block takes is dealt by its windows' digests instead.
 5. Repeated stretches are gathered per document.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,6 +38,8 @@ from .common import ROW_KEY, byte_slices, keyed, parts, sized_join, stored, work
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
+MOST_WORDS = 1 << 18
+BLANK_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK_SEGMENTS = 8192
 HOT_SEGMENTS = 50_000
 # The tables of anchors grow with the texts: all but small ones are joined by shuffle.
@@ -99,8 +109,26 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return least[np.r_[True, least[1:] != least[:-1]]].astype(np.int64)
 
 
-def anchors_of(symbols: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, anchor hashes, segment hashes) of one document; long ones go chunk by chunk."""
+def digests(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray | None = None) -> bytes:
+    """The 16-byte digests of stretches of symbols, one after another; a tag is part of what is digested."""
+    data, width = memoryview(np.ascontiguousarray(symbols)).cast("B"), symbols.dtype.itemsize
+    out = []
+    salts = itertools.repeat(b"") if tags is None else (t.to_bytes(8, "little") for t in tags.tolist())
+    for a, b, salt in zip((starts * width).tolist(), (ends * width).tolist(), salts):
+        out.append(hashlib.blake2b(data[a:b], digest_size=16, salt=salt).digest())
+    return b"".join(out)
+
+
+def binary16(data: bytes) -> pa.Array:
+    n = len(data) // 16
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def anchors_of(symbols: np.ndarray, raw: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(positions, anchor hashes, segment digests) of one document; long ones go chunk by chunk.
+
+    raw: what the digests are taken of, a number per symbol.
+    """
     n, found = len(symbols), []
     for first in range(0, n - rule.length + 1, CHUNK):  # first: of the windows of this chunk
         until = min(n - rule.length + 1, first + CHUNK)
@@ -109,17 +137,13 @@ def anchors_of(symbols: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarr
         gram_starts = np.arange(first, until + rule.reach) - low
         grams = span_hash(prefix, gram_starts, gram_starts + rule.gram)
         at = least_in_windows(grams, rule.reach + 1)
-        left = np.minimum(rule.reach, at + first)
-        right = np.minimum(rule.length, n - first - at)
-        here = at + first - low
-        segments = span_hash(prefix, here - left, here + right)
-        segments ^= (left.astype(U) << U(32) | right.astype(U)) * U(BASE)
-        found.append((at + first, grams[at], segments))
+        found.append((at + first, grams[at]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
-    position, anchor, segment = (np.concatenate(x) for x in zip(*found))
-    _, once = np.unique(position, return_index=True)  # chunks may share an anchor
-    return position[once], anchor[once], segment[once]
+        return np.zeros(0, np.int64), np.zeros(0, U), b""
+    position, anchor = (np.concatenate(x) for x in zip(*found))
+    position, once = np.unique(position, return_index=True)  # chunks may share an anchor
+    left, right = np.minimum(rule.reach, position), np.minimum(rule.length, n - position)
+    return position, anchor[once], digests(raw, position - left, position + right, left << 32 | right)
 
 
 def byte_values(seed: int = 3) -> np.ndarray:
@@ -127,35 +151,42 @@ def byte_values(seed: int = 3) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, U)
 
 
-def word_bounds(text) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin and end, in bytes."""
-    b = np.frombuffer(text, np.uint8)
-    inside = np.ones(len(b) + 2, bool)
-    inside[0] = inside[-1] = False
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
+class Words(dict):
+    """Digests of words, kept from text to text."""
 
-
-def word_hashes(text) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    starts, ends = word_bounds(text)
-    out = np.zeros(len(starts), U)
-    table, done = byte_values(), 0
-    while done < len(starts):  # by stretches of about CHUNK bytes that end with a word
-        last = max(done + 1, int(np.searchsorted(ends, starts[done] + CHUNK)))
-        low = int(starts[done])
-        prefix = sums(table[np.frombuffer(text[low : int(ends[last - 1])], np.uint8)])
-        out[done:last] = span_hash(prefix, starts[done:last] - low, ends[done:last] - low) ^ (ends[done:last] - starts[done:last]).astype(U)
-        done = last
-    return out
-
-
-def symbols_of(text, rule: Repeats) -> np.ndarray:
-    return word_hashes(text) if rule.words else byte_values()[np.frombuffer(text, np.uint8)]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = value
+        return value
 
 
-ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("right", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64())])
+def word_hashes(text) -> np.ndarray:
+    """A 64-bit digest of each word."""
+    kept, out, done = worker_memory(), [], 0
+    if not hasattr(kept, "words"):
+        kept.words = Words()
+    while done < len(text):  # by stretches of about CHUNK bytes that end with a word
+        gap = BLANK_BYTE.search(text, min(done + CHUNK, len(text)))
+        end = gap.start() if gap else len(text)
+        words = bytes(text[done:end]).split()
+        out.append(np.fromiter(map(kept.words.__getitem__, words), U, len(words)))
+        done = end + 1
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+def symbols_of(text, rule: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers for rolling hashes, what digests are taken of), per symbol of a text."""
+    if rule.words:
+        words = word_hashes(text)
+        return words, words
+    raw = np.frombuffer(text, np.uint8)
+    return byte_values()[raw], raw
+
+
+ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("right", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.binary())])
 SPAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -163,19 +194,24 @@ def _list_anchors(rule: Repeats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist())
-            ids, columns, n = [], [], 0
+            ids, columns, segments, n = [], [], [], 0
+
+            def table() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*columns)), binary16(b"".join(segments))], schema=ANCHOR)
+
             for key, text in zip(keys, byte_slices(batch.column("text"))):
-                symbols = symbols_of(text, rule)
-                at, anchor, segment = anchors_of(symbols, rule)
+                symbols, raw = symbols_of(text, rule)
+                at, anchor, segment = anchors_of(symbols, raw, rule)
                 if len(at):
                     ids += [key[0]] * len(at)
-                    columns.append((np.full(len(at), key[1]), np.minimum(rule.length, len(symbols) - at), at, anchor.view(np.int64), segment.view(np.int64)))
+                    columns.append((np.full(len(at), key[1]), np.minimum(rule.length, len(symbols) - at), at, anchor.view(np.int64)))
+                    segments.append(segment)
                     n += len(at)
                 if n > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*columns))], schema=ANCHOR)
-                    ids, columns, n = [], [], 0
+                    yield table()
+                    ids, columns, segments, n = [], [], [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*columns))], schema=ANCHOR)
+                yield table()
 
     return run
 
@@ -234,21 +270,19 @@ def _segments(rows) -> pa.RecordBatch:
 
 
 def _windows(rule: Repeats):
-    """The hash of every window with a wanted anchor, each place once."""
+    """The digest of every window with a wanted anchor, each place once."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             for doc_id, text_hash, wanted, text in _once(batch, seen):
-                symbols = symbols_of(text, rule)
-                last = len(symbols) - rule.length
+                _, raw = symbols_of(text, rule)
+                last = len(raw) - rule.length
                 starts = np.unique(np.concatenate([np.arange(max(0, w["at"] - rule.reach), min(w["at"], last) + 1) for w in wanted]))
                 for low in range(0, len(starts), CHUNK):
                     some = starts[low : low + CHUNK]
-                    prefix = sums(symbols[some[0] : some[-1] + rule.length])
-                    hashes = span_hash(prefix, some - some[0], some - some[0] + rule.length)
                     n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_hash)), pa.array(some), pa.array(some + rule.length), pa.array(hashes.view(np.int64))], names=["doc_id", "text_hash", "start", "end", "window"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_hash)), pa.array(some), pa.array(some + rule.length), binary16(digests(raw, some, some + rule.length))], names=["doc_id", "text_hash", "start", "end", "window"])
 
     return run
 
@@ -260,7 +294,7 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     Spans may overlap; rows without any are left out; each row key has one row.
     """
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
-    schema = "doc_id long, text_hash long, right long, at long, anchor long, segment long"
+    schema = "doc_id long, text_hash long, right long, at long, anchor long, segment binary"
     anchors = stored(rows.mapInArrow(_list_anchors(rule), schema), "anchors")
     again = stored(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors-repeated")
     shared = stored(sized_join(anchors, again, ["anchor"], "left_semi", SMALL), "anchors-shared")
@@ -286,7 +320,7 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     spans = found.unionByName(whole.select(*ROW_KEY, *reach))
     hot = open_.where("hot")
     if not hot.isEmpty():
-        windows = stored(texts_of(hot).mapInArrow(_windows(rule), span_schema + ", window long"), "windows")
+        windows = stored(texts_of(hot).mapInArrow(_windows(rule), span_schema + ", window binary"), "windows")
         twice = stored(windows.groupBy("window").count().where("count > 1").select("window"), "windows-repeated")
         spans = spans.unionByName(sized_join(windows, twice, ["window"], "left_semi", SMALL).drop("window"))
     return stored(spans.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")

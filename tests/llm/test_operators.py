@@ -365,3 +365,23 @@ def test_warc_bytes(spark, tiny):
     assert len(records) == 50 and all(r.startswith(b"WARC/1.1\r\n") for r in records)
     at = 8 + size + 8
     assert zstandard.ZstdDecompressor(dict_data=dictionary).decompress(data[at : at + frame_size(data, at)]) == records[0]
+
+
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_texts_on_which_rolling_hashes_agree(spark):
+    """Polynomial hashes modulo 2**64 cannot tell a Thue-Morse word from its complement; nothing of these repeats."""
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{common} {word}") for i, word in enumerate((thue_morse(1024), thue_morse(1024, "b", "a")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert tuples(remove_repeated_words(df), *WORD) == brute.repeated_words(rows, 35)
+    assert {r.n_removed for r in remove_repeated_words(df).collect()} == {0}
+    rows = [(i, "x" * 60 + body + "y" * 60) for i, body in enumerate((thue_morse(2048), thue_morse(2048, "b", "a")))]
+    rows += [(2, " ".join(f"{x}{x}" for x in thue_morse(600))), (3, " ".join(f"{x}{x}" for x in thue_morse(600, "b", "a")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in (BYTES, Repeats(200, 40, False, block_segments=2, hot_segments=1)):
+        assert tuples(remove_repeated_bytes(df, rule), *BYTE) == brute.repeated_bytes(rows, 200)
+    for rule in (WORDS, Repeats(35, 10, True, block_segments=2, hot_segments=1)):
+        assert tuples(remove_repeated_words(df, rule), *WORD) == brute.repeated_words(rows, 35)
