@@ -66,3 +66,18 @@ def resolve_rounds(log: DataFrame, key: str, payload: list[str], attempts: int =
         failures.cast("int").alias("n_retries"),
         F.when(again, 2).otherwise(1).alias("round"),
     ).select(key, "r.*", "n_retries", "round")
+
+
+def compacted(log: DataFrame, key: str, attempts: int = 3) -> DataFrame:
+    """The attempts of a log that can still decide what ``resolve_rounds`` picks, whatever is logged later.
+
+    Per round: the first that succeeded, and the last up to the cap. At most four rows
+    per key stay, so a log that is compacted with each addition grows with its keys, not
+    with its attempts. The choice moves numbers only; rows are then picked by key.
+    """
+    within = log.where(F.col("attempt") <= attempts)
+    ends = within.groupBy(key, "round").agg(
+        F.min(F.when(F.col("status") == 200, F.col("attempt"))).alias("won"), F.max("attempt").alias("last")
+    )
+    kept = ends.select(key, "round", F.explode(F.array_distinct(F.array_compact(F.array("won", "last")))).alias("attempt"))
+    return log.join(kept, [key, "round", "attempt"], "left_semi").select(*log.columns)

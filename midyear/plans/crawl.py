@@ -13,7 +13,7 @@ from midyear.functions.urls import availability_url
 from midyear.operators.nearest import nearest_capture
 from midyear.plans.walk import page_errors_of, pages_of, walk, with_text
 from midyear.schemas import ERRORS, RESPONSES
-from midyear.session import cut_lineage
+from midyear.session import cut_lineage, store
 from midyear.sources.captures import Archive
 
 # What the availability service answers for a site it does not know.
@@ -96,9 +96,8 @@ def homepage_errors_of(homepages: DataFrame) -> DataFrame:
 
 def visit_homepages(located: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
     """Responses of all located homepages, stored."""
-    located = cut_lineage(located)
-    wanted = located.where("capture_url is not null").select(F.col("capture_url").alias("url"))
-    return cut_lineage(fetch_homepages(located, archive.responses_of(wanted, config.broadcast_bytes)))
+    located = store(located, "capture_url")
+    return cut_lineage(fetch_homepages(located.rows, archive.responses_of(located.keys, config.broadcast_bytes)))
 
 
 def opened_homepages(homepages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from midyear.operators.errors import homepages_to_retry, pages_to_retry
 from midyear.plans.crawl import locate_by_answers
 from midyear.plans.runs import Collection, add_single_pages, run, run_located
 from midyear.plans.single_page import single_pages
-from midyear.sources.captures import Archive, is_attempt_log, read_archive, reject_repeated_urls
+from midyear.sources.captures import Archive, open_archive
 from midyear.sources.lists import (
     bad_retry_lines,
     bad_seed_lines,
@@ -27,13 +27,7 @@ from midyear.sources.tables import empty_errors, empty_pages, read_answers, read
 
 
 def _archives(spark: SparkSession, paths: Sequence[str], config: CrawlConfig) -> list[Archive]:
-    found = [read_archive(spark, path) for path in paths]
-    for captures in found:
-        reject_repeated_urls(captures)
-    return [
-        Archive.of_attempts(captures, config.attempts) if is_attempt_log(captures) else Archive.of(captures)
-        for captures in found
-    ]
+    return [open_archive(spark, path, config.attempts) for path in paths]
 
 
 def _errors(spark: SparkSession, path: str | None) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from midyear.config import CrawlConfig
 from midyear.functions import urls as U
 from midyear.functions.outcomes import content_error, page_error
-from midyear.plans.walk import with_text
+from midyear.plans.walk import is_opened, with_text
 from midyear.schemas import ERRORS, PAGES
-from midyear.session import cut_lineage
+from midyear.session import cut_lineage, store
 from midyear.sources.captures import Archive
 
 
@@ -89,10 +89,10 @@ def fetch_pages(rows: DataFrame, responses: DataFrame) -> DataFrame:
 
 def single_pages(rows: DataFrame, archive: Archive, config: CrawlConfig = CrawlConfig()) -> SinglePages:
     """rows: website, year_query, original_url, processed_url, depth."""
-    rows = cut_lineage(rows)
-    responses = archive.responses_of(rows.select(F.col("processed_url").alias("url")), config.broadcast_bytes)
-    fetched = cut_lineage(fetch_pages(rows, responses))
-    opened = fetched.where("failure is null").select(
+    rows = store(rows, "processed_url")
+    responses = archive.responses_of(rows.keys, config.broadcast_bytes)
+    fetched = store(fetch_pages(rows.rows, responses), "url", is_opened())
+    opened = fetched.rows.where("failure is null").select(
         "website",
         "year_query",
         F.col("original_url").alias("original_query_URL_wayback_machine"),

@@ -19,7 +19,7 @@ from midyear.operators.frontier import (
     within_quota,
 )
 from midyear.schemas import ERRORS, PAGES
-from midyear.session import cut_lineage
+from midyear.session import Keys, Stored, store
 from midyear.sources.captures import Archive
 
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -85,8 +85,12 @@ def _parents(level: DataFrame) -> DataFrame:
     )
 
 
-def first_level(homepages: DataFrame) -> DataFrame:
-    return cut_lineage(homepage_visits(homepages).select(*VISIT))
+def is_opened() -> Column:
+    return F.col("error").isNull()
+
+
+def first_level(homepages: DataFrame) -> Stored:
+    return store(homepage_visits(homepages).select(*VISIT), "url", is_opened())
 
 
 def visited_homepages(level: DataFrame) -> DataFrame:
@@ -94,50 +98,60 @@ def visited_homepages(level: DataFrame) -> DataFrame:
     return level.select(*SITE, F.col("final_url").alias("url_key"))
 
 
-def next_frontier(level: DataFrame, visited: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
-    """Links of a stored level to be fetched, stored."""
-    links = archive.links_of(level.where("error is null"), config.broadcast_bytes)
-    fresh = not_visited(first_per_key(candidate_links(_parents(level), links, config.year_range)), visited)
-    spark = level.sparkSession
+def next_frontier(level: Stored, visited: DataFrame, archive: Archive, config: CrawlConfig) -> Stored:
+    """Links of a level to be fetched; what they ask for is counted as they are stored."""
+    links = archive.links_of(level.keys, config.broadcast_bytes)
+    fresh = not_visited(first_per_key(candidate_links(_parents(level.rows), links, config.year_range)), visited)
+    spark = level.rows.sparkSession
     before = int(spark.conf.get(GROUP_LIMIT))
     # Tasks drop what the quota cannot keep whatever the quota is.
     spark.conf.set(GROUP_LIMIT, max(before, config.page_limit + 1))
     try:
-        return cut_lineage(within_quota(fresh, config.page_limit))
+        return store(within_quota(fresh, config.page_limit), "link")
     finally:
         spark.conf.set(GROUP_LIMIT, before)
 
 
-def fetch_level(frontier: DataFrame, archive: Archive, depth: int, config: CrawlConfig) -> DataFrame:
-    """Visits of a stored frontier, stored."""
-    responses = archive.responses_of(frontier.select(F.col("link").alias("url")), config.broadcast_bytes)
-    return cut_lineage(fetch_links(frontier, responses, depth, config.strict_status).select(*VISIT))
+def fetch_level(frontier: Stored, archive: Archive, depth: int, config: CrawlConfig) -> Stored:
+    """Visits of a frontier."""
+    responses = archive.responses_of(frontier.keys, config.broadcast_bytes)
+    visits = fetch_links(frontier.rows, responses, depth, config.strict_status)
+    return store(visits.select(*VISIT), "url", is_opened())
 
 
-def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
+def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> Stored:
     """Visits (columns VISIT) of a breadth-first walk from every homepage.
 
     Rows carry URLs and numbers only; HTML and text stay out of every shuffle
     of the walk. Each level is computed once and stored, so the plan of the next
-    one starts from it.
+    one starts from it; its size is counted by the same action.
     """
     level = first_level(homepages)
-    levels, visited = [level], visited_homepages(level)
+    levels, visited = [level], visited_homepages(level.rows)
     for depth in range(1, config.depth + 1):
+        if not level.keys.count:
+            break
         frontier = next_frontier(level, visited, archive, config)
-        if frontier.isEmpty():
+        if not frontier.count:
             break
         level = fetch_level(frontier, archive, depth, config)
         levels.append(level)
-        visited = visited.unionByName(frontier.select(*SITE, "url_key"))
-    return reduce(DataFrame.unionByName, levels)
+        visited = visited.unionByName(frontier.rows.select(*SITE, "url_key"))
+    return Stored(
+        reduce(DataFrame.unionByName, [x.rows for x in levels]),
+        sum(x.count for x in levels),
+        reduce(Keys.__add__, [x.keys for x in levels]),
+    )
 
 
-def with_text(visits: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
+def with_text(visits: Stored, archive: Archive, config: CrawlConfig) -> DataFrame:
     """Visits with title and text; an opened page without text becomes an error."""
-    texts = archive.texts_of(visits.where("error is null"), config.broadcast_bytes)
+    failed = visits.rows.where(~is_opened()).withColumns({c: F.lit(None).cast("string") for c in ("title", "text")})
+    if not visits.keys.count:
+        return failed
+    opened = archive.with_texts(visits.rows.where(is_opened()), visits.keys, config.broadcast_bytes)
     empty = F.when(F.coalesce("text", F.lit("")) == "", K.NO_TEXT_MESSAGE)
-    return visits.join(texts, "url", "left").withColumn("error", F.coalesce("error", empty))
+    return opened.withColumn("error", empty).unionByName(failed)
 
 
 def processed_url(final_url: Column, status: Column, requested: Column) -> Column:

@@ -33,6 +33,37 @@ RESPONSES = T.StructType([
     T.StructField("n_retries", T.IntegerType()),
 ])
 
+_CAPTURE = [T.StructField("site", T.StringType()), T.StructField("ts14", T.StringType())]
+_HTML = T.StructField("html", T.StringType())
+CAPTURES = T.StructType([*_CAPTURE, *RESPONSES.fields, _HTML])
+
+# A log of fetch attempts: numbered, with the outcome of each.
+ATTEMPTS = T.StructType([
+    *_CAPTURE,
+    T.StructField("url", T.StringType()),
+    T.StructField("round", T.IntegerType()),
+    T.StructField("attempt", T.IntegerType()),
+    *(f for f in RESPONSES.fields if f.name not in ("url", "n_retries")),
+    _HTML,
+])
+
+# What is stored of captures whose HTML has been read.
+ARCHIVE = T.StructType([
+    *_CAPTURE,
+    *RESPONSES.fields,
+    T.StructField("hrefs", T.ArrayType(T.StringType())),
+    T.StructField("title", T.StringType()),
+    T.StructField("text", T.StringType()),
+])
+
+# Kept beside an archive; url_digest is the exclusive or of the hashes of its URLs.
+CERTIFICATE = T.StructType([
+    T.StructField("buckets", T.IntegerType()),
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("url_digest", T.LongType()),
+    T.StructField("columns_ddl", T.StringType()),
+])
+
 PAGE_KEY = [
     "website",
     "downloaded_link",

@@ -1,10 +1,28 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+from midyear import CrawlConfig
 from midyear import constants as K
+from midyear.operators import joins
+from midyear.operators.attempts import compacted, resolve_rounds
 from midyear.plans.crawl import crawl
+from midyear.plans.single_page import single_pages
+from midyear.schemas import ATTEMPTS
+from midyear.session import store
 from midyear.sources import lists as L
-from midyear.sources.captures import Archive, read_archive, reject_repeated_urls, write_archive
+from midyear.sources.captures import (
+    Archive,
+    checked,
+    merge_attempts,
+    open_archive,
+    read_archive,
+    read_captures,
+    read_certificate,
+    reject_repeated_urls,
+    write_archive,
+)
 from verification import views
 
 
@@ -46,39 +64,156 @@ def test_stored_archive_gives_the_same_crawl(spark, tiny, tmp_path):
     assert "html" not in stored.columns
     seeds = views.seeds(spark, tiny)
 
-    def rows(table):
-        pages = crawl(seeds, Archive.of(table)).pages.drop("lastModified", "snapshot_date")
+    def rows(archive, bound=32 << 20):
+        pages = crawl(seeds, archive, CrawlConfig(broadcast_bytes=bound)).pages.drop("lastModified", "snapshot_date")
         return sorted(map(str, pages.collect()))
 
-    assert rows(stored) == rows(captures)
+    want = rows(Archive.of(captures))
+    assert want and rows(Archive.of(stored)) == want
+    opened = open_archive(spark, str(tmp_path / "archive"))
+    assert opened.buckets and rows(opened) == want and rows(opened, 0) == want and rows(Archive.of(captures), 0) == want
+
+
+def moved_columns(df):
+    """What stands in the output of every exchange of the executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name.endswith("Exchange"):
+            found |= {a.name() for a in _list(node.output())}
+        todo += _list(node.children())
+    return found
+
+
+def _list(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_no_text_moves_whatever_the_bound(spark, tiny, tmp_path, monkeypatch):
+    """Pages are met in their buckets, or where they are read; neither HTML nor text is shuffled or broadcast."""
+    write_archive(views.captures(spark, tiny), str(tmp_path / "archive"), buckets=6)
+    archive = open_archive(spark, str(tmp_path / "archive"))
+    monkeypatch.setattr(joins, "FEW_URLS", 0)
+    for bound in (0, 32 << 20):
+        config = CrawlConfig(broadcast_bytes=bound)
+        done = crawl(views.seeds(spark, tiny), archive, config)
+        moved = moved_columns(done.outcomes)
+        assert {"url", "status"} <= moved and not moved & {"html", "text", "title", "hrefs"}
+        again = single_pages(views.retry_rows(spark, tiny), archive, config).outcomes
+        assert not moved_columns(again) & {"html", "text", "title", "hrefs"}
+    plan = done.outcomes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    large = crawl(views.seeds(spark, tiny), archive, CrawlConfig(broadcast_bytes=0)).outcomes
+    assert "SelectedBucketsCount: 6 out of 6" in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_urls_read_few_buckets(spark, tiny, tmp_path):
+    """Files of other buckets may be unreadable."""
+    path = tmp_path / "archive"
+    write_archive(views.captures(spark, tiny), str(path), buckets=16)
+    archive = open_archive(spark, str(path))
+    some = store(archive.responses.orderBy("url").limit(2), "url")
+    want = {r.url for r in some.rows.collect()}
+    buckets = {
+        f"_{r.b:05d}.c000" for r in some.rows.select(F.expr("pmod(hash(url), 16)").alias("b")).collect()
+    }
+    spoiled = 0
+    for file in path.glob("part-*.parquet"):
+        if not any(b in file.name for b in buckets):
+            file.write_bytes(b"x" * file.stat().st_size)
+            spoiled += 1
+        (path / f".{file.name}.crc").unlink(missing_ok=True)
+    assert spoiled > 5
+    assert {r.url for r in archive.texts_of(some.keys, 1 << 20).collect()} == want
+    assert {r.url for r in archive.responses_of(some.keys, 1 << 20).collect()} == want
+
+
+def test_a_broken_archive_is_refused(spark, tiny, tmp_path):
+    path = tmp_path / "archive"
+    write_archive(views.captures(spark, tiny), str(path), buckets=4)
+    assert read_certificate(spark, str(path)).n_rows == read_archive(spark, str(path)).count()
+    whole = shutil.copytree(path, tmp_path / "copy")
+    next(whole.glob("part-*.parquet")).unlink()
+    with pytest.raises(ValueError, match="broken"):
+        open_archive(spark, str(whole))
+    for part in (path / "_certificate").glob("*"):
+        part.unlink()
+    (path / "_certificate").rmdir()
+    with pytest.raises(ValueError, match="no certificate"):
+        read_archive(spark, str(path))
+    with pytest.raises(ValueError, match="captures lack"):
+        open_archive(spark, str(path))
+
+
+def test_captures_have_a_schema(spark, tiny, tmp_path):
+    captures = views.captures(spark, tiny)
+    captures.withColumn("status", F.col("status").cast("string")).write.parquet(str(tmp_path / "wrong"))
+    with pytest.raises(ValueError, match="captures lack status int"):
+        read_captures(spark, str(tmp_path / "wrong"))
+    captures.write.parquet(str(tmp_path / "right"))
+    assert "page_id" not in read_captures(spark, str(tmp_path / "right")).columns
+
+
+def test_captures_that_repeat_urls_are_refused(spark, tiny):
+    captures = views.captures(spark, tiny)
+    with pytest.raises(ValueError, match="more than one capture"):
+        Archive.of(captures.unionByName(captures))
+
+
+def test_compacted_logs_decide_alike(spark, tiny):
+    """Whatever a log is compacted to on the way, the responses chosen in the end are those of the whole log."""
+    log = views.attempt_log(spark, tiny)
+    columns = ["transport_error", "final_url", "attempt"]
+
+    def decided(some):
+        return sorted(map(str, resolve_rounds(some, "url", columns, 3).collect()))
+
+    want = decided(log)
+    first, second = log.where("attempt <= 2 and round = 1"), log.where("not (attempt <= 2 and round = 1)")
+    assert decided(compacted(log, "url", 3)) == want
+    assert decided(compacted(compacted(first, "url", 3).unionByName(second), "url", 3)) == want
+    assert compacted(log, "url", 3).groupBy("url").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_log_grows_in_its_buckets(spark, tiny, tmp_path):
+    log = checked(views.attempt_log(spark, tiny), ATTEMPTS)
+    first = merge_attempts([log.where("round = 1")], str(tmp_path / "a"), buckets=4)
+    both = merge_attempts([first, log.where("round = 2")], str(tmp_path / "b"), buckets=4)
+    want, got = Archive.of_attempts(log, 3), Archive.of_attempts(both, 3)
+    assert sorted(map(str, want.responses.collect())) == sorted(map(str, got.responses.collect()))
+    keys = store(want.responses, "url").keys
+    assert sorted(map(str, want.texts_of(keys, 1 << 20).collect())) == sorted(map(str, got.texts_of(keys, 0).collect()))
 
 
 def test_archive_reads_only_what_a_job_needs(spark, tiny, tmp_path):
     write_archive(views.captures(spark, tiny), str(tmp_path / "archive"))
-    archive = Archive.of(read_archive(spark, str(tmp_path / "archive")))
+    archive = open_archive(spark, str(tmp_path / "archive"))
     plan = archive.times.groupBy("site").agg(F.max("captured_at"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<site:string,ts14:string>" in plan
 
 
 def test_pages_are_picked_before_they_are_parsed(spark, tiny, tmp_path):
     views.captures(spark, tiny).write.parquet(str(tmp_path / "captures"))
-    archive = Archive.of(spark.read.parquet(str(tmp_path / "captures")))
-    wanted = archive.responses.where("status = 404").select("url")
+    archive = open_archive(spark, str(tmp_path / "captures"))
+    wanted = store(archive.responses.where("status = 404"), "url").keys
     for found in (archive.links_of(wanted, 1 << 20), archive.texts_of(wanted, 1 << 20)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("regexp_extract_all") > 0
         assert "regexp_extract_all" not in plan[plan.index("LeftSemi"):]
         assert "BroadcastHashJoin" in plan
-    # A set over the bound is shuffled, and still joined before anything is parsed.
-    small = archive.texts_of(wanted, 1 << 20)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        large = archive.texts_of(wanted, 0)
-        plan = large._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan and "regexp_extract_all" not in plan[plan.index("LeftSemi"):]
-        assert sorted(large.collect()) == sorted(small.collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # For a set over the bound all pages are parsed once, and met in their buckets.
+    large = archive.texts_of(wanted, 0)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "BroadcastHashJoin" not in plan
+    assert sorted(large.collect()) == sorted(archive.texts_of(wanted, 1 << 20).collect())
+    assert archive.parsed() is archive.parsed()
 
 
 def test_an_archive_has_one_capture_per_url(spark, tiny, tmp_path):
@@ -106,7 +241,8 @@ def test_archive_of_attempts(spark):
     assert {(r.url, r.status, r.final_url, r.n_retries) for r in archive.responses.collect()} == {
         ("u", 200, "u", 1), ("v", 503, "v", 2), ("w", 200, "w", 0),
     }
-    assert {tuple(r) for r in archive.pages.collect()} == {("u", "second"), ("v", "two"), ("w", "later")}
+    chosen = archive.pages.join(archive.chosen, ["url", "round", "attempt"]).select("url", "html")
+    assert {tuple(r) for r in chosen.collect()} == {("u", "second"), ("v", "two"), ("w", "later")}
     assert archive.times.count() == 3
     reject_repeated_urls(log)
     with pytest.raises(ValueError):

@@ -520,6 +520,9 @@ oracle("attempts_resolved", """
 select url, round, status, transport_error, final_url, n_retries::int as n_retries from by_round where n = 1""",
        "by_round")
 oracle("throttled_second_round", CHOSEN, "by_round")
+oracle("compacted_attempts", """
+select url, round, attempt, status from by_round
+where attempt = 3 or (status = 200 and n = 1)""", "by_round")
 # Captures whose responses are the attempts chosen.
 cte("plain_captures", captures_sql(0))
 cte("plain_attempts", ATTEMPTS.replace("from captures", "from plain_captures"), "plain_captures")
@@ -568,6 +571,7 @@ select website, year_query, n_page, url, status, final_url, nretries_link, error
 oracle("homepage_pages", pages_sql("outcomes0"), "outcomes0")
 oracle("homepage_failures", HOMEPAGE_ERRORS, "homepages")
 oracle("crawl_pages", pages_sql("outcomes1"), "outcomes1")
+oracle("crawl_stored_archive", pages_sql("outcomes1"), "outcomes1")
 oracle("crawl_from_attempts", pages_sql("outcomes1"), "outcomes1", instead={"captures": "resolved_captures"})
 cte("answered", """
 select site as website, (2014 + page_id % 7)::int as year_query, min(url) as capture_url, null::timestamp as captured

@@ -16,7 +16,7 @@ from midyear.functions.binding import computed
 from midyear.operators import errors as E
 from midyear.operators import frontier as R
 from midyear.operators import merge as M
-from midyear.operators.attempts import resolve_attempts, resolve_rounds
+from midyear.operators.attempts import compacted, resolve_attempts, resolve_rounds
 from midyear.operators.nearest import nearest_capture
 from midyear.plans.crawl import (
     crawl,
@@ -30,8 +30,10 @@ from midyear.plans.crawl import (
 from midyear.plans.runs import Collection, _writes, run
 from midyear.plans.single_page import single_pages
 from midyear.plans.walk import fetch_level, first_level, next_frontier, visited_homepages
+from midyear.schemas import ATTEMPTS, CAPTURES
+from midyear.session import Stored, checkpoint_path
 from midyear.sources import lists as L
-from midyear.sources.captures import Archive, capture_times, extract
+from midyear.sources.captures import Archive, capture_times, checked, extract, open_archive, write_archive
 from midyear.sources.tables import empty_errors, empty_pages
 from verification import views as V
 
@@ -218,6 +220,14 @@ def throttled_second_round(spark, sf_dir):
     return resolve_rounds(V.attempts(spark, sf_dir), "url", ["transport_error", "final_url"], attempts=3)
 
 
+@query
+def compacted_attempts(spark, sf_dir):
+    """What of the log must be kept, when it comes in two parts."""
+    log = checked(V.attempt_log(spark, sf_dir), ATTEMPTS)
+    first = compacted(log.where("round = 1 or attempt = 1"), "url", 3)
+    return compacted(first.unionByName(log.where("round = 2 and attempt > 1")), "url", 3).select("url", "round", "attempt", "status")
+
+
 def _outcome(spark, sf_dir, rule, *more, **options) -> DataFrame:
     columns = map(F.col, (*RESPONSE, *more))
     return V.captures(spark, sf_dir).select("page_id", rule(*columns, **options).alias("error"))
@@ -304,21 +314,21 @@ def _homepages(spark, sf_dir) -> DataFrame:
     return visit_homepages(locate(V.seeds(spark, sf_dir), archive), archive, CrawlConfig())
 
 
-def _frontier(spark, sf_dir) -> DataFrame:
+def _frontier(spark, sf_dir) -> Stored:
     level = first_level(opened_homepages(_homepages(spark, sf_dir)))
-    return next_frontier(level, visited_homepages(level), V.archive(spark, sf_dir), CrawlConfig())
+    return next_frontier(level, visited_homepages(level.rows), V.archive(spark, sf_dir), CrawlConfig())
 
 
 @query
 def frontier_depth1(spark, sf_dir):
     """Links of the homepages of all seeds."""
-    return _frontier(spark, sf_dir).select(*SITE, "link", "n_page", "n_retries_api")
+    return _frontier(spark, sf_dir).rows.select(*SITE, "link", "n_page", "n_retries_api")
 
 
 @query
 def fetched_links(spark, sf_dir):
     visits = fetch_level(_frontier(spark, sf_dir), V.archive(spark, sf_dir), 1, CrawlConfig())
-    return visits.select(*SITE, "n_page", "url", "status", "final_url", "nretries_link", "error")
+    return visits.rows.select(*SITE, "n_page", "url", "status", "final_url", "nretries_link", "error")
 
 
 # --- whole plans -----------------------------------------------------------
@@ -371,6 +381,15 @@ def crawl_from_attempts(spark, sf_dir):
     return _merged_pages(spark, crawl(V.seeds(spark, sf_dir), archive, config))
 
 
+@query
+def crawl_stored_archive(spark, sf_dir):
+    """A crawl of a written archive, with all its pages met in their buckets."""
+    path = checkpoint_path(spark, "archive")
+    write_archive(V.captures(spark, sf_dir).select(*CAPTURES.fieldNames()), path, buckets=8)
+    archive = replace(open_archive(spark, path), more_links=V.archive(spark, sf_dir).more_links)
+    return _merged_pages(spark, crawl(V.seeds(spark, sf_dir), archive, CrawlConfig(broadcast_bytes=0)))
+
+
 @query
 def crawl_from_answers(spark, sf_dir):
     """A crawl whose homepages are named by stored availability answers."""

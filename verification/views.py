@@ -189,7 +189,7 @@ def archive(spark: SparkSession, sf_dir: str, healed: int = 0) -> Archive:
     """Captures as an archive, with the archived links beside those of the HTML."""
     stored = captures(spark, sf_dir, healed)
     more = archived_links(spark, sf_dir).join(stored.select("page_id", "url"), "page_id").select("url", "href")
-    return replace(Archive.of(stored), more_links=more)
+    return replace(Archive.of(stored, unique=True), more_links=more)
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
