@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from midyear.config import CrawlConfig
 from midyear.schemas import ERRORS, HOMEPAGE_ERROR_KEY, PAGE_ERROR_KEY, PAGE_KEY, PAGES
+from midyear.session import store
 
 ORDER = ["batch_no", "seq"]
+TEXT = "TextContent"
 
 # The fields each kind of write sets besides its key; others keep their value.
 _SINGLE_PAGE = [
@@ -57,29 +60,69 @@ def merge_by_key(
     The writes are brought to one row per key, which leaves them spread by key;
     one outer join with ``existing`` then updates and inserts at once.
     """
-    fields = [c for c in existing.columns if c not in keys]
+    latest = _latest(writes, keys, existing.columns, shapes, order=order)
+    return _updated(existing, latest, keys, existing.columns, shapes, "full")
+
+
+def _groups(columns: list[str], keys: list[str], shapes: dict[str, list[str]]) -> dict[tuple[str, ...], list[str]]:
+    """Fields by the kinds of writes that set them."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for field in fields:
+    for field in columns:
         kinds = tuple(kind for kind, sets in shapes.items() if field in sets)
-        groups.setdefault(kinds, []).append(field)
+        if kinds and field not in keys:
+            groups.setdefault(kinds, []).append(field)
+    return groups
+
 
-    aggregates, merged = [], {}
-    for number, (kinds, names) in enumerate(groups.items()):
-        if not kinds:
-            continue
+def _latest(
+    writes: DataFrame, keys: list[str], columns: list[str], shapes: dict[str, list[str]], *more: Column, order: list[str] = ORDER
+) -> DataFrame:
+    """One row per key: per group of fields the last values set (w0, w1, ...), and whether any were (set0, ...)."""
+    aggregates = list(more)
+    for number, (kinds, names) in enumerate(_groups(columns, keys, shapes).items()):
         sets = F.col("write_shape").isin(*kinds)
         aggregates += [
             F.max_by(F.when(sets, F.struct(*names)), F.when(sets, F.struct(*order))).alias(f"w{number}"),
             F.max(sets).alias(f"set{number}"),
         ]
+    return writes.groupBy(*keys).agg(*aggregates)
+
+
+def _updated(
+    existing: DataFrame, latest: DataFrame, keys: list[str], columns: list[str], shapes: dict[str, list[str]], how: str, *more: Column
+) -> DataFrame:
+    merged = {}
+    for number, names in enumerate(_groups(columns, keys, shapes).values()):
         for name in names:
             merged[name] = F.when(F.col(f"set{number}"), F.col(f"w{number}.{name}")).otherwise(F.col(name)).alias(name)
-    latest = writes.groupBy(*keys).agg(*aggregates)
-    return existing.join(latest, keys, "full").select(*(merged.get(c, F.col(c)) for c in existing.columns))
+    return existing.join(latest, keys, how).select(*(merged.get(c, F.col(c)) for c in columns), *more)
 
 
-def merge_pages(existing: DataFrame, writes: DataFrame) -> DataFrame:
-    return merge_by_key(existing, writes, PAGE_KEY, PAGE_SHAPES).select(*PAGES.fieldNames())
+def merge_pages(existing: DataFrame, writes: DataFrame, max_bytes: int = CrawlConfig.broadcast_bytes) -> DataFrame:
+    """Upsert page ``writes`` into ``existing``, as ``merge_by_key`` does, without moving texts to decide.
+
+    First the narrow columns are merged per written key, which also names the write that
+    the text comes from; they are stored. Then these rows meet the texts of the writes
+    where those are read, and the other rows of ``existing`` pass through: what was
+    decided is broadcast within ``max_bytes``. Beyond that the texts that stay are
+    shuffled once, unsorted. Every write of a page sets its text, and no write stands in the log twice.
+    """
+    order = F.struct(*ORDER, F.xxhash64(*sorted(set(writes.columns) - set(ORDER))).alias("content"))
+    narrow = [c for c in existing.columns if c != TEXT]
+    marked = writes.select("*", order.alias("at"))
+    latest = _latest(marked.drop(TEXT), PAGE_KEY, narrow, PAGE_SHAPES, F.max("at").alias("text_at"))
+    merged = _updated(existing.select(*narrow), latest, PAGE_KEY, narrow, PAGE_SHAPES, "right", F.col("text_at"))
+    decided = store(merged, PAGE_KEY[-1])
+    texts = marked.select(*PAGE_KEY, F.col("at").alias("text_at"), TEXT)
+    keys = decided.rows.select(*PAGE_KEY)
+    if decided.keys.row_bytes <= max_bytes:
+        written = texts.join(F.broadcast(decided.rows), [*PAGE_KEY, "text_at"])
+        untouched = existing.join(F.broadcast(keys), PAGE_KEY, "left_anti")
+    else:
+        written = texts.join(decided.rows.hint("shuffle_hash"), [*PAGE_KEY, "text_at"])
+        untouched = existing.join(keys.hint("shuffle_hash"), PAGE_KEY, "left_anti")
+    fields = PAGES.fieldNames()
+    return written.select(*fields).unionByName(untouched.select(*fields))
 
 
 def is_homepage_error() -> Column:

@@ -25,6 +25,8 @@ from midyear.sources.captures import (
 )
 from verification import views
 
+from .plans import moved_columns
+
 
 def lines(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "value string")
@@ -74,28 +76,6 @@ def test_stored_archive_gives_the_same_crawl(spark, tiny, tmp_path):
     assert opened.buckets and rows(opened) == want and rows(opened, 0) == want and rows(Archive.of(captures), 0) == want
 
 
-def moved_columns(df):
-    """What stands in the output of every exchange of the executed plan."""
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan()
-    found, todo = set(), [plan]
-    while todo:
-        node = todo.pop()
-        name = node.nodeName()
-        if name == "AdaptiveSparkPlan":
-            todo.append(node.executedPlan())
-        elif name.endswith("QueryStage"):
-            todo.append(node.plan())
-        if name.endswith("Exchange"):
-            found |= {a.name() for a in _list(node.output())}
-        todo += _list(node.children())
-    return found
-
-
-def _list(seq):
-    return [seq.apply(i) for i in range(seq.size())]
-
-
 def test_no_text_moves_whatever_the_bound(spark, tiny, tmp_path, monkeypatch):
     """Pages are met in their buckets, or where they are read; neither HTML nor text is shuffled or broadcast."""
     write_archive(views.captures(spark, tiny), str(tmp_path / "archive"), buckets=6)

@@ -1,12 +1,23 @@
 import datetime
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
 
 from midyear.operators import errors as E
 from midyear.operators import merge as M
-from midyear.schemas import ERRORS, PAGES
-from midyear.sources.tables import read_errors, read_pages, write_table
+from midyear.schemas import ERRORS, PAGE_KEY, PAGES
+from midyear.sources.tables import (
+    read_errors,
+    read_pages,
+    read_pages_by_part,
+    update_pages,
+    write_pages_by_part,
+    write_table,
+)
+
+from .plans import moved_columns
 
 NOW = datetime.datetime(2020, 1, 1)
 
@@ -58,6 +69,63 @@ def test_merge_is_idempotent(spark):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
 
 
+def odd_pages(spark):
+    """A table and a log of writes that share some keys, drawn at random."""
+    r = random.Random(8)
+
+    def some(n, **fixed):
+        return [page(f"ex.com/{r.randrange(40)}", year_query=2014 + r.randrange(3), website=f"s{r.randrange(5)}.com",
+                     Title_page=r.choice([None, "t", "u"]), TextContent=r.choice([None, "", "x" * r.randrange(50)]),
+                     n_page_downloaded=r.choice([None, 1, 2]), Redirected=r.choice([None, True]), **fixed) for _ in range(n)]
+
+    old = {tuple(x[k] for k in PAGE_KEY): x for x in some(60)}
+    old = spark.createDataFrame([tuple(x[n] for n in PAGES.fieldNames()) for x in old.values()], PAGES)
+    new = some(150)
+    return old, writes(spark, new, [r.choice(["walk", "single"]) for _ in new])
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 25])
+def test_merge_in_two_phases(spark, bound):
+    """Texts take the way of the narrow fields, whether what was decided is broadcast or not."""
+    old, new = odd_pages(spark)
+    want = sorted(map(str, M.merge_by_key(old, new, PAGE_KEY, M.PAGE_SHAPES).collect()))
+    merged = M.merge_pages(old, new, bound)
+    assert sorted(map(str, merged.collect())) == want
+
+
+def test_merge_moves_no_text(spark, tmp_path):
+    old, new = odd_pages(spark)
+    old.write.parquet(str(tmp_path / "old"))
+    new.write.parquet(str(tmp_path / "new"))
+    old, new = spark.read.parquet(str(tmp_path / "old")), spark.read.parquet(str(tmp_path / "new"))
+    assert "TextContent" not in moved_columns(M.merge_pages(old, new))
+    assert "SortAggregate" not in M.merge_pages(old, new)._jdf.queryExecution().executedPlan().toString()
+    # Beyond the bound texts move once, and are not sorted.
+    large = M.merge_pages(old, new, 0)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+
+
+def test_update_leaves_other_parts_alone(spark, tmp_path):
+    old, new = odd_pages(spark)
+    path = str(tmp_path / "pages")
+    write_pages_by_part(old, path)
+    want = sorted(map(str, M.merge_pages(old, new.where("website = 's1.com' and year_query = 2015")).collect()))
+    before = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    for _ in range(2):  # a repeated update changes nothing
+        update_pages(spark, path, new.where("website = 's1.com' and year_query = 2015"))
+        got = read_pages_by_part(spark, path)
+        assert sorted(map(str, got.select(*PAGES.fieldNames()).collect())) == want
+    after = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    replaced = {p.parent for p in set(before) - set(after)} | {p.parent for p in set(after) - set(before)}
+    assert len(replaced) == 1 and len({p.parent for p in before}) > 5
+    assert all(after[p] == t for p, t in before.items() if p.parent not in replaced)
+    update_pages(spark, path, new.limit(0))
+    update_pages(spark, path, new)
+    want = sorted(map(str, M.merge_pages(old, new).collect()))
+    assert sorted(map(str, read_pages_by_part(spark, path).select(*PAGES.fieldNames()).collect())) == want
+
+
 def error(original, processed, message, depth=1, flag=None, year=2016):
     row = dict.fromkeys(ERRORS.fieldNames())
     row.update(website="ex.com", year_query=year, original_query_URL_wayback_machine=original,
