@@ -29,13 +29,14 @@ def is_retriable_page() -> Column:
     )
 
 
-def pages_to_retry(errors: DataFrame) -> DataFrame:
+def pages_to_retry(errors: DataFrame, *more: str) -> DataFrame:
     return errors.where(is_retriable_page()).select(
         "website",
         "year_query",
         F.col("original_query_URL_wayback_machine").alias("original_url"),
         F.col("URL_wayback_machine_processed").alias("processed_url"),
         F.col("Depth").alias("depth"),
+        *more,
     )
 
 

@@ -107,7 +107,9 @@ def merge_pages(existing: DataFrame, writes: DataFrame, max_bytes: int = CrawlCo
     decided is broadcast within ``max_bytes``. Beyond that the texts that stay are
     shuffled once, unsorted. Every write of a page sets its text, and no write stands in the log twice.
     """
-    order = F.struct(*ORDER, F.xxhash64(*sorted(set(writes.columns) - set(ORDER))).alias("content"))
+    # The clock may read otherwise when the writes are read again.
+    lasting = sorted(set(writes.columns) - {*ORDER, "lastModified"})
+    order = F.struct(*ORDER, F.xxhash64(*lasting).alias("content"))
     narrow = [c for c in existing.columns if c != TEXT]
     marked = writes.select("*", order.alias("at"))
     latest = _latest(marked.drop(TEXT), PAGE_KEY, narrow, PAGE_SHAPES, F.max("at").alias("text_at"))

@@ -11,9 +11,9 @@ from midyear.config import CrawlConfig
 from midyear.functions import outcomes as O
 from midyear.functions.urls import availability_url
 from midyear.operators.nearest import nearest_capture
-from midyear.plans.walk import page_errors_of, pages_of, walk, with_text
+from midyear.plans.walk import first_level, page_errors_of, pages_of, readable_homepage, walk, with_text
 from midyear.schemas import ERRORS, RESPONSES
-from midyear.session import cut_lineage, store
+from midyear.session import Stored, cut_lineage, store
 from midyear.sources.captures import Archive
 
 # What the availability service answers for a site it does not know.
@@ -94,10 +94,11 @@ def homepage_errors_of(homepages: DataFrame) -> DataFrame:
     ).select(*ERRORS.fieldNames())
 
 
-def visit_homepages(located: DataFrame, archive: Archive, config: CrawlConfig) -> DataFrame:
-    """Responses of all located homepages, stored."""
+def visit_homepages(located: DataFrame, archive: Archive, config: CrawlConfig) -> Stored:
+    """Responses of all located homepages; those that were opened and hold text are what the walk asks for."""
     located = store(located, "capture_url")
-    return cut_lineage(fetch_homepages(located.rows, archive.responses_of(located.keys, config.broadcast_bytes)))
+    visits = fetch_homepages(located.rows, archive.responses_of(located.keys, config.broadcast_bytes))
+    return store(visits, "capture_url", F.col("error").isNull() & readable_homepage())
 
 
 def opened_homepages(homepages: DataFrame) -> DataFrame:
@@ -106,17 +107,21 @@ def opened_homepages(homepages: DataFrame) -> DataFrame:
     )
 
 
-def crawl_located(located: DataFrame, archive: Archive, config: CrawlConfig) -> Crawl:
-    homepages = visit_homepages(located, archive, config)
-    opened = opened_homepages(homepages)
-    visits = walk(opened, archive, config)
+def crawl_homepages(homepages: Stored, archive: Archive, config: CrawlConfig) -> Crawl:
+    """The walks from homepages that have been visited."""
+    opened = opened_homepages(homepages.rows)
+    visits = walk(first_level(opened, homepages.keys), archive, config)
     return Crawl(
         outcomes=with_text(visits, archive, config),
-        homepage_errors=homepage_errors_of(homepages),
+        homepage_errors=homepage_errors_of(homepages.rows),
         scraped=opened.select("website", "year_query"),
     )
 
 
+def crawl_located(located: DataFrame, archive: Archive, config: CrawlConfig) -> Crawl:
+    return crawl_homepages(visit_homepages(located, archive, config), archive, config)
+
+
 def crawl(seeds: DataFrame, archive: Archive, config: CrawlConfig = CrawlConfig()) -> Crawl:
     """Nearest capture, homepage, links level by level, texts."""
     return crawl_located(locate(seeds, archive), archive, config)

@@ -6,21 +6,23 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from midyear.config import CrawlConfig
-from midyear.operators.errors import homepages_to_retry, pages_to_retry
+from midyear.operators.errors import error_counts, homepages_to_retry, is_retriable_page, pages_to_retry
 from midyear.operators.merge import (
     clear_homepage_errors,
     clear_page_errors,
+    is_homepage_error,
     merge_homepage_errors,
     merge_page_errors,
     merge_pages,
 )
-from midyear.plans.crawl import Crawl, crawl, crawl_located, locate
+from midyear.plans.crawl import Crawl, crawl_homepages, crawl_located, fetch_homepages, locate
 from midyear.plans.single_page import SinglePages, single_pages
-from midyear.session import cut_lineage
+from midyear.plans.walk import readable_homepage
+from midyear.session import cut_lineage, store
 from midyear.sources.captures import Archive
 
 
@@ -36,6 +38,7 @@ class Collection:
     page_writes: list[DataFrame] = field(default_factory=list)
     homepage_counts: list[int] = field(default_factory=list)
     page_counts: list[int] = field(default_factory=list)
+    failed: tuple[int, int] | None = None
 
     @property
     def next_batch(self) -> int:
@@ -47,6 +50,21 @@ class Collection:
             return existing
         return merge_pages(existing, reduce(DataFrame.unionByName, self.page_writes))
 
+    def keep(self, errors: DataFrame) -> None:
+        """The error table after a pass; what is to be tried again is counted as it is stored."""
+        seen = Observation()
+        self.errors = cut_lineage(errors.observe(
+            seen, F.count_if(is_homepage_error()).alias("homepages"), F.count_if(is_retriable_page()).alias("pages")
+        ))
+        self.failed = seen.get["homepages"], seen.get["pages"]
+
+    def count_failed(self) -> tuple[int, int]:
+        """Homepages and pages to try again."""
+        if self.failed is None:
+            counts = {r.kind: r.n for r in error_counts(self.errors).collect()}
+            self.failed = counts["homepage"], counts["page"]
+        return self.failed
+
 
 def _writes(rows: DataFrame, shape: str, batch: int) -> DataFrame:
     # Keys are unique within a pass but for pages reached under two numbers; the later one stays.
@@ -65,7 +83,7 @@ def add_crawl(collection: Collection, done: Crawl) -> None:
     errors = clear_homepage_errors(collection.errors, done.scraped)
     errors = merge_homepage_errors(errors, _writes(done.homepage_errors, "homepage", batch))
     errors = merge_page_errors(errors, _writes(done.page_errors, "walk", batch))
-    collection.errors = cut_lineage(errors)
+    collection.keep(errors)
     collection.page_writes.append(_writes(done.pages, "walk", batch))
 
 
@@ -74,7 +92,7 @@ def add_single_pages(collection: Collection, done: SinglePages) -> None:
     batch = collection.next_batch
     errors = clear_page_errors(collection.errors, done.opened)
     errors = merge_page_errors(errors, _writes(done.errors, "single", batch))
-    collection.errors = cut_lineage(errors)
+    collection.keep(errors)
     collection.page_writes.append(_writes(done.pages, "single", batch))
 
 
@@ -90,23 +108,58 @@ def _until_stable(count: Callable[[], int], again: Callable[[int], None], counts
         before, rounds = now, rounds + 1
 
 
+def changed_homepages(homepages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Visits of failed homepages that came out otherwise than the error table says."""
+    known = errors.where(is_homepage_error()).select(
+        "website", "year_query", F.col("original_query_URL_wayback_machine").alias("known_url"),
+        F.col("error_message").alias("known_message"),
+    )
+    same = F.col("known_url").eqNullSafe(F.coalesce("capture_url", "query_url")) & F.col("known_message").eqNullSafe(F.col("error"))
+    return homepages.join(known, ["website", "year_query"], "left").where(~F.coalesce(same, F.lit(False))).select(*homepages.columns)
+
+
 def rerun_homepages(collection: Collection, archives: Sequence[Archive], config: CrawlConfig) -> None:
-    """Crawl failed sites again; round ``i`` fetches from ``archives[i]``, the last one repeating."""
+    """Crawl failed sites again; round ``i`` fetches from ``archives[i]``, the last one repeating.
+
+    A round works on what changed: an archive that has been tried already changes nothing,
+    and from another one only sites whose homepage comes out otherwise go on to the walk
+    and the tables. What is left out would be written as it stands, but for its time.
+    """
+    tried: list[Archive] = []
 
     def again(rounds: int) -> None:
+        archive = archives[min(rounds, len(archives) - 1)]
+        if any(archive is other for other in tried):
+            return
+        tried[:] = [archive]
         seeds = homepages_to_retry(collection.errors)
-        add_crawl(collection, crawl(seeds, archives[min(rounds, len(archives) - 1)], config))
+        located = store(locate(seeds, archive), "capture_url")
+        visits = fetch_homepages(located.rows, archive.responses_of(located.keys, config.broadcast_bytes))
+        found = store(changed_homepages(visits, collection.errors), "capture_url", F.col("error").isNull() & readable_homepage())
+        if found.count:
+            add_crawl(collection, crawl_homepages(found, archive, config))
 
-    _until_stable(lambda: homepages_to_retry(collection.errors).count(), again, collection.homepage_counts)
+    _until_stable(lambda: collection.count_failed()[0], again, collection.homepage_counts)
 
 
 def rerun_pages(collection: Collection, archives: Sequence[Archive], config: CrawlConfig) -> None:
+    """Fetch failed pages again, as ``rerun_homepages`` does sites: only those that come out otherwise are worked on."""
+    tried: list[Archive] = []
+
     def again(rounds: int) -> None:
+        archive = archives[min(rounds, len(archives) - 1)]
+        if any(archive is other for other in tried):
+            return
+        tried[:] = [archive]
         # Rows without both URLs cannot be fetched; they keep their error.
-        rows = pages_to_retry(collection.errors).where("original_url is not null and processed_url is not null")
-        add_single_pages(collection, single_pages(rows, archives[min(rounds, len(archives) - 1)], config))
-
-    _until_stable(lambda: pages_to_retry(collection.errors).count(), again, collection.page_counts)
+        rows = pages_to_retry(collection.errors, "error_message", "nretries_link").where(
+            "original_url is not null and processed_url is not null"
+        )
+        done = single_pages(rows, archive, config, changed_only=True)
+        if done:
+            add_single_pages(collection, done)
+
+    _until_stable(lambda: collection.count_failed()[1], again, collection.page_counts)
 
 
 def run(

@@ -87,11 +87,23 @@ def fetch_pages(rows: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-def single_pages(rows: DataFrame, archive: Archive, config: CrawlConfig = CrawlConfig()) -> SinglePages:
-    """rows: website, year_query, original_url, processed_url, depth."""
+def single_pages(
+    rows: DataFrame, archive: Archive, config: CrawlConfig = CrawlConfig(), changed_only: bool = False
+) -> SinglePages | None:
+    """rows: website, year_query, original_url, processed_url, depth.
+
+    ``changed_only``: rows also have the error_message and nretries_link of the failure
+    they come from; rows that fail as before are left out, and without others there is no result.
+    """
     rows = store(rows, "processed_url")
     responses = archive.responses_of(rows.keys, config.broadcast_bytes)
-    fetched = store(fetch_pages(rows.rows, responses), "url", is_opened())
+    fetched = fetch_pages(rows.rows, responses)
+    if changed_only:
+        same = F.col("error").eqNullSafe(F.col("error_message")) & F.col("n_retries").eqNullSafe(F.col("nretries_link"))
+        fetched = fetched.where(~same | F.col("error").isNull()).drop("error_message", "nretries_link")
+    fetched = store(fetched, "url", is_opened())
+    if changed_only and not fetched.count:
+        return None
     opened = fetched.rows.where("failure is null").select(
         "website",
         "year_query",

@@ -89,8 +89,13 @@ def is_opened() -> Column:
     return F.col("error").isNull()
 
 
-def first_level(homepages: DataFrame) -> Stored:
-    return store(homepage_visits(homepages).select(*VISIT), "url", is_opened())
+def readable_homepage() -> Column:
+    return content_error(F.col("status"), F.col("final_url"), F.col("content_type")).isNull()
+
+
+def first_level(homepages: DataFrame, opened: Keys) -> Stored:
+    """Level 0, out of stored homepages; ``opened`` are the URLs of those that are readable, as counted when they were stored."""
+    return Stored(homepage_visits(homepages).select(*VISIT), opened.count, opened)
 
 
 def visited_homepages(level: DataFrame) -> DataFrame:
@@ -119,14 +124,13 @@ def fetch_level(frontier: Stored, archive: Archive, depth: int, config: CrawlCon
     return store(visits.select(*VISIT), "url", is_opened())
 
 
-def walk(homepages: DataFrame, archive: Archive, config: CrawlConfig) -> Stored:
-    """Visits (columns VISIT) of a breadth-first walk from every homepage.
+def walk(level: Stored, archive: Archive, config: CrawlConfig) -> Stored:
+    """Visits (columns VISIT) of a breadth-first walk from the homepages of level 0.
 
     Rows carry URLs and numbers only; HTML and text stay out of every shuffle
     of the walk. Each level is computed once and stored, so the plan of the next
     one starts from it; its size is counted by the same action.
     """
-    level = first_level(homepages)
     levels, visited = [level], visited_homepages(level.rows)
     for depth in range(1, config.depth + 1):
         if not level.keys.count:

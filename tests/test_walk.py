@@ -10,6 +10,7 @@ from midyear import CrawlConfig
 from midyear.operators.frontier import within_quota
 from midyear.plans import walk as W
 from midyear.schemas import RESPONSES
+from midyear.session import store
 from midyear.sources.captures import Archive
 
 ROOT = "http://web.archive.org"
@@ -123,7 +124,8 @@ def spark_walk(spark, world, config):
         pages=page_table(spark, links, texts),
     )
     seeds = spark.createDataFrame(homes, "website string, year_query int, url string")
-    visits = W.walk(seeds.join(archive.responses, "url"), archive, config)
+    homepages = store(seeds.join(archive.responses, "url"), "url", W.readable_homepage())
+    visits = W.walk(W.first_level(homepages.rows, homepages.keys), archive, config)
     outcomes = W.with_text(visits, archive, config)
     landed = W.processed_url(F.col("final_url"), F.col("status"), F.col("original_url"))
     rows = outcomes.select("website", "year_query", "depth", "n_page", "original_url", "error", landed).collect()

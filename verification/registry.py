@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from midyear.plans.crawl import (
 from midyear.plans.runs import Collection, _writes, run
 from midyear.plans.single_page import single_pages
 from midyear.plans.walk import fetch_level, first_level, next_frontier, visited_homepages
-from midyear.schemas import ATTEMPTS, CAPTURES
+from midyear.schemas import ATTEMPTS, CAPTURES, RESPONSES
 from midyear.session import Stored, checkpoint_path
 from midyear.sources import lists as L
 from midyear.sources.captures import Archive, capture_times, checked, extract, open_archive, write_archive
@@ -309,13 +310,14 @@ def quota(spark, sf_dir):
     return R.within_quota(_fresh(spark, sf_dir), 5).select(*SITE, "link", "n_page")
 
 
-def _homepages(spark, sf_dir) -> DataFrame:
+def _homepages(spark, sf_dir) -> Stored:
     archive = V.archive(spark, sf_dir)
     return visit_homepages(locate(V.seeds(spark, sf_dir), archive), archive, CrawlConfig())
 
 
 def _frontier(spark, sf_dir) -> Stored:
-    level = first_level(opened_homepages(_homepages(spark, sf_dir)))
+    homepages = _homepages(spark, sf_dir)
+    level = first_level(opened_homepages(homepages.rows), homepages.keys)
     return next_frontier(level, visited_homepages(level.rows), V.archive(spark, sf_dir), CrawlConfig())
 
 
@@ -341,7 +343,7 @@ def homepage_pages(spark, sf_dir):
 
 @query
 def homepage_failures(spark, sf_dir):
-    return _no_clock(homepage_errors_of(_homepages(spark, sf_dir)))
+    return _no_clock(homepage_errors_of(_homepages(spark, sf_dir).rows))
 
 
 def _merged_pages(spark, done) -> DataFrame:
@@ -411,10 +413,18 @@ def single_page_errors(spark, sf_dir):
 
 
 def _run(spark, sf_dir) -> Collection:
-    # Many passes read the archive, so its HTML is parsed once, ahead of them.
+    # Many passes read the archive, so its HTML is parsed once, ahead of them, and its responses are stored.
     pages = cut_lineage(extract(V.captures(spark, sf_dir)).select("url", "hrefs", "title", "text"))
     more = cut_lineage(V.archive(spark, sf_dir).more_links)
-    archives = [replace(V.archive(spark, sf_dir, healed), pages=pages, more_links=more) for healed in range(4)]
+    narrow = [
+        V.captures(spark, sf_dir, healed).select("site", "ts14", *RESPONSES.fieldNames(), F.lit(healed).alias("healed"))
+        for healed in range(4)
+    ]
+    stored = cut_lineage(reduce(DataFrame.unionByName, narrow))
+    archives = []
+    for healed in range(4):
+        captures = stored.where(F.col("healed") == healed)
+        archives.append(Archive(capture_times(captures), captures.select(*RESPONSES.fieldNames()), pages, more))
     return run(V.seeds(spark, sf_dir), archives, empty_errors(spark))
 
 
