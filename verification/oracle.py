@@ -7,6 +7,7 @@ Spark (segment by segment, string folds), so that agreement means something.
 
 from __future__ import annotations
 
+import re
 from html.entities import name2codepoint
 
 from midyear import constants as K
@@ -781,3 +782,124 @@ from (select s.website, s.year_query,
       as n_flagged
   from seed_rows s) x""", "seed_rows", "page_table", "error_table")
 oracle("site_years", "select distinct website, year_query from error_log", "error_log")
+
+# --- whole runs ------------------------------------------------------------
+# Round by round, each with the stop rule: a loop ends when nothing failed, or as much as before.
+# The archives are those of 0, 1, 2, 3, 3, ... rounds of healing, so five rounds of either kind are all there can be.
+
+ROUNDS = 5
+ERROR_KEY = "website, year_query, original, processed"
+WALKED = ["nearest", "homepages", "level0", "seen0", "candidates1", "frontier1", "level1", "seen1", "outcomes1"]
+
+
+def again(suffix: str, instead: dict[str, str]) -> None:
+    """The CTEs of a crawl once more, over other inputs."""
+    renamed = {**{name: name + suffix for name in WALKED}, **instead}
+
+    def put(text: str) -> str:
+        return re.sub("\\b(" + "|".join(renamed) + ")\\b", lambda m: renamed[m[1]], text)
+
+    for name in WALKED:
+        sql, needs = CTES[name]
+        cte(name + suffix, put(sql), *(renamed.get(n, n) for n in needs))
+
+
+def goes_on(count: str, before: str | None) -> str:
+    """Whether a loop goes on after it found ``count`` failures."""
+    if before is None:
+        return f"select n, n <> 0 as active from ({count}) c"
+    return f"select c.n, b.active and c.n <> 0 and c.n <> b.n as active from ({count}) c, {before} b"
+
+
+def walk_writes(batch: int, outcomes: str) -> str:
+    return f"select {batch} as batch_no, n_page as seq, 'walk' as write_shape, {PAGE_COLUMNS} from {outcomes} where error is null"
+
+
+def single_writes(batch: int, rows: str) -> str:
+    return f"""
+select {batch} as batch_no, 0 as seq, 'single' as write_shape, website, {url_key('processed_url', 'website')} as downloaded_link,
+  year_query, original_url, processed_url, null::int as n_page_downloaded, coalesce(title, ''), text,
+  {time_text('processed_url')}, {printed(time_of('processed_url'))}, year({time_of('processed_url')})::int,
+  original_url <> processed_url, depth, null::int as n_retries_api, n_retries
+from {rows} where error is null"""
+
+
+def walk_errors(outcomes: str) -> str:
+    """Of one pass, by key."""
+    return f"""
+select * exclude (k) from (
+  select *, row_number() over (partition by {ERROR_KEY} order by depth desc) as k from (
+    select website, year_query, original_url as original,
+      case when status is not null then final_url else original_url end as processed, depth, error as message,
+      status is not null and coalesce(n_redirects, 0) > 0 as redirected, n_retries_api as n_api, nretries_link as n_link
+    from {outcomes} where error is not null) e) f where k = 1"""
+
+
+FLAGGED = "select website, year_query, coalesce(capture_url, query_url) as original, error as message from {} where error is not null"
+for _healed in (1, 2, 3):
+    cte(f"captures_h{_healed}", captures_sql(_healed))
+cte("flagged0", FLAGGED.format("homepages"), "homepages")
+cte("failed0", walk_errors("outcomes1"), "outcomes1")
+_writes_of = [(walk_writes(0, "outcomes1"), "outcomes1")]
+for _i in range(ROUNDS):
+    _captures = f"captures_h{min(_i + 1, 3)}"
+    _before = f"home_round{_i - 1}" if _i else None
+    cte(f"home_round{_i}", goes_on(f"select count(*) as n from flagged{_i}", _before), f"flagged{_i}", *([_before] if _i else []))
+    cte(f"todo{_i}", f"select website, year_query from flagged{_i}, home_round{_i} where active", f"flagged{_i}", f"home_round{_i}")
+    again(f"_r{_i}", {"captures": _captures, "seed_rows": f"todo{_i}"})
+    cte(f"flagged{_i + 1}", f"""
+select f.* from flagged{_i} f anti join todo{_i} t on f.website = t.website and f.year_query = t.year_query
+union all {FLAGGED.format(f'homepages_r{_i}')}""", f"flagged{_i}", f"todo{_i}", f"homepages_r{_i}")
+    cte(f"failed_now{_i}", walk_errors(f"outcomes1_r{_i}"), f"outcomes1_r{_i}")
+    cte(f"failed{_i + 1}", f"""
+select f.* from failed{_i} f anti join failed_now{_i} n using ({ERROR_KEY}) union all select * from failed_now{_i}""",
+        f"failed{_i}", f"failed_now{_i}")
+    _writes_of.append((walk_writes(_i + 1, f"outcomes1_r{_i}"), f"outcomes1_r{_i}"))
+cte("left0", f"select * from failed{ROUNDS}", f"failed{ROUNDS}")
+for _i in range(ROUNDS):
+    _captures = f"captures_h{min(_i + 1, 3)}"
+    _before = f"page_round{_i - 1}" if _i else None
+    cte(f"listed{_i}", f"""
+select website, year_query, original as original_url, processed as processed_url, depth from left{_i}
+where (message is null or message <> '{K.NO_TEXT_MESSAGE}') and depth = 1
+  and (message is null or not regexp_matches(message, '{K.PERMANENT_STATUS}'))""", f"left{_i}")
+    cte(f"page_round{_i}", goes_on(f"select count(*) as n from listed{_i}", _before), f"listed{_i}", *([_before] if _i else []))
+    cte(f"tried{_i}", f"""
+select l.* exclude (n, active), coalesce(r.n_retries, 0) as n_retries, t.title, t.text, {PAGE_ERROR} as failure,
+  coalesce({PAGE_ERROR}, {CONTENT_ERROR}, case when coalesce(t.text, '') = '' then '{K.NO_TEXT_MESSAGE}' end) as error
+from (select * from listed{_i}, page_round{_i} where active) l
+left join {_captures} r on l.processed_url = r.url left join texts t on l.processed_url = t.url""",
+        f"listed{_i}", f"page_round{_i}", _captures, "texts")
+    # What was opened leaves the table; what holds no text comes back as a new row.
+    cte(f"left{_i + 1}", f"""
+select f.* from left{_i} f anti join tried{_i} t
+  on (f.website, f.year_query, f.original, f.processed) = (t.website, t.year_query, t.original_url, t.processed_url)
+union all
+select t.website, t.year_query, t.original_url, t.processed_url, t.depth, t.error,
+  case when failure is not null then f.redirected end, case when failure is not null then f.n_api end, t.n_retries
+from tried{_i} t join left{_i} f
+  on (f.website, f.year_query, f.original, f.processed) = (t.website, t.year_query, t.original_url, t.processed_url)
+where t.error is not null""", f"left{_i}", f"tried{_i}")
+    _writes_of.append((single_writes(ROUNDS + 1 + _i, f"tried{_i}"), f"tried{_i}"))
+cte("run_writes", " union all ".join(sql for sql, _ in _writes_of), *(need for _, need in _writes_of))
+RUN_KEY = 'website, downloaded_link, year_query, "original_query_URL_wayback_machine", "URL_wayback_machine_processed"'
+_later_fields = ", ".join(
+    last_set(c, "write_shape = 'walk'" if c in ("n_page_downloaded", "n_retries_api") else "true", RUN_KEY)
+    for c in ('n_page_downloaded', '"Title_page"', '"TextContent"', "snapshot_date_string", "snapshot_date", "year_obtained",
+              '"Redirected"', '"Depth"', "n_retries_api", "nretries_link")
+)
+oracle("rerun_to_fixpoint", f"""
+select * exclude (k) from (
+  select {RUN_KEY}, {_later_fields}, row_number() over (partition by {RUN_KEY} order by batch_no desc, seq desc) as k
+  from run_writes) w where k = 1""", "run_writes")
+oracle("rerun_errors", f"""
+select website, year_query, original as "original_query_URL_wayback_machine",
+  null::varchar as "URL_wayback_machine_processed", 0 as "Depth", message as error_message, true as website_not_scrapped,
+  null::boolean as "Redirected", null::int as n_retries_api, null::int as nretries_link from flagged{ROUNDS}
+union all
+select website, year_query, original, processed, depth, message, null, redirected, n_api, n_link from left{ROUNDS}""",
+       f"flagged{ROUNDS}", f"left{ROUNDS}")
+oracle("rerun_counts", " union all ".join(
+    f"select '{kind}' as kind, {i} as round, c.n from {rounds}{i} c" + (f", {rounds}{i - 1} b where b.active" if i else "")
+    for kind, rounds in (("homepage", "home_round"), ("page", "page_round")) for i in range(ROUNDS)
+), *(f"{rounds}{i}" for rounds in ("home_round", "page_round") for i in range(ROUNDS)))

@@ -439,6 +439,15 @@ def rerun_errors(spark, sf_dir):
     return _no_clock(_run(spark, sf_dir).errors)
 
 
+@query
+def rerun_counts(spark, sf_dir):
+    """How many homepages and pages had failed before each round."""
+    done = _run(spark, sf_dir)
+    counts = [("homepage", i, n) for i, n in enumerate(done.homepage_counts)]
+    counts += [("page", i, n) for i, n in enumerate(done.page_counts)]
+    return spark.createDataFrame(counts, "kind string, round int, n long")
+
+
 # --- tables ----------------------------------------------------------------
 
 @query
