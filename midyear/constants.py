@@ -42,7 +42,7 @@ CONTENT_REJECTED_STATUS = " \t status code: "
 TRANSPORT_PREFIX = "Error_detected: "
 
 # Our own wording for a link that did not answer 200, and for a URL that the table of stored responses does not hold.
-LINK_STATUS = "ACCES NOT EXCECUTED : status code: "
+LINK_STATUS = "Link left out, answered with status "
 NOT_STORED = TRANSPORT_PREFIX + "no stored response"
 
 # Fixed value: selects the failures that a page re-run leaves alone.

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from midyear.config import CrawlConfig
 from midyear.functions import outcomes as O
 from midyear.functions.urls import availability_url
-from midyear.operators.nearest import nearest_capture
 from midyear.plans.walk import first_level, page_errors_of, pages_of, readable_homepage, walk, with_text
 from midyear.schemas import ERRORS, RESPONSES
 from midyear.session import Stored, cut_lineage, store
@@ -47,8 +46,7 @@ class Crawl:
 
 def locate(seeds: DataFrame, archive: Archive) -> DataFrame:
     """Seeds with the URL of the nearest capture, or with an error."""
-    nearest = nearest_capture(seeds, archive.times)
-    located = seeds.distinct().join(nearest, ["website", "year_query"], "left")
+    located = seeds.distinct().join(archive.nearest(seeds), ["website", "year_query"], "left")
     return _with_answer(located.withColumn("body", F.lit(NO_ANSWER)), F.col("capture_url"))
 
 

@@ -24,6 +24,7 @@ from midyear.functions.binding import computed
 from midyear.functions.urls import capture_time
 from midyear.operators.attempts import compacted, resolve_rounds
 from midyear.operators.joins import restrict
+from midyear.operators.nearest import capture_ends, nearest_end
 from midyear.schemas import ARCHIVE, ATTEMPTS, CAPTURES, CERTIFICATE, RESPONSES
 from midyear.session import Keys, checkpoint_path, cut_lineage
 
@@ -32,6 +33,7 @@ RESPONSE_COLUMNS = RESPONSES.fieldNames()
 ATTEMPT_KEY = ["url", "round", "attempt"]
 BUCKETS = 64
 BESIDE = "_certificate"
+ENDS = "_capture_ends"
 
 
 def checked(table: DataFrame, schema: T.StructType) -> DataFrame:
@@ -120,6 +122,7 @@ def write_archive(captures: DataFrame, path: str, buckets: int = BUCKETS) -> Non
     spark = captures.sparkSession
     table = write_bucketed(extract(captures.where("url is not null")).select(*ARCHIVE.fieldNames()), path, buckets)
     _refuse(table.groupBy("url").count().where("count > 1").select("url").first())  # bucket by bucket, without a shuffle
+    capture_ends(capture_times(table)).write.parquet(f"{path.rstrip('/')}/{ENDS}")
     certificate = [(buckets, *_content(table), ARCHIVE.toDDL())]
     spark.createDataFrame(certificate, CERTIFICATE).coalesce(1).write.parquet(f"{path.rstrip('/')}/{BESIDE}")
 
@@ -152,7 +155,8 @@ def open_archive(spark: SparkSession, path: str, attempts: int = 3) -> Archive:
     """What is stored at ``path``: an archive, captures or a log of fetch attempts; refused if a URL stands there twice."""
     said = read_certificate(spark, path)
     if said:
-        return Archive.of(read_archive(spark, path), unique=True, buckets=said.buckets)
+        ends = spark.read.parquet(f"{path.rstrip('/')}/{ENDS}")
+        return replace(Archive.of(read_archive(spark, path), unique=True, buckets=said.buckets), ends=ends)
     captures = read_captures(spark, path)
     reject_repeated_urls(captures)
     return Archive.of_attempts(captures, attempts) if is_attempt_log(captures) else Archive.of(captures, unique=True)
@@ -180,7 +184,7 @@ class Archive:
     pages: url with either html or hrefs, title and text. more_links: url, href
     beside those of the pages, if any. buckets: how many the pages are dealt to by
     URL, if they are. chosen: url, round and attempt of the pages that count, if they are
-    those of a log.
+    those of a log. ends: ``capture_ends`` of the times, if they are stored.
     """
 
     times: DataFrame
@@ -189,6 +193,7 @@ class Archive:
     more_links: DataFrame | None = None
     buckets: int | None = None
     chosen: DataFrame | None = None
+    ends: DataFrame | None = None
     _parsed: list[Archive] = field(default_factory=list, compare=False, repr=False)
 
     @classmethod
@@ -225,6 +230,10 @@ class Archive:
             chosen=chosen.select(*ATTEMPT_KEY),
         )
 
+    def nearest(self, seeds: DataFrame) -> DataFrame:
+        """The capture nearest to mid-year for each seed; from stored ends no row per capture is read."""
+        return nearest_end(seeds, capture_ends(self.times) if self.ends is None else self.ends)
+
     def responses_of(self, wanted: Keys, max_bytes: int) -> DataFrame:
         """Responses of the URLs in ``wanted``."""
         return restrict(self.responses, wanted, max_bytes, self.buckets)

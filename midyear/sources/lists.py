@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from midyear import constants as K
 from midyear.functions.urls import without_blanks
+from midyear.session import cut_lineage
 
 SEPARATOR = ", "
 
@@ -15,9 +16,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line_no): the lines of one or several files in order, from 0; files follow each other by path.
+
+    Lines are counted per block of a file, and a line's number is the lines of the
+    blocks before plus its place in the block, so no task holds more than its blocks.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block")
+    # Stored, so that a line keeps its place when it is read again.
+    lines = cut_lineage(spark.read.text(path).select("value", place, F.monotonically_increasing_id().alias("at")))
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    starts = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = lines.join(F.broadcast(starts), "block")
+    return numbered.select("value", (F.col("start") + F.col("at") - F.col("first")).alias("line_no"))
+
+
+def first_listed(lines: DataFrame) -> DataFrame:
+    """(website, year_query, line_no) of numbered lines: every seed once, where it first stands."""
+    return parse_seeds(lines).groupBy("website", "year_query").agg(F.min("line_no").alias("line_no"))
+
+
 def _fields(lines: DataFrame) -> DataFrame:
     return lines.select(
-        "value", F.split(F.btrim("value", F.lit(K.BLANKS)), SEPARATOR, -1).alias("f")
+        *lines.columns, F.split(F.btrim("value", F.lit(K.BLANKS)), SEPARATOR, -1).alias("f")
     )
 
 
@@ -27,7 +49,7 @@ def _field(number: int) -> Column:
 
 def _seed_fields(lines: DataFrame) -> DataFrame:
     return _fields(lines).select(
-        "value",
+        *lines.columns,
         _field(0).alias("website"),
         _field(1).try_cast("int").alias("year_query"),
         (F.size("f") == 2).alias("complete"),
@@ -35,7 +57,7 @@ def _seed_fields(lines: DataFrame) -> DataFrame:
 
 
 def parse_seeds(lines: DataFrame) -> DataFrame:
-    """(website, year_query) of well-formed lines."""
+    """(website, year_query) of well-formed lines, and their line_no if they have one."""
     return _seed_fields(lines).where("complete and year_query is not null").drop("complete", "value")
 
 

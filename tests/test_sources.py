@@ -1,4 +1,5 @@
 import shutil
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from midyear import CrawlConfig
 from midyear import constants as K
 from midyear.operators import joins
 from midyear.operators.attempts import compacted, resolve_rounds
-from midyear.plans.crawl import crawl
+from midyear.plans.crawl import crawl, locate
 from midyear.plans.single_page import single_pages
 from midyear.schemas import ATTEMPTS
 from midyear.session import store
@@ -59,6 +60,33 @@ def test_lists_round_trip(spark, tmp_path):
     assert L.bad_retry_lines(lines(spark, "a, 2016, b, c", "a, x, b, c, 1", "a, 2016, b, c, 1")).count() == 2
 
 
+def test_lines_are_numbered_across_files_and_blocks(spark, tmp_path):
+    (tmp_path / "list").mkdir()
+    want = []
+    for number, name in enumerate(["b.txt", "a.txt", "c.txt"]):
+        (tmp_path / "list" / name).write_text("\n".join(f"{name}{i}" + "x" * (i % 9) for i in range(400 * number + 1)) + "\n")
+    for name in ("a.txt", "b.txt", "c.txt"):
+        want += (tmp_path / "list" / name).read_text().splitlines()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = L.read_numbered_lines(spark, str(tmp_path / "list")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.value for r in sorted(lines, key=lambda r: r.line_no)] == want
+    assert sorted(r.line_no for r in lines) == list(range(len(want)))
+
+
+def test_stored_ends_locate_without_captures(spark, tiny, tmp_path):
+    write_archive(views.captures(spark, tiny), str(tmp_path / "archive"))
+    archive = open_archive(spark, str(tmp_path / "archive"))
+    seeds = views.seeds(spark, tiny)
+    located = locate(seeds, archive)
+    assert sorted(map(str, located.collect())) == sorted(map(str, locate(seeds, replace(archive, ends=None)).collect()))
+    read = [line for line in located._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert any("span#" in line for line in read) and not any("ts14" in line for line in read)
+
+
 def test_stored_archive_gives_the_same_crawl(spark, tiny, tmp_path):
     captures = views.captures(spark, tiny)
     write_archive(captures, str(tmp_path / "archive"))

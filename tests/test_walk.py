@@ -76,7 +76,7 @@ def queue_walk(world, config):
         if got is None or got[1] is None:
             return (got[2] if got else "Error_detected: no stored response"), False
         if config.strict_status and got[1] != 200:
-            return f"ACCES NOT EXCECUTED : status code: {got[1]}", False
+            return f"Link left out, answered with status {got[1]}", False
         if "text" not in got[4]:
             return f"Error_detected during self.download_page():{got[1]}", False
         return (None if text_of[url] else "No text found"), True

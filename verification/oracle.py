@@ -428,6 +428,10 @@ select * exclude (k) from (
 oracle("seeds", """
 select site as website, (2014 + page_id % 7)::int as year_query from seed_lines where page_id % 10 not in (3, 5, 7, 9)""",
        "seed_lines")
+oracle("seeds_in_order", """
+select site as website, (2014 + page_id % 7)::int as year_query, min(line_no) as line_no
+from (select *, row_number() over (order by page_id) - 1 as line_no from seed_lines) x
+where page_id % 10 not in (3, 5, 7, 9) group by all""", "seed_lines")
 oracle("bad_seed_lines", "select value from seed_lines where page_id % 10 in (3, 5, 7, 9)", "seed_lines")
 oracle("availability_urls", f"""
 select website, year_query, {query_url('website', 'year_query')} as query_url from seed_rows""", "seed_rows")
@@ -545,6 +549,8 @@ for _name, _rule in {
 
 oracle("nearest_captures", f"select website, year_query, capture_url, {printed('captured')} as captured_at from nearest",
        "nearest")
+oracle("nearest_from_index", f"select website, year_query, capture_url, {printed('captured')} as captured_at from nearest",
+       "nearest")
 cte("whole_candidates", f"""
 select site as website, year_query, page_id as position, link, {url_key('link', 'site')} as url_key
 from linked where {eligible('link', 'site', 'year_query')}""", "linked")

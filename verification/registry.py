@@ -18,7 +18,7 @@ from midyear.operators import errors as E
 from midyear.operators import frontier as R
 from midyear.operators import merge as M
 from midyear.operators.attempts import compacted, resolve_attempts, resolve_rounds
-from midyear.operators.nearest import nearest_capture
+from midyear.operators.nearest import capture_ends, merge_ends, nearest_capture, nearest_end
 from midyear.plans.crawl import (
     crawl,
     crawl_located,
@@ -72,6 +72,14 @@ def bad_seed_lines(spark, sf_dir):
     return L.bad_seed_lines(V.seed_lines(spark, sf_dir))
 
 
+@query
+def seeds_in_order(spark, sf_dir):
+    """Seeds of a list of several files, each where it first stands."""
+    path = checkpoint_path(spark, "list")
+    V.listed_seeds(spark, sf_dir).write.text(path)
+    return L.first_listed(L.read_numbered_lines(spark, path))
+
+
 @query
 def availability_urls(spark, sf_dir):
     return V.seeds(spark, sf_dir).select(
@@ -265,6 +273,14 @@ def nearest_captures(spark, sf_dir):
     return _printable(nearest_capture(V.seeds(spark, sf_dir), times))
 
 
+@query
+def nearest_from_index(spark, sf_dir):
+    """From stored ends of captures that came in two parts."""
+    captures = V.captures(spark, sf_dir)
+    parts = [cut_lineage(capture_ends(capture_times(captures.where(some)))) for some in ("page_id % 3 = 0", "page_id % 3 <> 0")]
+    return _printable(nearest_end(V.seeds(spark, sf_dir), merge_ends(*parts)))
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
     """The links of every capture, as candidates of its site and year."""
     link, site, year = F.col("link"), F.col("site"), F.col("year_query")

@@ -89,10 +89,20 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per page; four in ten are malformed in one of four ways."""
+    return _seed_lines(spark, sf_dir).select("value")
+
+
+def listed_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines in the order of their pages, dealt to four files."""
+    return _seed_lines(spark, sf_dir).repartitionByRange(4, "page_id").sortWithinPartitions("page_id").select("value")
+
+
+def _seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id") % 10
     year = (2014 + F.col("page_id") % 7).cast("string")
     site = F.col("site")
     return captures(spark, sf_dir).select(
+        "page_id",
         F.when(n == 3, site)
         .when(n == 5, F.concat(site, F.lit(","), year))
         .when(n == 7, F.concat(site, F.lit(", x")))
