@@ -95,6 +95,44 @@ def test_exact_repeated_rows(repeated, empty):
     assert exact_groups(empty).count() == 0 and drop_copies(empty).count() == 0
 
 
+def test_quotient_filters():
+    """Filters of any shape come back whole, merge to the filter of all rows, and take less room than bare fingerprints."""
+    import numpy as np
+
+    from midyear.llm import exact_dedup as X
+
+    r = np.random.default_rng(4)
+    whole = np.concatenate([r.integers(0, 1 << 64, 3000, np.uint64), np.full(700, 12345, np.uint64), np.arange(400, dtype=np.uint64) << np.uint64(50)])
+    whole = np.concatenate([whole, whole[:900], whole[:300], np.array([0, 2**64 - 1], np.uint64)])
+    for bits in (0, 3, 5):
+        want = X.counted(whole)
+        merge = {}
+        for part in np.array_split(r.permutation(whole), 7):
+            values, counts = X.counted(part)
+            for block in np.unique(values >> np.uint64(64 - bits)) if bits else [0]:
+                own = (values >> np.uint64(64 - bits)) == block if bits else slice(None)
+                data = X.encoded(values[own], counts[own], bits)
+                back = X.decoded(data, int(block), bits)
+                assert np.array_equal(back[0], values[own]) and np.array_equal(back[1], counts[own])
+                merge.setdefault(int(block), X.Merge()).add(back)
+        found = [merge[b].result() for b in sorted(merge)]
+        assert np.array_equal(np.concatenate([v for v, _ in found]), want[0])
+        assert np.array_equal(np.concatenate([c for _, c in found]), want[1])
+    values, counts = X.counted(np.concatenate([r.integers(0, 1 << 64, 1_900_000, np.uint64), r.integers(0, 1 << 64, 50_000, np.uint64).repeat(2)]))
+    size = sum(len(X.encoded(values[i], counts[i], 3)) for b in range(8) for i in [(values >> np.uint64(61)) == b])
+    assert size < 8 * len(values)
+
+
+def test_many_filters(spark, monkeypatch):
+    from midyear.llm import exact_dedup as X
+
+    monkeypatch.setattr(X, "FILTER_ROWS", 100)
+    df = spark.range(5000).selectExpr("xxhash64(id % 3100) AS fingerprint").repartition(4)
+    found = {r.fingerprint: r.n for r in X.repeated_fingerprints(df, 5000).collect()}
+    want = Counter(r.fingerprint for r in df.collect())
+    assert found == {k: n for k, n in want.items() if n > 1}
+
+
 BYTE = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
