@@ -3,16 +3,18 @@
 Tasks note the hash of each line key in a once-seen filter, and in a twice-seen
 filter when the first has it already. Filters travel in blocks and are merged in
 turn: what is in both the sum so far and the next filter has been seen twice. The
-twice-seen filter misses no key that two documents share, and its size is bounded
-by a parameter, so it can be sent to all tasks. Only keys it suspects are
-shuffled, to be counted exactly. A fuller filter suspects more keys; it never
-changes the result.
+twice-seen filter misses no key that two documents share. It is sent to all tasks,
+so its size is bounded by a parameter; where the lines need more, their hashes are
+split into ranges, each with filters of its own and a pass over the texts. Only keys
+that are suspected are shuffled, to be counted exactly. A fuller filter suspects more
+keys; it never changes the result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, byte_slices, keyed, sized_join, stored
+from .common import ROW_KEY, byte_slices, keyed, new_folder, sized_join, stored
 
 MIN_DOCUMENTS = 10
 MIN_KEY = 1
 BITS_PER_LINE = 16
-# The twice-seen filter is broadcast: 64 MB at most.
+# Of a filter that is broadcast: 64 MB. Beyond it there are more ranges of hashes, not fuller filters.
 MOST_BITS = 1 << 29
 BLOCK_BITS = 1 << 20
 HASHES = 4
@@ -80,14 +82,30 @@ class Bloom:
             self.data[cell[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint64(7)).astype(np.uint8), first)
 
 
-def _sketch(bits: int, least: int):
+@dataclass(frozen=True)
+class Range:
+    """One of ``ranges`` equal ranges that the hashes are split into."""
+
+    number: int = 0
+    ranges: int = 1
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        if self.ranges == 1:
+            return np.ones(len(hashes), bool)
+        # Other bits than those that name a place in a filter.
+        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        return (mixed * np.uint64(self.ranges)) >> np.uint64(32) == self.number
+
+
+def _sketch(bits: int, least: int, range_: Range):
     def run(batches):
         once, twice = Bloom(bits), Bloom(bits)
         for batch in batches:
             found = [hashes_of(distinct_keys(t, least)) for t in byte_slices(batch.column("text"))]
             if not found:
                 continue
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
+            hashes = np.concatenate(found)
+            values, counts = np.unique(hashes[range_.holds(hashes)], return_counts=True)
             twice.add(values[(counts > 1) | once.has(values)])
             once.add(values)
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -112,23 +130,24 @@ def _merge(filters: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([block, pa.array([zstandard.ZstdCompressor(level=1).compress(twice.tobytes())])], names=["block", "twice"])
 
 
-def twice_seen(rows: DataFrame, bits: int, least: int) -> Bloom:
-    """The merged filter; its size is ``bits``, whatever the rows."""
-    merged = rows.select("text").mapInArrow(_sketch(bits, least), "block int, once binary, twice binary").groupBy("block").applyInArrow(_merge, "block int, twice binary")
+def twice_seen(rows: DataFrame, bits: int, least: int, range_: Range = Range()) -> Bloom:
+    """The merged filter of a range of hashes; its size is ``bits``, whatever the rows."""
+    merged = rows.select("text").mapInArrow(_sketch(bits, least, range_), "block int, once binary, twice binary").groupBy("block").applyInArrow(_merge, "block int, twice binary")
     filter_ = Bloom(bits)
     for block, data in merged.toLocalIterator():
         filter_.data[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return filter_
 
 
-def _suspects(sent, bits: int, least: int):
+def _suspects(sent, bits: int, least: int, range_: Range):
     def run(batches):
         filter_ = Bloom(bits, np.frombuffer(sent.value, np.uint8))
         for batch in batches:
             ids, hashes, keys, lines = [], [], [], []
             for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), byte_slices(batch.column("text"))):
                 own = distinct_keys(text, least)
-                for (key, line), hit in zip(own.items(), filter_.has(hashes_of(own)).tolist()):
+                known = hashes_of(own)
+                for (key, line), hit in zip(own.items(), (filter_.has(known) & range_.holds(known)).tolist()):
                     if hit:
                         ids.append(doc_id)
                         hashes.append(text_hash)
@@ -160,16 +179,21 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     ``min_documents`` documents (2 or more) go from every document; with
     ``keep_first`` the first stays, by id, then text hash, then line. Every row is a
     document, so repeated rows count as often as they stand. Null and empty texts
-    are one empty line. A text that loses all lines is empty. Ids may be null; an
-    empty table gives an empty result; other columns are ignored.
+    are one empty line. A text that loses all lines is empty. A text's lines are held
+    at once by the task that reads it. Ids may be null; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
     counted = keyed(docs, key, text).agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = min(MOST_BITS, max(BLOCK_BITS, 1 << (BITS_PER_LINE * counted - 1).bit_length() if counted else 0))
-    filter_ = twice_seen(rows, bits, min_key)
-    sent = spark.sparkContext.broadcast(filter_.data.tobytes())
-    suspects = stored(rows.mapInArrow(_suspects(sent, bits, min_key), "doc_id long, text_hash long, line_key binary, line int"), "lines-suspected")
+    wanted = max(BLOCK_BITS, 1 << (BITS_PER_LINE * counted - 1).bit_length() if counted else 0)
+    bits, ranges = min(MOST_BITS, wanted), -(-wanted // MOST_BITS)
+    schema, path = "doc_id long, text_hash long, line_key binary, line int", new_folder(spark, "lines-suspected")
+    for range_ in (Range(i, ranges) for i in range(ranges)):
+        sent = spark.sparkContext.broadcast(twice_seen(rows, bits, min_key, range_).data.tobytes())
+        rows.mapInArrow(_suspects(sent, bits, min_key, range_), schema).write.option("compression", "zstd").mode("append").parquet(path)
+        sent.destroy()
+    suspects = spark.read.schema(schema).parquet(path)
     counts = suspects.groupBy("line_key")
     if keep_first:
         frequent = counts.agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))

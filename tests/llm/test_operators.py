@@ -325,6 +325,20 @@ def test_full_filter(odd, odd_pairs, monkeypatch):
     assert tuples(drop_repeated_lines(odd), *LINE) == brute.lines(odd_pairs, 10)
 
 
+def test_filters_by_range(odd, odd_pairs, monkeypatch):
+    """Where the lines need more bits than a filter has, ranges of hashes are worked on in turn."""
+    import numpy as np
+
+    from midyear.llm import line_dedup
+
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 10000, np.uint64)
+    held = np.array([line_dedup.Range(i, 7).holds(hashes) for i in range(7)])
+    assert (held.sum(axis=0) == 1).all() and (held.sum(axis=1) > 1000).all()
+    monkeypatch.setattr(line_dedup, "BLOCK_BITS", 1 << 10)
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 12)
+    assert tuples(drop_repeated_lines(odd, min_documents=3), *LINE) == brute.lines(odd_pairs, 3)
+
+
 def test_mix(odd, odd_pairs, docs, empty):
     for df in (docs, odd):
         rows = mix(df).collect()
