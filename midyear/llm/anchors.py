@@ -39,6 +39,7 @@ from .common import ROW_KEY, byte_slices, keyed, parts, sized_join, stored, work
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
 MOST_WORDS = 1 << 18
+MOST_HOT_KINDS = 1000
 BLANK_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK_SEGMENTS = 8192
 HOT_SEGMENTS = 50_000
@@ -316,7 +317,11 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     found = segments.groupBy("block").applyInArrow(lambda table: resolve(table, rule), span_schema)
 
     reach = (F.greatest(F.col("at") - rule.reach, F.lit(0)).alias("start"), (F.col("at") + F.col("right")).alias("end"))
-    whole = sized_join(shared, stored(kinds.where("times > 1").select("anchor", "segment"), "segments-whole"), ["anchor", "segment"], "left_semi", SMALL)
+    # A kind with more than a thousandth of all rows is one of a thousand at most: these are broadcast, the others joined by shuffle.
+    pair, many = ["anchor", "segment"], F.col("times") > F.lit(max(1, shared.count() // MOST_HOT_KINDS))
+    common = F.broadcast(stored(kinds.where("times > 1").where(many).select(*pair), "segments-common"))
+    rest = stored(kinds.where("times > 1").where(~many).select(*pair), "segments-whole")
+    whole = shared.join(common, pair, "left_semi").unionByName(sized_join(shared.join(common, pair, "left_anti"), rest, pair, "left_semi", SMALL))
     spans = found.unionByName(whole.select(*ROW_KEY, *reach))
     hot = open_.where("hot")
     if not hot.isEmpty():
