@@ -2,12 +2,14 @@
 
 A byte-pair vocabulary merges within pre-tokens, so a text's count is the sum over
 its pre-tokens. Each document keeps a segment tree whose leaves stand for LEAF
-pre-tokens, with their characters and tokens, and whose inner nodes hold sums. An
-edit finds its leaf by descending on the character sums. Pre-tokens are split anew
-from CONTEXT pre-tokens before the edit, since a pre-token can depend on what
-follows it, until a boundary behind the edit is the start of an old leaf; from there on
-both texts are split alike. Only the leaves in between are encoded anew, and only
-their ancestors' sums change.
+pre-tokens, with their characters and tokens, and whose inner nodes hold sums. The
+edits of a text are worked off from left to right. The first of a region finds its
+leaf by descending on the character sums. Pre-tokens are split anew from CONTEXT
+pre-tokens before it, since a pre-token can depend on what follows it, until a
+boundary behind an edit is the start of an old leaf and the next edit is not near;
+from there on both texts are split alike. Only the leaves in between are encoded anew,
+into leaves of LEAF pre-tokens, and only their ancestors' sums change; a region that
+needs more leaves than it had has the tree laid out again, without encoding the rest.
 
 Trees are a table, some bytes per leaf. Texts are read again only for documents
 that have edits.
@@ -16,6 +18,8 @@ that have edits.
 from __future__ import annotations
 
 import base64
+import bisect
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +36,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 32
 CONTEXT = 2
+AHEAD = 64  # characters read behind a place to see whether a pre-token ends there
+NEAR = 2000  # characters in which more than CONTEXT pre-tokens are looked for
 CACHED = 1 << 20
 # Edits of redaction(): what is replaced, and by what.
 REDACTED = (
@@ -103,12 +109,13 @@ class Tree:
                 node += 1
         return node - self.width, before
 
-    def set(self, i: int, chars: int, tokens: int) -> None:
-        node = self.width + i
-        change = np.array([chars, tokens]) - self.sums[node]
-        while node:
-            self.sums[node] += change
-            node //= 2
+    def set(self, places: np.ndarray, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """New values of some leaves; the sums above them follow, level by level."""
+        node = self.width + places
+        self.sums[node, 0], self.sums[node, 1] = chars, tokens
+        while len(node) and node[0] > 1:
+            node = np.unique(node // 2)
+            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray]:
         own = self.sums[self.width : self.width + self.n]
@@ -116,7 +123,10 @@ class Tree:
 
 
 def build(text: str, count: Counter) -> Tree:
-    tokens = count.split(text)
+    return _tree(count.split(text), count)
+
+
+def _tree(tokens: list[str], count: Counter) -> Tree:
     starts = np.arange(0, len(tokens), LEAF)
     if not len(starts):
         return Tree(np.zeros(1, np.int64), np.zeros(1, np.int64))
@@ -125,42 +135,54 @@ def build(text: str, count: Counter) -> Tree:
     return Tree(np.add.reduceat(lengths, starts), np.add.reduceat(counts, starts))
 
 
-def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter) -> tuple[str, int]:
-    """Replace text[start:end] and bring the tree up to date: (the new text, pre-tokens encoded anew)."""
-    after, shift = text[:start] + new + text[end:], len(new) - (end - start)
-    if not text:
-        fresh = build(after, count)
-        tree.set(0, fresh.chars, fresh.tokens)
-        return after, len(count.split(after))
-    first, begin = tree.find(max(0, start - 1))
-    # Go back until CONTEXT pre-tokens stand between the leaf's start and the edit.
-    while first and len(count.split(text[begin:start])) <= CONTEXT:
-        first -= 1
-        begin -= tree.leaf(first)[0]
-    # Old leaf starts behind the edit, at which splitting may stop.
-    leaf, stop = tree.find(end)
-    if stop < end or stop <= begin:
-        stop += tree.leaf(leaf)[0]
-        leaf += 1
-    lengths = tokens = used = 0
-    target = stop + shift
-    for match in count.pattern.finditer(after, begin):
-        at = match.start()
-        while leaf < tree.n and target < at:
-            target += tree.leaf(leaf)[0]
-            leaf += 1
-        if leaf < tree.n and at == target and at >= start + len(new) and used:
-            break
-        used += 1
-        lengths += match.end() - at
-        tokens += count[match.group()]
-    else:
-        leaf = tree.n
-    for i in range(first + 1, leaf):
-        if tree.leaf(i) != (0, 0):
-            tree.set(i, 0, 0)
-    tree.set(first, lengths, tokens)
-    return after, used
+def in_leaves(lengths: list[int], counts: list[int]) -> tuple[list[int], list[int]]:
+    """Characters and tokens of the leaves for pre-tokens of these lengths and counts."""
+    first = range(0, len(lengths), LEAF)
+    return [sum(lengths[i : i + LEAF]) for i in first], [sum(counts[i : i + LEAF]) for i in first]
+
+
+def regions(tree: Tree, text: str, after: str, chosen: list[tuple[int, int, str]], count: Counter):
+    """(first leaf, leaf behind the last, characters and tokens of the leaves in their place, pre-tokens encoded) of each region that edits touch."""
+    starts = np.concatenate([[0], np.cumsum(tree.leaves()[0], dtype=np.int64)])
+    edit_starts, edit_ends = (np.array([c[i] for c in chosen]) for i in (0, 1))
+    shift = np.cumsum([0] + [len(new) - (end - start) for start, end, new in chosen])
+    # Where the old leaves begin in the new text, if no edit crosses their start; before that stand so many edits.
+    before = np.searchsorted(edit_starts, starts)
+    whole = (before == 0) | (edit_ends[before - 1] <= starts)
+    moved, starts, before, whole = (x.tolist() for x in (starts + shift[before], starts, before, whole))
+    limits = [*edit_starts.tolist(), None]
+    e = done = 0
+    while e < len(chosen):
+        start = chosen[e][0]
+        first = max(done, tree.find(max(0, start - 1))[0])
+        while first > done and len(count.split(text[starts[first] : start])) <= CONTEXT:
+            first -= 1
+        leaf, found, at = first + 1, [], moved[first]
+        while True:
+            while leaf < tree.n and (moved[leaf] <= at or before[leaf] <= e or not whole[leaf]):
+                leaf += 1
+            target = moved[leaf] if leaf < tree.n else len(after)
+            until = min(len(after), max(target, at) + AHEAD)
+            some = count.pattern.findall(after, at, until)
+            if until < len(after) and some:
+                some.pop()  # it may go on
+            ends = list(itertools.accumulate(map(len, some), initial=at))
+            place = bisect.bisect_left(ends, target)
+            if place < len(ends) and ends[place] == target:
+                found += some[:place]
+                at = target
+                if leaf == tree.n:
+                    break
+                following = limits[before[leaf]]
+                if following is None or len(count.split(text[starts[leaf] : min(following, starts[leaf] + NEAR)])) > CONTEXT:
+                    break
+            else:  # no boundary there
+                found += some
+                at = ends[-1]
+            leaf += 1 if leaf < tree.n else 0
+        lengths, counts = list(map(len, found)), list(map(count.__getitem__, found))
+        yield first, leaf, *in_leaves(lengths, counts), len(lengths)
+        e, done = before[leaf] if leaf < tree.n else len(chosen), leaf
 
 
 @dataclass(frozen=True)
@@ -179,11 +201,32 @@ def apply(tree: Tree, text: str, edits: list[dict], count: Counter) -> Edited:
         if start >= free and start <= end:
             chosen.append((start, end, e["replacement"] or ""))
             free = max(end, start + 1)
-    encoded = 0
-    for start, end, new in reversed(chosen):
-        text, used = edit(tree, text, start, end, new, count)
-        encoded += used
-    return Edited(tree, text, encoded, len(chosen))
+    pieces, at = [], 0
+    for start, end, new in chosen:
+        pieces += [text[at:start], new]
+        at = end
+    after = "".join(pieces) + text[at:]
+    if not chosen:
+        return Edited(tree, after, 0, 0)
+    touched = np.unique(np.searchsorted(np.cumsum(tree.leaves()[0]), [c[0] for c in chosen]))
+    if not text or 2 * len(touched) > tree.n > 8:  # most leaves are new anyway
+        fresh = count.split(after)
+        return Edited(_tree(fresh, count), after, len(fresh), len(chosen))
+    found = list(regions(tree, text, after, chosen, count))
+    encoded = sum(r[4] for r in found)
+    if all(len(chars) <= stop - first for first, stop, chars, _, _ in found) and len(after) * 2 > len(text):
+        places = np.concatenate([np.arange(first, stop) for first, stop, *_ in found])
+        filled = [[x for r in found for x in r[i] + [0] * (r[1] - r[0] - len(r[i]))] for i in (2, 3)]
+        tree.set(places, *map(np.array, filled))
+        return Edited(tree, after, encoded, len(chosen))
+    old, parts_, at = tree.leaves(), [], 0
+    for first, stop, *own, _ in found:
+        parts_ += [tuple(x[at:first] for x in old), tuple(np.array(x, np.int64) for x in own)]
+        at = stop
+    parts_.append(tuple(x[at:] for x in old))
+    chars, tokens = (np.concatenate(x) for x in zip(*parts_))
+    some = chars > 0
+    return Edited(Tree(chars[some], tokens[some]) if some.any() else build("", count), after, encoded, len(chosen))
 
 
 def _ranks(docs: DataFrame, vocabulary: str):
@@ -269,7 +312,9 @@ def counts_after(docs: DataFrame, edits: DataFrame, key: str = "doc_id", text: s
     """One row per row of ``docs``: doc_id, n_tokens, n_edits, n_encoded, n_tokens_after, text_hash.
 
     ``n_encoded`` counts the pre-tokens that edits had encoded anew. Null texts are
-    empty. Ids may be null or repeated: edits belong to an id and a text. Empty tables give empty results.
+    empty. Ids may be null or repeated: edits belong to an id and a text. A text and its
+    edits are held by the task that reads it. Empty tables give empty results; other
+    columns, whatever their names, are ignored.
     """
     trees = stored(build_trees(docs, key, text, vocabulary), "token-trees")
     changed = apply_edits(docs, trees, edits, key, text, vocabulary)

@@ -149,7 +149,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     The payload is the HTML in UTF-8, null counting as empty. Of equal payloads of
     at least ``least`` bytes that with the largest id is a response and the others
     revisit it; rows with that same id are responses too, and so are all rows of a
-    payload whose ids are all null. A null URL is empty. An empty table gives no archives.
+    payload whose ids are all null. A null URL is empty. A record, however long, is held
+    by its task, and so are about ARCHIVE_BYTES of records. An empty table gives no
+    archives; other columns, whatever their names, are ignored.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))

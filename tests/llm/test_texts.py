@@ -43,6 +43,25 @@ def test_edits_touch_little():
     assert done.tree.tokens == tokens(done.text) and done.encoded < 4 * token_counts.LEAF
 
 
+def test_many_edits():
+    """Thousands of edits of one text cost about as much as counting what they touch, and the tree stays in shape."""
+    r = random.Random(6)
+    text = "".join(r.choice(["word ", "other, ", "thing\n", "a-b ", "12 "]) for _ in range(60000))
+    total = len(COUNT.split(text))
+    for n in (1, 40, 1000, 8000):
+        places = sorted(r.sample(range(len(text) - 20), n))
+        edits = [{"start": a, "end": a + r.randrange(8), "replacement": r.choice(["", "new", "x y\n"])} for a in places]
+        done = token_counts.apply(token_counts.build(text, COUNT), text, edits, COUNT)
+        fresh = token_counts.build(done.text, COUNT)
+        assert done.tree.tokens == fresh.tokens == tokens(done.text) and done.tree.chars == len(done.text)
+        assert done.encoded <= min(total + 4 * n, 4 * token_counts.LEAF * n)
+        assert done.tree.leaves()[0].max() < 8 * 3 * token_counts.LEAF
+        sums = done.tree.sums
+        assert (sums[1 : done.tree.width] == sums[2 : 2 * done.tree.width : 2] + sums[3 : 2 * done.tree.width : 2]).all()
+        again = token_counts.apply(done.tree, done.text, edits[: n // 2 + 1], COUNT)
+        assert again.tree.tokens == tokens(again.text) and again.tree.chars == len(again.text)
+
+
 def test_counts_of_documents(docs, odd, repeated, empty):  # noqa: F811
     for df in (docs, odd, repeated):
         rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
