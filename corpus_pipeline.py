@@ -13,22 +13,27 @@ from midyear.llm.simhash import one_per_group
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules keep, with all their columns. Null texts go; repeated rows share their fate; an empty table stays empty."""
     return good_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for blanks; null texts are one group. Other columns stay, whatever their names."""
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked fingerprints, that with the least id. Null texts are one fingerprint; other columns stay."""
     return one_per_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as the mix of sources takes it: up to three times, or not at all. Null is a source of its own; rows without words of a wordless source go."""
     return mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every row, repeated rows too; a null or empty text has one, without pieces. Texts may be as long as a row holds."""
     return sampled_pieces(docs)
 
 
