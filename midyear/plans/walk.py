@@ -4,25 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from midyear import constants as K
 from midyear.config import CrawlConfig
 from midyear.functions import urls as U
 from midyear.functions.outcomes import content_error, link_error
-from midyear.operators.frontier import (
-    SITE,
-    candidate_links,
-    first_per_key,
-    not_visited,
-    within_quota,
-)
+from midyear.operators.frontier import SITE, candidate_links, next_links
 from midyear.schemas import ERRORS, PAGES
 from midyear.session import Keys, Stored, store
 from midyear.sources.captures import Archive
 
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 VISIT = [
     "website", "year_query", "depth", "n_page", "url", "original_url", "status", "transport_error",
     "final_url", "content_type", "n_redirects", "nretries_link", "n_retries_api", "error",
@@ -74,15 +67,8 @@ def fetch_links(frontier: DataFrame, responses: DataFrame, depth: int, strict_st
 
 
 def _parents(level: DataFrame) -> DataFrame:
-    """Opened pages of a level, with the page numbers their site has used up.
-
-    A site has at most ``page_limit + 1`` rows here.
-    """
-    return (
-        level.withColumn("taken", F.max("n_page").over(Window.partitionBy(*SITE)))
-        .where("error is null")
-        .select(*SITE, "url", F.col("n_page").alias("position"), "taken", "n_retries_api")
-    )
+    """Opened pages of a level."""
+    return level.where("error is null").select(*SITE, "url", F.col("n_page").alias("position"), "n_retries_api")
 
 
 def is_opened() -> Column:
@@ -99,22 +85,15 @@ def first_level(homepages: DataFrame, opened: Keys) -> Stored:
 
 
 def visited_homepages(level: DataFrame) -> DataFrame:
-    """Keys of level 0 that are not fetched again."""
-    return level.select(*SITE, F.col("final_url").alias("url_key"))
+    """Keys of level 0 that are not fetched again, with their page number."""
+    return level.select(*SITE, F.col("final_url").alias("url_key"), "n_page")
 
 
 def next_frontier(level: Stored, visited: DataFrame, archive: Archive, config: CrawlConfig) -> Stored:
     """Links of a level to be fetched; what they ask for is counted as they are stored."""
     links = archive.links_of(level.keys, config.broadcast_bytes)
-    fresh = not_visited(first_per_key(candidate_links(_parents(level.rows), links, config.year_range)), visited)
-    spark = level.rows.sparkSession
-    before = int(spark.conf.get(GROUP_LIMIT))
-    # Tasks drop what the quota cannot keep whatever the quota is.
-    spark.conf.set(GROUP_LIMIT, max(before, config.page_limit + 1))
-    try:
-        return store(within_quota(fresh, config.page_limit), "link")
-    finally:
-        spark.conf.set(GROUP_LIMIT, before)
+    candidates = candidate_links(_parents(level.rows), links, config.year_range)
+    return store(next_links(candidates, visited, config.page_limit), "link")
 
 
 def fetch_level(frontier: Stored, archive: Archive, depth: int, config: CrawlConfig) -> Stored:
@@ -140,7 +119,7 @@ def walk(level: Stored, archive: Archive, config: CrawlConfig) -> Stored:
             break
         level = fetch_level(frontier, archive, depth, config)
         levels.append(level)
-        visited = visited.unionByName(frontier.rows.select(*SITE, "url_key"))
+        visited = visited.unionByName(frontier.rows.select(*SITE, "url_key", "n_page"))
     return Stored(
         reduce(DataFrame.unionByName, [x.rows for x in levels]),
         sum(x.count for x in levels),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from midyear import CrawlConfig
-from midyear.operators.frontier import within_quota
+from midyear.operators.frontier import first_per_key, next_links, not_visited, within_quota
 from midyear.plans import walk as W
 from midyear.schemas import RESPONSES
 from midyear.session import store
@@ -189,3 +189,19 @@ def test_quota_holds_for_a_hot_site(spark):
     assert {tuple(r)[1:] for r in counts.collect()} == {(8, 3, 10)}
     plan = within_quota(links, 9)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_a_level_is_decided_in_one_shuffle(spark):
+    schema = "website string, year_query int, url_key string, position int, link string, n_retries_api int"
+    found = spark.createDataFrame(
+        [("a.com", 2016, f"k{i % 7}", i % 3, f"l{i}", 1) for i in range(30)] + [("b.org", 2015, "k1", 2, "m", 0)], schema
+    )
+    seen = [("a.com", 2016, "home", 0), ("a.com", 2016, "k2", 1), ("a.com", 2016, "k5", 2), ("b.org", 2015, "x", 0)]
+    visited = spark.createDataFrame(seen, "website string, year_query int, url_key string, n_page int")
+    rows = next_links(found, visited, 5)
+    taken = found.withColumn("taken", F.when(F.col("website") == "a.com", 2).otherwise(0))
+    want = within_quota(not_visited(first_per_key(taken), visited), 5)
+    columns = ["website", "year_query", "url_key", "position", "link", "n_retries_api", "n_page"]
+    assert sorted(rows.select(*columns).collect()) == sorted(want.select(*columns).collect()) != []
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan")].count("Exchange hashpartitioning") <= 1
