@@ -231,9 +231,9 @@ def with_ctes(sql: str, *needs: str, instead: dict[str, str] | None = None) -> s
     body = {**CTES, **{name: CTES[other] for name, other in (instead or {}).items()}}
 
     def visit(name: str) -> None:
-        for need in body[name][1]:
-            visit(need)
         if name not in order:
+            for need in body[name][1]:
+                visit(need)
             order.append(name)
 
     for need in needs:
