@@ -79,12 +79,17 @@ class Vocabulary:
                     nodes.append({})
                 node = nodes[node][b]
             ends[node] = i
-        self.next = np.zeros((len(nodes), 256), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
-        for node, children in enumerate(nodes):
-            for b, child in children.items():
-                self.next[node, b] = child
+        # Nodes with children come first; the others need no row of the table.
+        inner = [i for i, children in enumerate(nodes) if children]
+        number = np.empty(len(nodes), np.int64)
+        number[inner] = np.arange(len(inner))
+        number[[i for i, children in enumerate(nodes) if not children]] = np.arange(len(inner), len(nodes))
+        self.next = np.zeros((len(inner), 256), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
+        for node in inner:
+            for b, child in nodes[node].items():
+                self.next[number[node], b] = number[child]
         self.piece = np.full(len(nodes), -1, np.int32)
-        self.piece[list(ends)] = list(ends.values())
+        self.piece[number[list(ends)]] = list(ends.values())
         self.longest = max(len(self.bytes[i]) for i in used)
         self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.sizes = np.fromiter(map(len, self.bytes), np.int32, size)
@@ -95,6 +100,7 @@ def vocabulary(model: bytes) -> Vocabulary:
     kept = worker_memory()
     if getattr(kept, "model", None) != model:
         kept.model, kept.vocabulary = model, Vocabulary(model)
+        release_memory()
     return kept.vocabulary
 
 
@@ -144,7 +150,7 @@ def block_edges(cells: list[bytes], v: Vocabulary, place: int, edge: int) -> tup
         ends.append(at[found] + np.int32(t + 1))
         ids.append(v.piece[state[found]])
         single[begins[-1][ends[-1] == one[found]]] = True
-        alive = (state > 0) & (at + t + 1 < bound)
+        alive = (state > 0) & (state < len(v.next)) & (at + t + 1 < bound)
         at, state, bound, one = at[alive], state[alive], bound[alive], one[alive]
         if not len(at):
             break

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, byte_slices, keep_rows, keyed, sized_join, stored
+from .common import ROW_KEY, byte_slices, keep_rows, keyed, release_memory, sized_join, stored
 
 SHINGLE = 4
 DISTANCE = 4
@@ -63,6 +63,7 @@ def _fingerprints(shingle: int):
         for batch in batches:
             values = np.array([simhash(t, shingle) for t in byte_slices(batch.column("text"))], U)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(values.view(np.int64))], names=["doc_id", "text_hash", "fingerprint"])
+        release_memory()
 
     return run
 
@@ -123,6 +124,7 @@ def _deal(trees: list, reach: int):
                 out += [((view << 40) + name, v, h) for name, v, h in own]
             for name, v, h in out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), name)), pa.array(v.view(np.int64)), pa.array(h)], names=["shard", "fingerprint", "home"])
+        release_memory()
 
     return run
 
@@ -242,7 +244,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     U+0009 to U+000D. Fewer words than a shingle count as one shingle; texts without
     words, null ones too, have fingerprint zero and link like any other. component_id
     is the least id that is reachable over links; null ids take part, but only name a
-    component in which all ids are null. An empty table gives an empty result.
+    component in which all ids are null. An empty table gives an empty result. A text's
+    shingles are held by the task that reads it; other columns, whatever their names, are ignored.
     """
     rows = stored(fingerprints(docs, key, text, shingle), "simhash-rows")
     distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "simhash-distinct")
