@@ -5,8 +5,9 @@ vocabulary. A segmentation's probability is proportional to the product of its
 pieces' weights, which fall with the piece's rank (Zipf). Pieces hold blanks only
 in front and no newlines, so the lattice is a chain of cells, each a run of blanks
 and what follows; sums of weights from each node to the end of its cell are worked
-out once per distinct cell of a stretch. A stretch is short texts together or a part
-of a long one, so memory does not grow with a text but for its result.
+out once per distinct cell, for as many stretches as a lattice of bounded size holds.
+A stretch is short texts together or a part of a long one, so memory does not grow
+with a text but for its result.
 
 Gumbel top-k: every segmentation has its log probability plus Gumbel noise, and the k
 largest are wanted. A search node is a prefix with some next pieces excluded; its
@@ -26,6 +27,7 @@ import heapq
 import itertools
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ from .common import byte_slices, keyed, release_memory, worker_memory
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 4
-STRETCH_BYTES = 256 << 10  # of cells that get a lattice together
+STRETCH_BYTES = 256 << 10  # of cells that are drawn together
+LATTICE_BYTES = 512 << 10  # of distinct cells, beyond which a lattice is begun anew
 BLOCK_CELLS = 1 << 14
 SPELL = 1 << 18
 FAR = -45.0
@@ -110,22 +113,55 @@ def cells_of(text: bytes) -> list[bytes]:
 
 
 class Lattice:
-    """The edges of many cells; a place is an index into their bytes, with one more after each cell.
+    """The edges of distinct cells; a place is an index into their bytes, with one more after each cell.
 
-    Cells are worked off in blocks that fit a processor's cache.
+    Stretch after stretch adds the cells that it brings, so common ones are worked
+    out once; they are added in blocks that fit a processor's cache. Arrays are longer
+    than what is filled of them.
     """
 
-    def __init__(self, cells: list[bytes], v: Vocabulary) -> None:
-        blocks, place, edge = [], 0, 0
-        for i in range(0, len(cells), BLOCK_CELLS):
-            blocks.append(block_edges(cells[i : i + BLOCK_CELLS], v, place, edge))
-            place += len(blocks[-1][0])
-            edge += len(blocks[-1][3])
-        self.buffer, self.start, self.end, self.begin, self.to, self.id, self.p, self.low, self.high = (np.concatenate(x) for x in zip(*blocks))
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.places = self.edges = 0
+        self.buffer, self.low, self.high = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.start, self.end = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.begin, self.to, self.id, self.p = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+
+    def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The cells of texts as numbers of those held, until the next call."""
+        if self.places > LATTICE_BYTES:
+            self.clear()
+        held = len(self.known)
+        numbers = [np.fromiter(map(self.known.__getitem__, cells), np.int64, len(cells)) for cells in texts]
+        new = list(itertools.islice(self.known, held, None))
+        for i in range(0, len(new), BLOCK_CELLS):
+            self._add(new[i : i + BLOCK_CELLS], held + i)
+        return numbers
+
+    def _add(self, cells: list[bytes], held: int) -> None:
+        buffer, start, end, begin, to, id_, p, low, high = block_edges(cells, self.v, self.places, self.edges)
+        for at, parts in (
+            (held, {"start": start, "end": end}),
+            (self.places, {"buffer": buffer, "low": low, "high": high}),
+            (self.edges, {"begin": begin, "to": to, "id": id_, "p": p}),
+        ):
+            for name, part in parts.items():
+                whole = getattr(self, name)
+                if at + len(part) > len(whole):
+                    whole = np.empty(max(at + len(part), at * 3 // 2), whole.dtype)
+                    whole[:at] = getattr(self, name)[:at]
+                    setattr(self, name, whole)
+                whole[at : at + len(part)] = part
+        self.places += len(buffer)
+        self.edges += len(begin)
 
 
 def block_edges(cells: list[bytes], v: Vocabulary, place: int, edge: int) -> tuple[np.ndarray, ...]:
-    """The arrays of a Lattice for some cells, whose first place and edge get the given numbers.
+    """What a Lattice holds of some cells, whose first place and edge get the given numbers.
 
     begin, to, id and p are of edges; edges low to high are a place's.
     """
@@ -225,6 +261,17 @@ def truncated(mass: np.ndarray, u: np.ndarray, most: float) -> np.ndarray:
     return -np.logaddexp(-most, np.log(-np.log(u)) - mass)
 
 
+class Drawn(NamedTuple):
+    """Edges drawn for one text, with their probabilities, and how many edges leave the same node."""
+
+    edges: np.ndarray
+    p: np.ndarray
+    log_p: np.ndarray
+    count: np.ndarray
+    ends: np.ndarray  # how many piece numbers stand up to each edge
+    ids: np.ndarray
+
+
 class Search:
     """Best-first search over one document's segmentations, which are drawn stretch by stretch."""
 
@@ -260,26 +307,24 @@ class Search:
             here[0] = lattice.to[forced[0]]
         return here, lattice.end[cells[low:]], U(self.base) + np.arange(first + low, first + len(cells), dtype=U) * U(0x9FB21C651E98DF25), forced
 
-    def add(self, lattice: Lattice, v: Vocabulary, cells: np.ndarray, first: int, edges: np.ndarray, steps: np.ndarray) -> None:
-        """The segmentation goes on with ``edges``, ``steps`` of them in each of the last ``len(steps)`` cells of the stretch.
+    def add(self, lattice: Lattice, cells: np.ndarray, first: int, drawn: Drawn, steps: np.ndarray) -> None:
+        """The segmentation goes on with the edges drawn, ``steps`` of them in each of the last ``len(steps)`` cells of the stretch.
 
         Alternatives to them become nodes as long as they are not too improbable.
         """
-        p = lattice.p[edges]
-        log_p = np.log(p)
+        edges, taken, log_p, count, ends, ids = drawn
         before = self.before + np.cumsum(log_p) - log_p
-        ids, ends = ids_of(lattice, edges, v)
         near = int(np.searchsorted(-before, -self.far))
-        taken, at = p[:near].copy(), np.arange(near)
-        count = lattice.high[lattice.begin[edges[:near]]] - lattice.low[lattice.begin[edges[:near]]]
+        taken, count = taken[:near], count[:near]
         fresh = self.place == self.fixed  # the first edge is the one chosen in place of those gone
         if near and fresh and self.gone:
+            taken, count = taken.copy(), count.copy()
             taken[0] += lattice.p[lattice.low[lattice.begin[edges[0]]] + np.array(self.gone)].sum()
             count[0] -= len(self.gone)
-        open_ = np.flatnonzero((count > 1) & (taken < 1.0))
-        if len(open_):
-            at, sample = at[open_], len(self.found)
-            mass = before[at] + np.log1p(-taken[open_])
+        at = np.flatnonzero((count > 1) & (taken < 1.0))
+        if len(at):
+            sample = len(self.found)
+            mass = before[at] + np.log1p(-taken[at])
             keys = U(self.key(sample) ^ 0x5851F42D4C957F2D) + (self.place + at).astype(U) * U(0xD6E8FEB86659FD93)
             values = truncated(mass, noise(keys), self.value)
             most = self.wanted - sample  # more of them cannot be taken, nor be the threshold
@@ -306,38 +351,37 @@ class Search:
         return -self.heap[0][0] if self.heap and len(self.found) >= self.wanted else -np.inf
 
 
-def draw(lattice: Lattice, v: Vocabulary, parts: list[tuple[Search, np.ndarray, int]]) -> None:
+def draw(lattice: Lattice, parts: list[tuple[Search, np.ndarray, int]]) -> None:
     """Draw on in a stretch: searches with the cells of it that are theirs, and the number of the first in their text."""
     begun = [s.begin(lattice, cells, first) for s, cells, first in parts]
     at, stop, keys = (np.concatenate(x) for x in list(zip(*begun))[:3])
     drawn, steps = walk(lattice, at, stop, keys)
-    ends = np.cumsum(steps)
-    cell = edge = 0
-    for (s, cells, first), (here, _, _, forced) in zip(parts, begun):
-        n = len(here)
-        upto = int(ends[cell + n - 1])
-        own = steps[cell : cell + n].copy()
-        own[0] += len(forced)
-        s.add(lattice, v, cells, first, np.concatenate([forced, drawn[edge:upto]]), own)
-        cell, edge = cell + n, upto
-
-
-def numbered(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct cells of texts, and each text's cells as numbers of them."""
-    known: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    numbers = [np.fromiter(map(known.__getitem__, cells), np.int64, len(cells)) for cells in texts]
-    return list(known), numbers
-
-
-def sample_short(texts: list[bytes], seeds: list[int], v: Vocabulary, k: int) -> list[Search]:
-    """The k segmentations of each text, or all if there are fewer; the texts share one lattice."""
+    # A search's edges are the one drawn already, if any, and those of its cells.
+    lasts = np.cumsum([len(here) for here, *_ in begun]).tolist()
+    cuts = [0, *np.cumsum(steps)[np.array(lasts) - 1].tolist()]
+    edges = np.concatenate([x for (*_, forced), low, high in zip(begun, cuts, cuts[1:]) for x in (forced, drawn[low:high])])
+    begin, p = lattice.begin[edges], lattice.p[edges]
+    log_p, count = np.log(p), lattice.high[begin] - lattice.low[begin]
+    ids, ends = ids_of(lattice, edges)
+    low = known = 0
+    for (s, cells, first), (here, _, _, forced), cell, size in zip(parts, begun, lasts, np.diff(cuts).tolist()):
+        own = steps[cell - len(here) : cell]
+        if len(forced):
+            own = np.r_[own[0] + 1, own[1:]]
+        high = low + size + len(forced)
+        upto = int(ends[high - 1]) if high else 0
+        s.add(lattice, cells, first, Drawn(edges[low:high], p[low:high], log_p[low:high], count[low:high], ends[low:high] - known, ids[known:upto].copy()), own)
+        low, known = high, upto
+
+
+def sample_short(texts: list[bytes], seeds: list[int], lattice: Lattice, k: int) -> list[Search]:
+    """The k segmentations of each text, or all if there are fewer."""
     searches = [Search(s, k) for s in seeds]
-    distinct, cells = numbered([cells_of(t) for t in texts])
-    lattice = Lattice(distinct, v) if distinct else None
+    cells = lattice.numbers([cells_of(t) for t in texts])
     for sample in range(k):
         going = [(s, c, 0) for s, c in zip(searches, cells) if (not sample or len(c)) and s.start()]
-        if lattice and any(len(c) for _, c, _ in going):
-            draw(lattice, v, [x for x in going if len(x[1])])
+        if any(len(c) for _, c, _ in going):
+            draw(lattice, [x for x in going if len(x[1])])
         for s, _, _ in going:
             s.end()
     return searches
@@ -354,7 +398,7 @@ def stretches(text: bytes, low: int = 0):
         low += sum(map(len, cells))
 
 
-def sample_long(text: bytes, seed: int, v: Vocabulary, k: int) -> list[Search]:
+def sample_long(text: bytes, seed: int, lattice: Lattice, k: int) -> list[Search]:
     """As ``sample_short`` for one text of any length: each segmentation is drawn stretch by stretch."""
     search, data = Search(seed, k), b" " + text
     places, firsts = [], []  # of the stretches
@@ -367,14 +411,14 @@ def sample_long(text: bytes, seed: int, v: Vocabulary, k: int) -> list[Search]:
             if not sample:
                 places.append(place)
                 firsts.append(first)
-            distinct, (numbers,) = numbered([cells])
-            draw(Lattice(distinct, v), v, [(search, numbers, first)])
+            (numbers,) = lattice.numbers([cells])
+            draw(lattice, [(search, numbers, first)])
             first += len(cells)
         search.end()
     return [search]
 
 
-def ids_of(lattice: Lattice, edges: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(lattice: Lattice, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece numbers of edges, and how many stand up to each edge; spelled characters give one number per byte."""
     ids = lattice.id[edges]
     spelled = np.flatnonzero(ids < 0)
@@ -386,7 +430,7 @@ def ids_of(lattice: Lattice, edges: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
     out = np.repeat(ids, sizes)
     some = sizes[spelled]
     within = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-    out[np.repeat(ends[spelled] - some, some) + within] = lattice.buffer[np.repeat(lattice.begin[edges[spelled]], some) + within].astype(np.int32) + v.first_byte
+    out[np.repeat(ends[spelled] - some, some) + within] = lattice.buffer[np.repeat(lattice.begin[edges[spelled]], some) + within].astype(np.int32) + lattice.v.first_byte
     return out.astype("<i4"), ends
 
 
@@ -451,26 +495,26 @@ def _rows(keys, texts: list[bytes], searches: list[Search], v: Vocabulary) -> pa
 
 
 def _samples(model, k: int, seed: int):
-    def emit(keys, texts, v):
+    def emit(keys, texts, lattice):
         seeds = [xxhash.xxh64_intdigest(f"{a}/{b}".encode(), seed) for a, b in keys]
         if len(texts) == 1 and len(texts[0]) >= STRETCH_BYTES:
-            return _rows(keys, texts, sample_long(texts[0], seeds[0], v, k), v)
-        return _rows(keys, texts, sample_short(texts, seeds, v, k), v)
+            return _rows(keys, texts, sample_long(texts[0], seeds[0], lattice, k), lattice.v)
+        return _rows(keys, texts, sample_short(texts, seeds, lattice, k), lattice.v)
 
     def run(batches):
-        v = vocabulary(model.value)
+        lattice = Lattice(vocabulary(model.value))
         keys, texts, size = [], [], 0
         for batch in batches:
             for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), byte_slices(batch.column("text"))):
                 if keys and size + len(text) >= STRETCH_BYTES:
-                    yield emit(keys, texts, v)
+                    yield emit(keys, texts, lattice)
                     keys, texts, size = [], [], 0
                 keys.append((doc_id, text_hash))
                 texts.append(bytes(text))
                 size += len(text)
         if keys:
-            yield emit(keys, texts, v)
-        keys = texts = batch = None
+            yield emit(keys, texts, lattice)
+        keys = texts = batch = lattice = None
         release_memory()
 
     return run

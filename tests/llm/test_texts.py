@@ -113,7 +113,7 @@ def segmentations(text):
 
 
 def sampled(text, seed, k):
-    (search,) = pieces.sample_short([text.encode()], [seed], VOCABULARY, k)
+    (search,) = pieces.sample_short([text.encode()], [seed], pieces.Lattice(VOCABULARY), k)
     return [(tuple(ids.tolist()), g, p) for ids, g, p in search.found], search.threshold
 
 
@@ -151,16 +151,31 @@ def test_long_texts_in_stretches(monkeypatch):
     texts += [" " * 900 + "x", "漢" * 700, "\n" * 500, "é" * 333 + " a"]
     for text in texts:
         data = text.encode()
-        (whole,) = pieces.sample_short([data], [5], VOCABULARY, 6)
+        (whole,) = pieces.sample_short([data], [5], pieces.Lattice(VOCABULARY), 6)
         with monkeypatch.context() as m:
             m.setattr(pieces, "STRETCH_BYTES", 3000)
-            (parts,) = pieces.sample_long(data, 5, VOCABULARY, 6)
+            (parts,) = pieces.sample_long(data, 5, pieces.Lattice(VOCABULARY), 6)
         assert len(parts.found) == len(whole.found)
         for (a, g, p), (b, h, q) in zip(parts.found, whole.found):
             assert np.array_equal(a, b) and g == pytest.approx(h) and p == pytest.approx(q)
             assert pieces.spells(a, data, VOCABULARY) and not pieces.spells(a, data + b"q", VOCABULARY)
 
 
+@pytest.mark.parametrize("most", [0, 40, 1 << 20])
+def test_lattice_kept_over_stretches(monkeypatch, most):
+    """What a lattice holds from earlier texts, and when it is begun anew, changes no sample."""
+    monkeypatch.setattr(pieces, "LATTICE_BYTES", most)
+    monkeypatch.setattr(pieces, "BLOCK_CELLS", 3)
+    lattice, r = pieces.Lattice(VOCABULARY), random.Random(8)
+    for seed in range(12):
+        texts = [" ".join(r.choices(["the", "cat", "é漢", "sat.", "", "\n", f"new{seed}"], k=n)).encode() for n in (0, 1, 9, 40)]
+        seeds = [seed * 10 + i for i in range(len(texts))]
+        for got, text, own in zip(pieces.sample_short(texts, seeds, lattice, 3), texts, seeds):
+            (alone,) = pieces.sample_short([text], [own], pieces.Lattice(VOCABULARY), 3)
+            assert [(a.tolist(), g, p) for a, g, p in got.found] == [(a.tolist(), g, p) for a, g, p in alone.found]
+            assert got.threshold == alone.threshold
+
+
 def test_memory_of_a_long_text(spark):
     """25 MB of text, once with blanks and once without, in a worker of 1 GB."""
     from pyspark.sql import DataFrame
