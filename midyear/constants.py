@@ -59,6 +59,12 @@ CONTAINERS = PARAGRAPH_CLOSERS + (
     "article", "aside", "body", "figure", "footer", "header", "html", "main", "nav", "section",
 )
 
+# Elements that hold nothing, and those whose own text is not shown.
+VOID_ELEMENTS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+)
+TEXT_NOT_SHOWN = ("head", "meta", "script", "style", "title")
+
 # What counts as white space and as a line end in page text.
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

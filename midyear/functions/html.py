@@ -35,6 +35,7 @@ TITLE = f"(?is)<(?:{HIDDEN}|title(?:\\s{INSIDE})?(>.*?)(?:</title|\\z))"
 ANCHOR = f"(?is)<(?:{HIDDEN}|a([\\s/]{INSIDE})(?:>|\\z))"
 ATTRIBUTE = f"[^\\s\"'>/=][^\\s>/=]*+(?:\\s*+=\\s*+(?:{VALUE}))?+"
 HREF = "(?is)^href\\s*+=\\s*+"
+TAG_NAME = "^</?([A-Za-z][^\\s/>]*)"
 NOT_SHOWN = f"(?is)<(?:{HIDDEN}|title(?:\\s{INSIDE})?>.*?(?:</title[^>]*>|\\z)|[A-Za-z/!?]{INSIDE}(?:>|\\z))"
 
 # One pass drops every tag but those that bound blocks, and shortens these to
@@ -180,7 +181,47 @@ def hrefs(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(links, lambda pair: decode_entities(let(F.regexp_replace(pair, HREF, ""), bare)))))
 
 
+def _opened(inside: Column, tag: Column) -> Column:
+    """The names of the open elements after a tag, innermost first. Comments, void and whole hidden elements open nothing."""
+
+    def after(name: Column) -> Column:
+        closed = let(
+            F.array_position(inside, name),
+            lambda place: F.when(place > 0, F.slice(inside, place.cast("int") + 1, F.size(inside))).otherwise(inside),
+        )
+        whole = name.isin("", "script", "style", "title", *K.VOID_ELEMENTS) | tag.endswith("/>")
+        return F.when(tag.startswith("</"), closed).when(whole, inside).otherwise(F.array_prepend(inside, name))
+
+    return let(F.lower(F.regexp_extract(tag, TAG_NAME, 1)), after)
+
+
 def visible_texts(html: Column) -> Column:
-    """Text nodes outside comments, scripts, style sheets and the title; blank ones dropped."""
-    nodes = F.transform(F.split(html, NOT_SHOWN, -1), decode_entities)
-    return F.filter(nodes, lambda node: F.btrim(node, F.lit(K.BLANKS)) != "")
+    """Text nodes of elements other than head, meta, title, script and style; comments and blank nodes dropped.
+
+    Text outside any element is dropped too. A closing tag ends the innermost open
+    element of its name and what is open inside it; one that matches none is ignored.
+    """
+
+    def shown(nodes: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("inside"), F.lit(1).alias("n"), F.array(F.lit(0)).alias("dropped"))
+
+        def step(state: Column, tag: Column) -> Column:
+            def moved(inside: Column) -> Column:
+                own = F.get(inside, F.lit(0))
+                # Only nodes that hold text are noted, so the list stays short.
+                text = F.btrim(F.get(nodes, state["n"]), F.lit(K.BLANKS)) != ""
+                drop = text & (own.isNull() | own.isin(*K.TEXT_NOT_SHOWN))
+                return F.struct(
+                    inside.alias("inside"),
+                    (state["n"] + 1).alias("n"),
+                    F.when(drop, F.array_append(state["dropped"], state["n"])).otherwise(state["dropped"]).alias("dropped"),
+                )
+
+            return let(_opened(state["inside"], tag), moved)
+
+        tags = F.regexp_extract_all(html, F.lit(NOT_SHOWN), F.lit(0))
+        dropped = F.aggregate(tags, start, step, lambda state: state["dropped"])
+        return let(dropped, lambda places: F.filter(nodes, lambda _, i: ~F.array_contains(places, i)))
+
+    nodes = let(F.split(html, NOT_SHOWN, -1), shown)
+    return F.filter(F.transform(nodes, decode_entities), lambda node: F.btrim(node, F.lit(K.BLANKS)) != "")

@@ -69,7 +69,17 @@ def test_hrefs(spark):
 
 def test_visible_texts(spark):
     page = "<head><title>t</title><style>s</style></head><body>a<!-- c --><b>b</b> <script>x</script>&amp;"
-    assert results(spark, [page], H.visible_texts(F.col("html"))) == [["a", "b", "&"]]
+    pages = {
+        page: ["a", "b", "&"],
+        "<head>loose<title>t</title></head><p>x</p>": ["x"],
+        "out<div>in<br>side</div>out": ["in", "side"],
+        "<html> <head><meta name=a>m<link>l</head>h<p>a<p>b</i></p>c</p>d</html>e": ["h", "a", "b", "c", "d"],
+        "<p>a<div/>b<HEAD>no<b>yes</b></Head>c": ["a", "b", "yes", "c"],
+        "no tags": [],
+        "": [],
+    }
+    assert results(spark, list(pages), H.visible_texts(F.col("html"))) == list(pages.values())
+    assert results(spark, [None], H.visible_texts(F.col("html"))) == [None]
 
 
 class Blocks(HTMLParser):

@@ -477,15 +477,33 @@ select page_id, (i - 1)::int as pos, b[i] as block
 from (select page_id, b, unnest(range(1, length(b) + 1)) as i from page_blocks) x""", "page_blocks")
 oracle("page_text", "select page_id, text from texts", "texts")
 oracle("no_text_errors", f"select page_id, '{K.NO_TEXT_MESSAGE}' as error_message from texts where text = ''", "texts")
-VISIBLE = (
-    f"list_filter(list_transform(regexp_split_to_array(regexp_replace({shown('html')},"
-    f" '<title(\\s[^>]*)?>.*?(</title[^>]*>|\\z)', '<t>', 'gis'), '{TAG}'), lambda t: {decoded('t')}),"
-    f" lambda n: trim(n, {chars(K.BLANKS)}) <> '')"
+# Text nodes with the tags before them as steps: +name opens, -name closes, nothing stays. The open elements before a
+# node are a fold over the steps up to it, from the document on.
+cte("shown_pages", f"""
+select page_id, regexp_replace({shown('html')}, '<title(\\s[^>]*)?>.*?(</title[^>]*>|\\z)', '<!>', 'gis') as html
+from (select page_id, case when page_id % 3 = 0
+  then replace(html, '<head>', '<head>loose<meta name=a>more') || 'after' else html end as html from captures) a""", "captures")
+STEP = (
+    "case when starts_with(t, '</') then '-' || lower(regexp_extract(t, '^</([A-Za-z][^\\s/>]*)', 1))"
+    " when ends_with(t, '/>') or regexp_extract(t, '^<([A-Za-z][^\\s/>]*)', 1) = ''"
+    f" or lower(regexp_extract(t, '^<([A-Za-z][^\\s/>]*)', 1)) in ({', '.join(map(quoted, (*K.VOID_ELEMENTS, 'title', 'script', 'style')))})"
+    " then '' else '+' || lower(regexp_extract(t, '^<([A-Za-z][^\\s/>]*)', 1)) end"
 )
+cte("page_nodes", f"""
+select page_id, regexp_split_to_array(html, '{TAG}') as nodes,
+  list_transform(regexp_extract_all(html, '{TAG}'), lambda t: {STEP}) as steps
+from shown_pages""", "shown_pages")
+OPEN = (
+    "list_reduce(list_prepend('/', steps[1:i - 1]), lambda s, t: case when t = '' then s"
+    " when t[1] = '+' then s || t[2:] || '/' when not contains(s, '/' || t[2:] || '/') then s"
+    " else left(s, length(s) - instr(reverse(s), reverse('/' || t[2:] || '/')) - length(t[2:])) end)"
+)
+NOT_OWN = " and ".join(f"not ends_with(path, '/{name}/')" for name in K.TEXT_NOT_SHOWN)
 oracle("visible_text", f"""
-select page_id, (i - 1)::int as pos, v[i] as text
-from (select page_id, v, unnest(range(1, length(v) + 1)) as i
-  from (select page_id, {VISIBLE} as v from captures) a) b""", "captures")
+select page_id, (row_number() over (partition by page_id order by i) - 1)::int as pos, text
+from (select page_id, i, {decoded('nodes[i]')} as text, {OPEN} as path
+  from (select *, unnest(range(1, length(nodes) + 1)) as i from page_nodes) a) b
+where path <> '/' and {NOT_OWN} and trim(text, {chars(K.BLANKS)}) <> ''""", "page_nodes")
 oracle("content_gate", f"select page_id, {IS_TEXT} as is_text from captures", "captures")
 
 # --- answers and responses -------------------------------------------------

@@ -203,7 +203,10 @@ def no_text_errors(spark, sf_dir):
 
 @query
 def visible_text(spark, sf_dir):
-    return _numbered(spark, sf_dir, H.visible_texts(F.col(HTML)), "text")
+    """Every third page has text directly in its head, and behind its last element."""
+    loose = F.concat(F.replace(F.col(HTML), F.lit("<head>"), F.lit("<head>loose<meta name=a>more")), F.lit("after"))
+    html = F.when(F.col("page_id") % 3 == 0, loose).otherwise(F.col(HTML))
+    return _numbered(spark, sf_dir, H.visible_texts(html), "text")
 
 
 @query
