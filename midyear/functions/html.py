@@ -182,15 +182,15 @@ def hrefs(html: Column) -> Column:
 
 
 def _opened(inside: Column, tag: Column) -> Column:
-    """The names of the open elements after a tag, innermost first. Comments, void and whole hidden elements open nothing."""
+    """The open elements after a tag, innermost first, as in ``/p/body/html/``. Comments, void and whole hidden elements open nothing."""
 
     def after(name: Column) -> Column:
         closed = let(
-            F.array_position(inside, name),
-            lambda place: F.when(place > 0, F.slice(inside, place.cast("int") + 1, F.size(inside))).otherwise(inside),
+            F.position(F.concat(F.lit("/"), name, F.lit("/")), inside),
+            lambda place: F.when(place > 0, F.substring(inside, place + F.length(name) + 1, F.length(inside))).otherwise(inside),
         )
         whole = name.isin("", "script", "style", "title", *K.VOID_ELEMENTS) | tag.endswith("/>")
-        return F.when(tag.startswith("</"), closed).when(whole, inside).otherwise(F.array_prepend(inside, name))
+        return F.when(tag.startswith("</"), closed).when(whole, inside).otherwise(F.concat(F.lit("/"), name, inside))
 
     return let(F.lower(F.regexp_extract(tag, TAG_NAME, 1)), after)
 
@@ -203,14 +203,14 @@ def visible_texts(html: Column) -> Column:
     """
 
     def shown(nodes: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("inside"), F.lit(1).alias("n"), F.array(F.lit(0)).alias("dropped"))
+        start = F.struct(F.lit("/").alias("inside"), F.lit(1).alias("n"), F.array(F.lit(0)).alias("dropped"))
 
         def step(state: Column, tag: Column) -> Column:
             def moved(inside: Column) -> Column:
-                own = F.get(inside, F.lit(0))
+                own = F.substring_index(inside, "/", 2)
                 # Only nodes that hold text are noted, so the list stays short.
                 text = F.btrim(F.get(nodes, state["n"]), F.lit(K.BLANKS)) != ""
-                drop = text & (own.isNull() | own.isin(*K.TEXT_NOT_SHOWN))
+                drop = text & (own.isin("/", *(f"/{name}" for name in K.TEXT_NOT_SHOWN)))
                 return F.struct(
                     inside.alias("inside"),
                     (state["n"] + 1).alias("n"),
