@@ -12,6 +12,8 @@ themselves it is one of BLAKE2b: 128 bits for whole segments and windows of hot
 anchors, 64 bits for a word.
 
 1. All anchors are listed with a hash of the anchor and a digest of its segment.
+   Where a text goes on with a short period, each period has an anchor of the same
+   kind: of such a run only the two ends are listed, the first with its whole extent.
 2. Anchors that occur once are dropped after one pre-aggregated count.
 3. Segments that occur twice are repeated as a whole; they need no symbols.
 4. One segment of each kind that shares its anchor with another kind is cut from
@@ -125,10 +127,13 @@ def binary16(data: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(data)])
 
 
-def anchors_of(symbols: np.ndarray, raw: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(positions, anchor hashes, segment digests) of one document; long ones go chunk by chunk.
+def anchors_of(symbols: np.ndarray, raw: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(positions, ends of what they reach, anchor hashes, segment digests) of one document; long ones go chunk by chunk.
 
-    raw: what the digests are taken of, a number per symbol.
+    raw: what the digests are taken of, a number per symbol. Of a run of neighbours
+    with equal anchors and segments, which therefore all repeat, the first and the last
+    are given, and the first reaches to the end of the run: neighbours are at most
+    ``reach`` + 1 apart, so their segments leave no gap.
     """
     n, found = len(symbols), []
     for first in range(0, n - rule.length + 1, CHUNK):  # first: of the windows of this chunk
@@ -140,11 +145,17 @@ def anchors_of(symbols: np.ndarray, raw: np.ndarray, rule: Repeats) -> tuple[np.
         at = least_in_windows(grams, rule.reach + 1)
         found.append((at + first, grams[at]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, U), b""
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), b""
     position, anchor = (np.concatenate(x) for x in zip(*found))
     position, once = np.unique(position, return_index=True)  # chunks may share an anchor
-    left, right = np.minimum(rule.reach, position), np.minimum(rule.length, n - position)
-    return position, anchor[once], digests(raw, position - left, position + right, left << 32 | right)
+    anchor, left, right = anchor[once], np.minimum(rule.reach, position), np.minimum(rule.length, n - position)
+    end = position + right
+    segment = np.frombuffer(digests(raw, position - left, end, left << 32 | right), U).reshape(-1, 2)
+    alike = np.r_[False, (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1]).all(axis=1), False]
+    first, last = ~alike[:-1], ~alike[1:]  # of a run
+    end[first] = end[last]
+    kept = first | last
+    return position[kept], end[kept], anchor[kept], segment[kept].tobytes()
 
 
 def byte_values(seed: int = 3) -> np.ndarray:
@@ -187,7 +198,7 @@ def symbols_of(text, rule: Repeats) -> tuple[np.ndarray, np.ndarray]:
     return byte_values()[raw], raw
 
 
-ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("right", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.binary())])
+ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("end", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.binary())])
 SPAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -202,10 +213,10 @@ def _list_anchors(rule: Repeats):
 
             for key, text in zip(keys, byte_slices(batch.column("text"))):
                 symbols, raw = symbols_of(text, rule)
-                at, anchor, segment = anchors_of(symbols, raw, rule)
+                at, end, anchor, segment = anchors_of(symbols, raw, rule)
                 if len(at):
                     ids += [key[0]] * len(at)
-                    columns.append((np.full(len(at), key[1]), np.minimum(rule.length, len(symbols) - at), at, anchor.view(np.int64)))
+                    columns.append((np.full(len(at), key[1]), end, at, anchor.view(np.int64)))
                     segments.append(segment)
                     n += len(at)
                 if n > 200_000:
@@ -295,7 +306,7 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     Spans may overlap; rows without any are left out; each row key has one row.
     """
     rows = keyed(docs, key, text).withColumn("text", F.col("text").cast("binary"))
-    schema = "doc_id long, text_hash long, right long, at long, anchor long, segment binary"
+    schema = "doc_id long, text_hash long, end long, at long, anchor long, segment binary"
     anchors = stored(rows.mapInArrow(_list_anchors(rule), schema), "anchors")
     again = stored(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors-repeated")
     shared = stored(sized_join(anchors, again, ["anchor"], "left_semi", SMALL), "anchors-shared")
@@ -316,7 +327,7 @@ def repeated_spans(docs: DataFrame, rule: Repeats, resolve: Callable[[pa.Table,
     span_schema = "doc_id long, text_hash long, start long, end long"
     found = segments.groupBy("block").applyInArrow(lambda table: resolve(table, rule), span_schema)
 
-    reach = (F.greatest(F.col("at") - rule.reach, F.lit(0)).alias("start"), (F.col("at") + F.col("right")).alias("end"))
+    reach = (F.greatest(F.col("at") - rule.reach, F.lit(0)).alias("start"), F.col("end"))
     # A kind with more than a thousandth of all rows is one of a thousand at most: these are broadcast, the others joined by shuffle.
     pair, many = ["anchor", "segment"], F.col("times") > F.lit(max(1, shared.count() // MOST_HOT_KINDS))
     common = F.broadcast(stored(kinds.where("times > 1").where(many).select(*pair), "segments-common"))

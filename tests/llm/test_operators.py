@@ -171,6 +171,53 @@ def test_repeats_in_chunks(spark, monkeypatch):
     assert tuples(remove_repeated_words(df, Repeats(12, 4, True)), *WORD) == brute.repeated_words(rows, 12)
 
 
+def periodic_rows():
+    """Texts with stretches of short and long periods, some shared, some with a flaw, at the ends and between other symbols."""
+    r = random.Random(12)
+    other = lambda n: "".join(r.choice("klmnop ") for _ in range(n))
+    rows = ["-" * 3000, other(300) + "-" * 2500 + other(300), other(300) + "ab " * 900, "ab " * 300 + "x" + "ab " * 400, other(10) + "-" * 199 + other(10)]
+    for period in (2, 35, 159, 160, 161, 162, 199, 200, 201, 361, 500):
+        unit = other(period)
+        rows += [other(100) + unit * (1400 // period + 1) + other(50), unit * 2 + other(250)]
+    return [(i % 25, t) for i, t in enumerate([*rows, rows[1], rows[3]])]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_repeats_of_a_period(spark, monkeypatch, chunk):
+    from midyear.llm import anchors
+
+    rows = periodic_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(anchors, "CHUNK", chunk)
+    for rule in (BYTES, Repeats(200, 40, False, block_segments=16, hot_segments=3), Repeats(40, 40, False)):
+        assert tuples(remove_repeated_bytes(df, rule), *BYTE) == brute.repeated_bytes(rows, rule.length)
+    for rule in (WORDS, Repeats(9, 3, True, block_segments=16, hot_segments=3)):
+        assert tuples(remove_repeated_words(df, rule), *WORD) == brute.repeated_words(rows, rule.length)
+
+
+def test_anchors_of_a_period():
+    """What is listed of a stretch does not grow with the number of its periods, and covers the same symbols."""
+    import numpy as np
+
+    from midyear.llm.anchors import anchors_of, symbols_of
+
+    head, tail = ("".join(random.Random(seed).choice("klmnop ") for _ in range(700)) for seed in (1, 2))
+    for rule, gap in ((BYTES, ""), (WORDS, " ")):
+        for unit in ("-", "ab ", "on a "):
+            counts = []
+            for times in (500, 20_000):
+                text = (gap.join(head) + gap + (unit.strip() + " " if rule.words else unit) * times + gap.join(tail)).encode()
+                symbols, raw = symbols_of(text, rule)
+                at, end, anchor, segment = anchors_of(symbols, raw, rule)
+                assert len(at) == len(end) == len(anchor) == len(segment) / 16
+                counts.append(len(at))
+                marks = np.zeros(len(symbols) + 1, np.int64)
+                np.add.at(marks, np.maximum(at - rule.reach, 0), 1)
+                np.add.at(marks, end, -1)
+                assert (np.cumsum(marks)[:-1] > 0).all() and end.max() == len(symbols)
+            assert counts[0] == counts[1] < 1000
+
+
 NEAR = ("doc_id", "fingerprint", "component_id")
 
 
